@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from telltale.llm.shared import Scratch
 
-#: A candidate: an unbroken piece of at least 12 signs that keys are made of, with a letter and a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,}={0,2}"
+#: A candidate: an unbroken piece of at least 12 signs that keys are made of, with a letter and a digit, or 16 capitals.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,}={0,2}|(?<![A-Za-z0-9+/_-])[A-Z]{16,}(?![A-Za-z0-9+/_-])"
 #: Findings that need no model to be told (fixed values): they are the positive labels when no labelled findings are given.
 KNOWN = (r"^AKIA[A-Z2-7]{16}$", r"^ghp_[A-Za-z0-9]{36}$", r"^[0-9a-f]{40}$", r"^[0-9a-f]{18}$")
 CONTEXT = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|credential|auth|bearer)\W{0,4}$"

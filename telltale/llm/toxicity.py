@@ -1,5 +1,6 @@
-"""Toxicity: two Kneser-Ney bigram models, of toxic and of ordinary texts, with shared backoff counts."""
+"""Toxicity: two Kneser-Ney models of characters, of toxic and of ordinary texts, with shared backoff counts."""
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,56 +12,65 @@ from telltale.llm.decontamination import split_words
 from telltale.llm.shared import Scratch, WordIds, small_batches
 
 DISCOUNT = 0.75
+#: Characters of an n-gram. Up to SHARED of them, both classes use the same counts.
+ORDER, SHARED = 5, 2
 #: Windows, in words, whose highest mean log ratio tells short toxic passages in long texts.
 SPANS = (1, 3, 20)
 
 
+def grams(word: str) -> list[str]:
+    """The n-gram that ends at each character of a word; "^" marks its start, "$" its end."""
+    word = f"^{word}$"
+    return [word[max(0, i + 1 - ORDER) : i + 1] for i in range(1, len(word))]
+
+
 class KneserNey:
-    """Log ratio of toxic to ordinary probability for each word after the one before it.
+    """Log ratio of a word's probabilities under the toxic and the ordinary character model.
 
-    bigrams: v, w, n0, n1 (counts in ordinary and toxic texts); contexts: v, t0, t1, d0, d1 (totals and distinct
-    followers); words: w, c0, c1, c (distinct predecessors by class, and in both: the shared backoff).
+    counts: n-gram to (n0, n1), how often ordinary and toxic texts have it. Lower orders count in how many n-grams
+    they occur (continuations). What a class has not seen falls back to shorter histories, in the end to counts that
+    both classes share, so rare expressions say little. `value` has the log ratio of each n-gram seen in either class,
+    `back` that of the backoff weights of its history.
     """
 
-    def __init__(self, bigrams: np.ndarray, contexts: np.ndarray, words: np.ndarray):
-        self.ids = np.sort(words["w"])
-        words = words[np.argsort(words["w"])]
-        n = len(self.ids)
-        shared = (np.append(words["c"], 0) + 0.5) / (words["c"].sum() + 0.5 * (n + 1))
-        place = np.searchsorted(self.ids, contexts["v"]).clip(0, max(0, n - 1))
-        real = self.ids[place] == contexts["v"] if n else np.zeros(0, bool)
-        v, w = (np.searchsorted(self.ids, bigrams[c]).clip(0, max(0, n - 1)) for c in "vw")
-        ok = (self.ids[v] == bigrams["v"]) & (self.ids[w] == bigrams["w"]) if n else np.zeros(0, bool)
-        key = v[ok].astype(np.int64) * (n + 1) + w[ok]
-        order = np.argsort(key)
-        self.keys = key[order]
-        self.direct, self.back, self.uni = [], [], []
-        for k in "01":
-            total, distinct = np.zeros(n + 1), np.zeros(n + 1)
-            total[place[real]], distinct[place[real]] = contexts["t" + k][real], contexts["d" + k][real]
-            self.back.append(np.where(total > 0, DISCOUNT * distinct / np.maximum(total, 1), 1.0))
-            direct = np.maximum(bigrams["n" + k][ok] - DISCOUNT, 0) / np.maximum(total[v[ok]], 1)
-            self.direct.append(np.append(direct[order], 0.0))
-            c = np.append(words["c" + k], 0).astype(float)
-            whole = max(c.sum(), 1.0)
-            self.uni.append(np.maximum(c - DISCOUNT, 0) / whole + (DISCOUNT * (c > 0).sum() / whole if c.sum() else 1.0) * shared)
-
-    def index(self, word_id: int) -> int:
-        at = int(np.searchsorted(self.ids, np.uint64(word_id)))
-        return at if at < len(self.ids) and self.ids[at] == word_id else len(self.ids)
-
-    def ratios(self, index: np.ndarray) -> np.ndarray:
-        out = np.empty(len(index))
-        if not len(index):
-            return out
-        out[0] = np.log(self.uni[1][index[0]] / self.uni[0][index[0]])
-        v, w = index[:-1], index[1:]
-        key = v * (len(self.ids) + 1) + w
-        at = np.searchsorted(self.keys, key)
-        at[(at == len(self.keys)) | (np.append(self.keys, -1)[at] != key)] = len(self.keys)
-        p = [self.direct[k][at] + self.back[k][v] * self.uni[k][w] for k in (0, 1)]
-        out[1:] = np.log(p[1] / p[0])
-        return out
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        types: list[dict] = [{}, {}]
+        for k in (0, 1):
+            types[k] = {g: n[k] for g, n in counts.items() if n[k]}
+        for length in range(ORDER, 1, -1):
+            for k in (0, 1):
+                for g in [g for g in types[k] if len(g) == length]:
+                    types[k][g[1:]] = types[k].get(g[1:], 0) + 1
+        pool = {g: types[0].get(g, 0) + types[1].get(g, 0) for g in {*types[0], *types[1]} if len(g) <= SHARED}
+        for k in (0, 1):
+            types[k] = {g: n for g, n in types[k].items() if len(g) > SHARED} | pool
+        sums: list[dict] = [{}, {}]
+        for k in (0, 1):
+            for g, n in types[k].items():
+                total, distinct = sums[k].get(g[:-1], (0, 0))
+                sums[k][g[:-1]] = total + n, distinct + 1
+        weight = [{h: DISCOUNT * d / t for h, (t, d) in s.items()} for s in sums]
+        p: list[dict] = [{}, {}]
+        base = 1 / (len({g for g in pool if len(g) == 1}) + 1)
+        for g in sorted({*types[0], *types[1]}, key=len):
+            h = g[:-1]
+            for k in (0, 1):
+                lower = p[k].get(g[1:], base) if len(g) > 1 else base
+                if h in sums[k]:
+                    p[k][g] = max(types[k].get(g, 0) - DISCOUNT, 0) / sums[k][h][0] + weight[k][h] * lower
+                else:
+                    p[k][g] = lower
+        self.value = {g: float(np.log(p[1][g] / p[0][g])) for g in p[1]}
+        self.back = {h: float(np.log(weight[1].get(h, 1.0) / weight[0].get(h, 1.0))) for h in {*weight[0], *weight[1]}}
+
+    def ratio(self, word: bytes) -> float:
+        total = 0.0
+        for g in grams(word.decode()):
+            while g and g not in self.value:
+                total += self.back.get(g[:-1], 0.0)
+                g = g[1:]
+            total += self.value.get(g, 0.0)
+        return total
 
 
 def summary(ratios: np.ndarray) -> list[float]:
@@ -72,33 +82,28 @@ def summary(ratios: np.ndarray) -> list[float]:
     return [sums[-1] / n, *(float((sums[min(s, n) :] - sums[: n + 1 - min(s, n)]).max()) / min(s, n) for s in SPANS)]
 
 
-def pairs_of(rows: DataFrame) -> DataFrame:
-    """(v, w, y, n) counts of bigrams in labelled texts; v of the first word is 0."""
+def train(rows: DataFrame, least: int = 2) -> KneserNey:
+    """rows: text (binary), y. Words, then their n-grams, are counted in Spark; n-grams seen less than `least` times are left out."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                w = ids.array(split_words(text)).view(np.int64)
-                if len(w):
-                    pair, n = np.unique(np.stack([np.append(0, w[:-1]), w], 1), axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(np.full(len(n), y, np.int32)), pa.array(n)], ["v", "w", "y", "n"])
-
-    return rows.select("text", "y").mapInArrow(count, "v long, w long, y int, n long").groupBy("v", "w", "y").agg(F.sum("n").alias("n"))
+            for k in (0, 1):
+                count = Counter(w for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) if y == k for w in split_words(t))
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in count], pa.string()), pa.array(np.full(len(count), k, np.int32)), pa.array(count.values(), pa.int64())], ["w", "y", "n"])
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = Counter()
+            for w, y, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for g in grams(w):
+                    count[g, y] += n
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in count], pa.string()), pa.array([y for _, y in count], pa.int32()), pa.array(count.values(), pa.int64())], ["g", "y", "n"])
 
-def train(rows: DataFrame, scratch: Scratch) -> KneserNey:
-    """rows: text (binary), y. Counts are taken in Spark; rare ones (seen once) stay in the backoff counts only."""
+    seen = rows.select("text", "y").mapInArrow(words, "w string, y int, n long").groupBy("w", "y").agg(F.sum("n").alias("n"))
     of = lambda k: F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0))
-    pairs = scratch.cut(pairs_of(rows).groupBy("v", "w").agg(of(0).alias("n0"), of(1).alias("n1")))
-    some = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    words = pairs.groupBy("w").agg(some("n0").alias("c0"), some("n1").alias("c1"), F.count("*").alias("c")).where("c > 1")
-    contexts = pairs.groupBy("v").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), some("n0").alias("d0"), some("n1").alias("d1")).where("t0 + t1 > 1")
-    tables = []
-    for t in (pairs.where("n0 + n1 > 1"), contexts, words):
-        arrow = t.toArrow()  # bounded by the labelled sample
-        tables.append(np.rec.fromarrays([arrow.column(c).to_numpy().view(np.uint64) if c in "vw" else arrow.column(c).to_numpy() for c in arrow.column_names], names=arrow.column_names))
-    return KneserNey(*tables)
+    table = seen.mapInArrow(split, "g string, y int, n long").groupBy("g").agg(of(0).alias("n0"), of(1).alias("n1")).where(F.col("n0") + F.col("n1") >= least)
+    # bounded by the labelled sample
+    return KneserNey({g: (a, b) for g, a, b in zip(*(c.to_pylist() for c in table.toArrow().columns), strict=True)})
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -116,9 +121,9 @@ def score_texts(docs: DataFrame, model, weights=None) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        index = WordIds(of=lambda w: m.index(WordIds().of(w)))
+        ratios = WordIds(of=m.ratio)
         for batch in batches:
-            x = [summary(m.ratios(index.array(split_words(t)).view(np.int64))) for t in batch.column("text").to_pylist()]
+            x = [summary(np.array([ratios[w] for w in split_words(t)])) for t in batch.column("text").to_pylist()]
             if weights is None:
                 out = pa.array(x, pa.list_(pa.float64()))
             else:
@@ -141,7 +146,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> DataF
     """doc_id, score (0 to 1) and predicted for each document; labels must hold no rows that are held out.
 
     Models and calibration are fitted on at most 2 * per_class labelled documents; every document is scored over its
-    whole text. Null and empty texts have no words and get the score of a neutral text; words never seen say nothing;
+    whole text. Null and empty texts have no words and get the score of a neutral text; n-grams never seen say nothing;
     without labels of both kinds every score is 0; repeated rows are scored once each; other columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -150,7 +155,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> DataF
     seen = {tuple(r) for r in rows.select("y", "half").distinct().collect()}
     if len(seen) < 4:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    model = spark.sparkContext.broadcast(train(rows.where("half = 0"), scratch))
+    model = spark.sparkContext.broadcast(train(rows.where("half = 0")))
     known = score_texts(rows.where("half = 1").select("y", "text"), model).collect()
     weights = fit_logistic(np.array([r["x"] for r in known]), np.array([r["y"] for r in known], float))
     # the sample holds as many of both labels as it can get; the share of each among all labels is put back
