@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telltale.llm.shared import MULTIPLIER, Scratch, WordIds, mix, small_batches, windows
+from telltale.llm.shared import MULTIPLIER, Scratch, WordIds, mix, small_batches, uid, windows
 
 RUN, PAIR = np.uint64(0x52554E), np.uint64(0x50414952)
 
@@ -39,45 +39,48 @@ def pairs(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Anchors:
-    """Chains of symbols that stand for a text: of any `reach` consecutive chains the one of least name is kept.
+    """For each window of a text the chain of symbols that stands for it: of those inside, the one of least name.
 
     In each copy of a passage the symbols are the same but for what its two outermost runs on either side belong to:
-    the outermost may go on outside, and pair with its neighbour or not. If at least `least` symbols lie between, they
-    hold `reach` equal chains, of which every copy keeps the same one. Without runs a window always has so many;
-    windows with fewer, which only runs can bring about, are returned beside the chains, to be compared in any case.
+    the outermost may go on outside, and pair with its neighbour or not. The chains between stand in every copy, so
+    the one of least name is the same in all. Without runs a window has at least `least` symbols there; windows with
+    fewer, which only runs can bring about, have no chain and are compared in any case.
     """
 
     def __init__(self, window: int, chain: int = 3):
         self.window, self.chain, self.least = window, chain, (window - 4) // 2
-        self.reach = self.least - chain + 1
-        if self.reach < 1:
+        if self.least < chain:
             raise ValueError("the window is too short for its anchors")
 
-    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Names of the kept chains with the first and last start of the windows that hold each; starts, first and last, of the other windows."""
-        last = len(ids) - self.window
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names (0: none), and the first and the last start of the windows that each stands for."""
         run, places = runs(ids)
         symbols, starts = pairs(run, places)
-        names = windows(symbols, self.chain)
-        keep = np.empty(0, int)
-        if len(names):
-            w = min(self.reach, len(names))
-            keep = np.unique(np.lib.stride_tricks.sliding_window_view(names, w).argmin(1) + np.arange(len(names) - w + 1))
-        low, high = np.maximum(starts[keep + self.chain - 1] + 1 - self.window, 0), np.minimum(starts[keep + 1] - 1, last)
-        ok = low <= high
-        poor_low = poor_high = np.empty(0, int)
-        if len(run) < len(ids):
-            of = np.repeat(np.arange(len(run)), np.diff(places))
-            s = np.arange(last + 1)
-            inner = places[np.minimum(of[s] + 2, len(run))], places[np.maximum(of[s + self.window - 1] - 1, 0)]
-            ends = np.zeros(len(ids) + 1, int)
-            ends[starts] = 1
-            upto = np.cumsum(ends) - ends  # symbols that start before a place
-            ceiling = np.cumsum(ends) - 1  # the symbol that a place lies in, or the one that starts there
-            poor = ceiling[inner[1]] - upto[inner[0]] < self.least
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], poor.astype(np.int8), [0]])))
-            poor_low, poor_high = edge[::2], edge[1::2] - 1
-        return names[keep][ok], low[ok], high[ok], poor_low, poor_high
+        names = np.maximum(windows(symbols, self.chain), np.uint64(1))
+        of = np.repeat(np.arange(len(run)), np.diff(places))
+        s = np.arange(len(ids) - self.window + 1)
+        low = places[np.minimum(of[s] + 2, len(run))]
+        high = places[np.maximum(of[s + self.window - 1] - 1, 0)]
+        begins = np.zeros(len(ids) + 1, int)
+        begins[starts] = 1
+        upto = np.cumsum(begins)
+        first, wide = (upto - begins)[low], upto[high] - 1 - (upto - begins)[low]
+        rich = wide >= self.least
+        wide = np.where(rich, wide - self.chain + 1, 1)
+        # least name of each range of chains, from those of two ranges whose length is a power of two
+        best, level, out = np.arange(len(names)), 0, np.full(len(s), -1)
+        while len(best):
+            now = np.flatnonzero(rich & (wide >> level == 1))
+            a, b = best[first[now]], best[first[now] + wide[now] - (1 << level)]
+            out[now] = np.where(names[a] <= names[b], a, b)
+            n = len(best) - (1 << level)
+            if n <= 0 or not (wide >> (level + 1)).any():
+                break
+            a, b = best[:n], best[1 << level :]
+            best, level = np.where(names[a] <= names[b], a, b), level + 1
+        edge = np.flatnonzero(np.append(True, out[1:] != out[:-1]))
+        chosen = out[edge]
+        return np.where(chosen >= 0, np.append(names, 0)[chosen], 0).astype(np.uint64), edge, np.append(edge[1:], len(s)) - 1
 
 
 def sha(words: list[bytes]) -> str:
@@ -86,11 +89,10 @@ def sha(words: list[bytes]) -> str:
 
 def profile(docs: DataFrame, window: int) -> DataFrame:
     """For each row: number of words, digest of the words, anchors, and where windows may start that they stand for."""
-    ints = pa.list_(pa.int32())
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, anchors = WordIds(), Anchors(window)
-        none = [np.empty(0, np.int64)] * 5
+        none = [np.empty(0, np.int64)] * 3
         for batch in batches:
             n, whole, found = [], [], []
             for text in batch.column("text").to_pylist():
@@ -99,11 +101,11 @@ def profile(docs: DataFrame, window: int) -> DataFrame:
                 whole.append(sha(words))
                 found.append(anchors(ids.array(words)) if len(words) >= window else none)
             yield pa.RecordBatch.from_arrays(
-                [*batch.select(["doc_id", "th"]).columns, pa.array(n, pa.int64()), pa.array(whole), pa.array([f[0].view(np.int64) for f in found], pa.list_(pa.int64())), *(pa.array([f[k] for f in found], ints) for k in range(1, 5))],
-                ["doc_id", "th", "n", "whole", "names", "low", "high", "poor_low", "poor_high"],
+                [*batch.select(["doc_id", "th"]).columns, pa.array(n, pa.int64()), pa.array(whole), pa.array([f[0].view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([(f[1] << 32) + f[2] for f in found], pa.list_(pa.int64()))],
+                ["doc_id", "th", "n", "whole", "names", "starts"],
             )
 
-    return docs.mapInArrow(look, "doc_id long, th long, n long, whole string, names array<long>, low array<int>, high array<int>, poor_low array<int>, poor_high array<int>")
+    return docs.mapInArrow(look, "doc_id long, th long, n long, whole string, names array<long>, starts array<long>")
 
 
 def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -119,33 +121,34 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    known = scratch.cut(profile(texts, window))
+    known = scratch.cut(uid(profile(texts, window)))
     heads = known.where(F.col("n") >= window).groupBy("whole").agg(F.min("doc_id").alias("head"))
-    rows = scratch.cut(known.select("doc_id", "th", "n", "whole").join(heads, "whole", "left"))
-    firsts = rows.where("doc_id = head").select("doc_id", "th").distinct()
-    own = known.join(firsts, ["doc_id", "th"], "left_semi")
-    marks = own.select("doc_id", "th", F.explode(F.arrays_zip("names", "low", "high")).alias("a")).select(F.col("a.names").alias("name"), "doc_id", "th", "a.low", "a.high")
-    twice = marks.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    poor = own.select("doc_id", "th", F.explode(F.arrays_zip("poor_low", "poor_high")).alias("a")).select("doc_id", "th", F.col("a.poor_low").alias("low"), F.col("a.poor_high").alias("high"))
-    found = marks.join(twice, "name", "left_semi").select("doc_id", "th", "low", "high").unionByName(poor)
+    rows = scratch.cut(known.select("uid", "doc_id", "th", "n", "whole").join(heads, "whole", "left"))
+    # equal rows of one doc_id take part once
+    firsts = rows.where("doc_id = head").groupBy("doc_id", "th").agg(F.min("uid").alias("uid"))
+    marks = known.join(firsts.select("uid"), "uid", "left_semi").select("uid", F.explode(F.arrays_zip("names", "starts")).alias("a")).select(F.col("a.names").alias("name"), "uid", "a.starts")
+    twice = marks.where("name <> 0").groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    found = marks.where("name <> 0").join(twice, "name", "left_semi").unionByName(marks.where("name = 0"))
     # a document's own places, at most one for each of its words
-    places = scratch.cut(found.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")))
+    places = found.groupBy("uid").agg(F.collect_list("starts").alias("places")).join(firsts, "uid")
+    places = scratch.cut(places.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "places"))
     scratch.drop(known)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
-            for doc, th, text, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = ids.array(text.split())
                 n = len(h) - window + 1
-                step = np.bincount(low, minlength=n + 1) - np.bincount(np.array(high) + 1, minlength=n + 1)
+                places = np.array(places)
+                step = np.bincount(places >> 32, minlength=n + 1) - np.bincount((places & 0xFFFFFFFF) + 1, minlength=n + 1)
                 start = np.flatnonzero(np.cumsum(step)[:n])
                 one = windows(h, window)[start]
                 two = windows(mix(h), window)[start] >> np.uint64(33)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), doc, np.int64)), pa.array(np.full(len(start), th, np.int64)), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.astype(np.int32))], ["doc_id", "th", "start", "one", "two"])
 
     at_home = lambda other: (F.col("doc_id") == other["__doc"]) & (F.col("th") == other["__th"])
-    seen = texts.join(places, at_home(places)).select("doc_id", "th", "text", "low", "high").mapInArrow(hashes, "doc_id long, th long, start int, one long, two int")
+    seen = texts.join(places, at_home(places)).select("doc_id", "th", "text", "places").mapInArrow(hashes, "doc_id long, th long, start int, one long, two int")
     seen = scratch.cut(seen)
     first = seen.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1").select("one", "two", "f")
     later = seen.join(first, ["one", "two"]).where(F.struct("doc_id", "start") > F.col("f")).select("doc_id", "th", "start")
