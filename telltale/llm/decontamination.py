@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from telltale.llm.shared import ALNUM_WORDS, Scratch, WordIds, small_batches, windows
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-HITS = "spans array<struct<start:int,end:int>>, items array<string>"
+HITS = "__spans array<struct<start:int,end:int>>, __items array<string>"
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -79,7 +79,7 @@ def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_rows: int = 2_000_000, keep: list[str] | None = None, then=None) -> DataFrame:
-    """docs with `spans` (word ranges that match) and `items` (the benchmark items found), or what `then` makes of them.
+    """docs with `__spans` (word ranges that match) and `__items` (the benchmark items found), or what `then` makes of them.
 
     One set of at most block_rows windows is broadcast at a time: a larger benchmark is dealt into blocks by a hash of
     window and item, and the documents pass once by each block. Null and empty texts have no words and no hits.
@@ -91,7 +91,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_rows:
     known = scratch.cut(benchmark_windows(benchmark, size))
     blocks = max(1, -(-known.count() // block_rows))
     dealt = known.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)))
-    out = plain.withColumn("spans", F.array().cast("array<struct<start:int,end:int>>")).withColumn("items", F.array().cast("array<string>"))
+    out = plain.withColumn("__spans", F.array().cast("array<struct<start:int,end:int>>")).withColumn("__items", F.array().cast("array<string>"))
     text_at = keep.index("text")
     for block in range(blocks):
         rows = [tuple(r) for r in dealt.where(F.col("block") == block).select("window", "n", "item").toLocalIterator()]
@@ -102,7 +102,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_rows:
             matcher, ids = Matcher(shared.value), WordIds()
             for batch in batches:
                 spans, items, texts = [], [], []
-                old = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
+                old = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True)
                 for text, (was, had) in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), old, strict=True):
                     words = split_words(text)
                     s, i = matcher.find(words, ids.array(words))
@@ -115,7 +115,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_rows:
                 else:
                     yield pa.RecordBatch.from_arrays(
                         [*base.columns, pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                        [*keep, "spans", "items"],
+                        [*keep, "__spans", "__items"],
                     )
 
         schema = then.schema if last and then else T.StructType([*plain.schema.fields, *T._parse_datatype_string(HITS).fields])

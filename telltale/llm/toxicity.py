@@ -151,6 +151,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> DataF
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
+    docs = docs.select("doc_id", "text")
     rows = scratch.cut(labelled_sample(docs, labels, per_class))
     seen = {tuple(r) for r in rows.select("y", "half").distinct().collect()}
     if len(seen) < 4:
