@@ -1,5 +1,6 @@
 """Helpers of the text operators: tables in the shared folder, word splitting and word hashing."""
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,8 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        gc.collect()
+        self.spark._jvm.System.gc()  # Spark deletes the shuffle files of plans that the driver has forgotten
         return out
 
     def drop(self, *tables: DataFrame) -> None:

@@ -5,13 +5,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telltale.llm.shared import MULTIPLIER, Scratch, WordIds, mix, small_batches, uid, windows
 
 RUN, PAIR = np.uint64(0x52554E), np.uint64(0x50414952)
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
 def runs(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,29 +83,50 @@ class Anchors:
         return np.where(chosen >= 0, np.append(names, 0)[chosen], 0).astype(np.uint64), edge, np.append(edge[1:], len(s)) - 1
 
 
+def stretches(ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of what stands in each ids[low:high], from prefix sums: 64 and 31 bits."""
+    power, back = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(ids), m))) for m in (MULTIPLIER, INVERSE))
+
+    def of(values: np.ndarray) -> np.ndarray:
+        upto = np.append(np.uint64(0), np.cumsum(values * power[:-1]))
+        return mix((upto[high] - upto[low]) * back[low] + (high - low).astype(np.uint64))
+
+    return of(ids), of(mix(ids)) >> np.uint64(33)
+
+
 def sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def profile(docs: DataFrame, window: int) -> DataFrame:
-    """For each row: number of words, digest of the words, anchors, and where windows may start that they stand for."""
+    """For each row: number of words, digest of the words, and its anchors with the windows that each stands for.
+
+    starts has the first start of these windows in its upper half and the last one in its lower half; one and two are
+    hashes of the stretch of words that they cover.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, anchors = WordIds(), Anchors(window)
-        none = [np.empty(0, np.int64)] * 3
+        known, anchors = WordIds(), Anchors(window)
+        none = [np.empty(0, np.int64)] * 4
         for batch in batches:
             n, whole, found = [], [], []
             for text in batch.column("text").to_pylist():
                 words = (text or b"").split()
                 n.append(len(words))
                 whole.append(sha(words))
-                found.append(anchors(ids.array(words)) if len(words) >= window else none)
+                if len(words) < window:
+                    found.append(none)
+                    continue
+                ids = known.array(words)
+                names, low, high = anchors(ids)
+                one, two = stretches(ids, low, high + window)
+                found.append((names.view(np.int64), (low << 32) + high, one.view(np.int64), two.astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.select(["doc_id", "th"]).columns, pa.array(n, pa.int64()), pa.array(whole), pa.array([f[0].view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([(f[1] << 32) + f[2] for f in found], pa.list_(pa.int64()))],
-                ["doc_id", "th", "n", "whole", "names", "starts"],
+                [*batch.select(["doc_id", "th"]).columns, pa.array(n, pa.int64()), pa.array(whole), *(pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(4))],
+                ["doc_id", "th", "n", "whole", "names", "starts", "one", "two"],
             )
 
-    return docs.mapInArrow(look, "doc_id long, th long, n long, whole string, names array<long>, starts array<long>")
+    return docs.mapInArrow(look, "doc_id long, th long, n long, whole string, names array<long>, starts array<long>, one array<long>, two array<long>")
 
 
 def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -113,10 +134,12 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
 
     A word goes when a window that covers it starts earlier too: in a document of smaller doc_id, or before in the
     same one; windows are those of the input. Texts with the same words as a smaller doc_id's lose all of them (if
-    they have a window) and take no further part. For the others, recompression names symbols, chains of symbols that
-    occur twice mark the windows that may repeat, and of these the word hashes (two of them, 95 bits) are compared
-    over the whole table. Null and empty texts have no words; rows that share a doc_id are one document at the same
-    place, so they take nothing from each other; an empty table gives no rows; other columns are ignored.
+    they have a window) and take no further part. For the others, recompression names symbols, and equal windows have
+    chains of symbols of one name. Names that occur twice mark the stretches that may repeat: of equal stretches all
+    but the first go. Where one name has different stretches (at the ends of a repeat), the windows of the first of
+    each are compared, over the whole table. Words are compared by two hashes (95 bits). Null and empty texts have no
+    words; rows that share a doc_id are one document at the same place, so they take nothing from each other; an
+    empty table gives no rows; other columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
@@ -126,13 +149,23 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     rows = scratch.cut(known.select("uid", "doc_id", "th", "n", "whole").join(heads, "whole", "left"))
     # equal rows of one doc_id take part once
     firsts = rows.where("doc_id = head").groupBy("doc_id", "th").agg(F.min("uid").alias("uid"))
-    marks = known.join(firsts.select("uid"), "uid", "left_semi").select("uid", F.explode(F.arrays_zip("names", "starts")).alias("a")).select(F.col("a.names").alias("name"), "uid", "a.starts")
+    whose = firsts.select("uid", F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
+    marks = known.join(firsts.select("uid"), "uid", "left_semi").select("uid", "doc_id", F.explode(F.arrays_zip("names", "starts", "one", "two")).alias("a"))
+    marks = marks.select(F.col("a.names").alias("name"), "a.one", F.col("a.two").cast("int").alias("two"), "doc_id", "uid", "a.starts")
     twice = marks.where("name <> 0").groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    found = marks.where("name <> 0").join(twice, "name", "left_semi").unionByName(marks.where("name = 0"))
-    # a document's own places, at most one for each of its words
-    places = found.groupBy("uid").agg(F.collect_list("starts").alias("places")).join(firsts, "uid")
-    places = scratch.cut(places.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "places"))
+    found = scratch.cut(marks.where("name <> 0").join(twice, "name", "left_semi").unionByName(marks.where("name = 0")))
     scratch.drop(known)
+    place = F.struct("doc_id", F.shiftright("starts", 32).alias("start"))
+    kinds = scratch.cut(found.groupBy("name", "one", "two").agg(F.min(place).alias("f"), F.count("*").alias("c")))
+    # within one stretch no window is like another, but where there is no name
+    mixed = kinds.groupBy("name").agg(F.count("*").alias("k")).where("k > 1 or name = 0").select("name", F.lit(True).alias("mixed"))
+    kinds_of = kinds.join(mixed, "name", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("mixed or c > 1")
+    seats = found.join(kinds_of, ["name", "one", "two"]).select("uid", "starts", (place > F.col("f")).alias("later"), "mixed").where("later or mixed")
+    seats = scratch.cut(seats)
+    scratch.drop(found, kinds)
+    # a document's own places, at most one for each of its words
+    places = seats.where("not later").groupBy("uid").agg(F.collect_list("starts").alias("places")).join(whose, "uid")
+    places = scratch.cut(places.select("__doc", "__th", "places"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -151,16 +184,19 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     seen = texts.join(places, at_home(places)).select("doc_id", "th", "text", "places").mapInArrow(hashes, "doc_id long, th long, start int, one long, two int")
     seen = scratch.cut(seen)
     first = seen.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1").select("one", "two", "f")
-    later = seen.join(first, ["one", "two"]).where(F.struct("doc_id", "start") > F.col("f")).select("doc_id", "th", "start")
-    gone = scratch.cut(later.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("start").alias("starts")))
-    scratch.drop(seen, places)
+    start = F.col("start").cast("long")
+    later = seen.join(first, ["one", "two"]).where(F.struct("doc_id", "start") > F.col("f")).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), (F.shiftleft(start, 32) + start).alias("starts"))
+    later = later.unionByName(seats.where("later").join(whose, "uid").select("__doc", "__th", "starts"))
+    gone = scratch.cut(later.groupBy("__doc", "__th").agg(F.collect_list("starts").alias("starts")))
+    scratch.drop(seen, places, seats)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, th, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.split()
-                step = np.bincount(starts, minlength=len(words) + 1) - np.bincount(np.array(starts) + window, minlength=len(words) + 1)
+                starts = np.array(starts)
+                step = np.bincount(starts >> 32, minlength=len(words) + 1) - np.bincount((starts & 0xFFFFFFFF) + window, minlength=len(words) + 1)
                 cut = np.cumsum(step)[:-1] > 0
                 out.append((doc, th, int(cut.sum()), sha([w for w, c in zip(words, cut, strict=True) if not c])))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "th", "n_removed", "kept_sha256"])
