@@ -98,35 +98,37 @@ def sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def profile(docs: DataFrame, window: int) -> DataFrame:
-    """For each row: number of words, digest of the words, and its anchors with the windows that each stands for.
+def counted(texts: DataFrame) -> DataFrame:
+    """doc_id, th, number of words and digest of the words of each row."""
 
-    starts has the first start of these windows in its upper half and the last one in its lower half; one and two are
-    hashes of the stretch of words that they cover.
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(text or b"").split() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "th"]).columns, pa.array(map(len, words), pa.int64()), pa.array(map(sha, words), pa.string())], ["doc_id", "th", "n", "whole"])
+
+    return texts.mapInArrow(look, "doc_id long, th long, n long, whole string")
+
+
+def anchored(texts: DataFrame, window: int) -> DataFrame:
+    """doc_id, uid and text to a row for each anchor: its name, the windows that it stands for, two hashes of the words that they cover.
+
+    starts has the first start of these windows in its upper half and the last one in its lower half.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, anchors = WordIds(), Anchors(window)
-        none = [np.empty(0, np.int64)] * 4
         for batch in batches:
-            n, whole, found = [], [], []
+            found = []
             for text in batch.column("text").to_pylist():
-                words = (text or b"").split()
-                n.append(len(words))
-                whole.append(sha(words))
-                if len(words) < window:
-                    found.append(none)
-                    continue
-                ids = known.array(words)
+                ids = known.array(text.split())
                 names, low, high = anchors(ids)
-                one, two = stretches(ids, low, high + window)
-                found.append((names.view(np.int64), (low << 32) + high, one.view(np.int64), two.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.select(["doc_id", "th"]).columns, pa.array(n, pa.int64()), pa.array(whole), *(pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(4))],
-                ["doc_id", "th", "n", "whole", "names", "starts", "one", "two"],
-            )
+                found.append((names, *stretches(ids, low, high + window), (low << 32) + high))
+            name, one, two, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+            whose = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            columns = [pa.array(name.view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.astype(np.int32)), *batch.select(["doc_id", "uid"]).take(pa.array(whose)).columns, pa.array(starts)]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "one", "two", "doc_id", "uid", "starts"])
 
-    return docs.mapInArrow(look, "doc_id long, th long, n long, whole string, names array<long>, starts array<long>, one array<long>, two array<long>")
+    return texts.select("doc_id", "uid", "text").mapInArrow(look, "name long, one long, two int, doc_id long, uid long, starts long")
 
 
 def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -144,17 +146,17 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    known = scratch.cut(uid(profile(texts, window)))
+    known = scratch.cut(uid(counted(texts)))
     heads = known.where(F.col("n") >= window).groupBy("whole").agg(F.min("doc_id").alias("head"))
-    rows = scratch.cut(known.select("uid", "doc_id", "th", "n", "whole").join(heads, "whole", "left"))
-    # equal rows of one doc_id take part once
-    firsts = rows.where("doc_id = head").groupBy("doc_id", "th").agg(F.min("uid").alias("uid"))
-    whose = firsts.select("uid", F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
-    marks = known.join(firsts.select("uid"), "uid", "left_semi").select("uid", "doc_id", F.explode(F.arrays_zip("names", "starts", "one", "two")).alias("a"))
-    marks = marks.select(F.col("a.names").alias("name"), "a.one", F.col("a.two").cast("int").alias("two"), "doc_id", "uid", "a.starts")
+    rows = scratch.cut(known.join(heads, "whole", "left"))
+    scratch.drop(known)
+    # equal rows of one doc_id have one uid
+    whose = rows.where("doc_id = head").groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.min("uid").alias("uid"))
+    at_home = lambda other: (F.col("doc_id") == other["__doc"]) & (F.col("th") == other["__th"])
+    marks = scratch.cut(anchored(texts.join(whose, at_home(whose)), window))
     twice = marks.where("name <> 0").groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
     found = scratch.cut(marks.where("name <> 0").join(twice, "name", "left_semi").unionByName(marks.where("name = 0")))
-    scratch.drop(known)
+    scratch.drop(marks)
     place = F.struct("doc_id", F.shiftright("starts", 32).alias("start"))
     kinds = scratch.cut(found.groupBy("name", "one", "two").agg(F.min(place).alias("f"), F.count("*").alias("c")))
     # within one stretch no window is like another, but where there is no name
@@ -168,19 +170,20 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     places = scratch.cut(places.select("__doc", "__th", "places"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
+        known = WordIds()
         for batch in batches:
-            for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = ids.array(text.split())
-                n = len(h) - window + 1
-                places = np.array(places)
-                step = np.bincount(places >> 32, minlength=n + 1) - np.bincount((places & 0xFFFFFFFF) + 1, minlength=n + 1)
+            found = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                ids, spans = known.array(text.split()), np.array(spans)
+                n = len(ids) - window + 1
+                step = np.bincount(spans >> 32, minlength=n + 1) - np.bincount((spans & 0xFFFFFFFF) + 1, minlength=n + 1)
                 start = np.flatnonzero(np.cumsum(step)[:n])
-                one = windows(h, window)[start]
-                two = windows(mix(h), window)[start] >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), doc, np.int64)), pa.array(np.full(len(start), th, np.int64)), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.astype(np.int32))], ["doc_id", "th", "start", "one", "two"])
+                found.append((start, *stretches(ids, start, start + window)))
+            start, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+            of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            columns = [*batch.select(["doc_id", "th"]).take(pa.array(of)).columns, pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "start", "one", "two"])
 
-    at_home = lambda other: (F.col("doc_id") == other["__doc"]) & (F.col("th") == other["__th"])
     seen = texts.join(places, at_home(places)).select("doc_id", "th", "text", "places").mapInArrow(hashes, "doc_id long, th long, start int, one long, two int")
     seen = scratch.cut(seen)
     first = seen.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1").select("one", "two", "f")
