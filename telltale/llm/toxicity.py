@@ -16,6 +16,8 @@ DISCOUNT = 0.75
 ORDER, SHARED = 5, 2
 #: Windows, in words, whose highest mean log ratio tells short toxic passages in long texts.
 SPANS = (1, 3, 20)
+#: Numbers of words, the most toxic ones of a text wherever they stand, whose mean log ratio tells scattered expressions from a single chance one.
+TOPS = (2, 3, 4, 6, 10)
 
 
 def grams(word: str) -> list[str]:
@@ -74,12 +76,16 @@ class KneserNey:
 
 
 def summary(ratios: np.ndarray) -> list[float]:
-    """Length-normalised log ratio of the text, and the highest of its windows."""
+    """Length-normalised log ratio of the text, the highest of its windows, the means of its most toxic words, and the log of its length."""
     n = len(ratios)
     if not n:
-        return [0.0] * (1 + len(SPANS))
+        return [0.0] * (2 + len(SPANS) + len(TOPS))
     sums = np.concatenate([[0.0], np.cumsum(ratios)])
-    return [sums[-1] / n, *(float((sums[min(s, n) :] - sums[: n + 1 - min(s, n)]).max()) / min(s, n) for s in SPANS)]
+    k = min(n, max(TOPS))
+    high = np.zeros(max(TOPS))  # a text of fewer words says nothing with those it lacks
+    high[:k] = np.sort(np.partition(ratios, n - k)[n - k :])[::-1]
+    spans = [float((sums[min(s, n) :] - sums[: n + 1 - min(s, n)]).max()) / min(s, n) for s in SPANS]
+    return [sums[-1] / n, *spans, *(float(high[:t].mean()) for t in TOPS), float(np.log(n))]
 
 
 def train(rows: DataFrame, least: int = 2) -> KneserNey:
