@@ -4,96 +4,226 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telltale.llm.shared import MULTIPLIER, Scratch, WordIds, mix, small_batches
+from telltale.llm.shared import Scratch, WordIds, mix, small_batches
 
+#: A chunk ends at so many words or documents; a document's number in its chunk and its target flag take 16 bits.
+CHUNK_WORDS, CHUNK_DOCS = 2_000_000, 1 << 15
+#: So many buckets of pairs at least.
+LEAST_BUCKETS = 128
 
-class Cells:
-    """The shared vocabulary: words and word pairs hashed into a fixed number of cells, the same for both models."""
 
-    def __init__(self, bits: int):
-        self.bits, self.ids = bits, WordIds()
+def hashes(text: bytes | None, ids: WordIds) -> np.ndarray:
+    return ids.array((text or b"").lower().split())
 
-    def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Cells of each word and of each pair of neighbours (the first word has a pair with nothing)."""
-        w = self.ids.array((text or b"").lower().split())
-        before = np.concatenate([np.zeros(min(1, len(w)), np.uint64), w[:-1]])
-        shift = np.uint64(64 - self.bits)
-        one, two = mix(w) >> shift, mix(w + before * MULTIPLIER) >> shift
-        return one.astype(np.int64), two.astype(np.int64) + (1 << self.bits)
 
+def tally(values: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and how often each occurs in all arrays and in those with a flag."""
+    every = np.concatenate(values)
+    at, inverse = np.unique(every, return_inverse=True)
+    marked = np.repeat(np.array(flags, float), [len(v) for v in values])
+    return at, np.stack([np.bincount(inverse, minlength=len(at)), np.bincount(inverse, marked, len(at))]).astype(np.int64)
 
-def count(docs: DataFrame, bits: int) -> DataFrame:
-    """(cell, background, target): how often each cell occurs in all documents and in those of the target."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, sums = Cells(bits), np.zeros((2, 2 << bits), np.int64)
-        for batch in batches:
-            texts, target = batch.column("text").to_pylist(), batch.column("target").to_numpy(zero_copy_only=False)
-            for group in (0, 1):
-                found = [c for t, y in zip(texts, target, strict=True) if y == group for c in cells(t)]
-                if found:
-                    at, n = np.unique(np.concatenate(found), return_counts=True)
-                    sums[:group + 1, at] += n
-        at = np.flatnonzero(sums[0])
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(s[part]) for s in sums)], ["cell", "background", "target"])
+def chunks(batches: Iterator[pa.RecordBatch], ids: WordIds) -> Iterator[tuple[list, list[np.ndarray], list[int]]]:
+    """(rows without text, word hashes, target flags) of bounded numbers of documents."""
+    rows, words, flags, n = [], [], [], 0
+    for batch in batches:
+        for uid, doc, target, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "target", "text")), strict=True):
+            w = hashes(text, ids)
+            rows.append((uid, doc))
+            words.append(w)
+            flags.append(target)
+            n += len(w)
+            if n >= CHUNK_WORDS or len(rows) >= CHUNK_DOCS:
+                yield rows, words, flags
+                rows, words, flags, n = [], [], [], 0
+    if rows:
+        yield rows, words, flags
 
-    return docs.mapInArrow(tally, "cell int, background long, target long").groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
+def totals_by_key(docs: DataFrame, of) -> DataFrame:
+    """(key, background, target): sums of what `of` finds in each chunk, (keys, counts for both models)."""
 
-def losses(table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For one model: log probability of each word cell, count of each pair cell, and count of each word cell."""
-    one, two = table[: 1 << bits], table[1 << bits :]
-    return np.log((one + 0.5) / (one.sum() + 0.5 * len(one))), two, one
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, flags in chunks(batches, WordIds()):
+            at, sums = of(words, flags)
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *map(pa.array, sums)], ["key", "background", "target"])
 
+    return docs.mapInArrow(count, "key long, background long, target long").groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
-def lm_scores(docs: DataFrame, target: Column, bits: int = 20, back: float = 2.0) -> DataFrame:
+
+def word_counts(words: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each word; the key 0 counts documents that have words."""
+    at, sums = tally(words, flags)
+    full = np.array([len(w) > 0 for w in words])
+    return np.append(at, np.uint64(0)), np.append(sums, [[full.sum()], [(full * flags).sum()]], 1)
+
+
+def found(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the sorted keys, and where."""
+    place = np.minimum(np.searchsorted(keys, values), max(0, len(keys) - 1))
+    return (keys[place] == values if len(keys) else np.zeros(len(values), bool)), place
+
+
+def sorted_counts(few: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their counts, for tables of bounded size."""
+    table = few.toArrow()
+    keys = table.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.stack([table.column(c).to_numpy() for c in ("background", "target")])[:, order].astype(float)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Unsigned columns as compressed byte planes."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, (8, 2, 3, 3, 3, 4, 4), strict=True)), 1)
+
+
+def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(zstandard.decompress(blob), np.uint8), [], 0
+    for k in (8, 2, 3, 3, 3, 4, 4):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :k] = raw[at : at + n * k].reshape(k, n).T
+        out.append(wide.view("<u8").ravel().astype(np.int64 if k < 8 else np.uint64))
+        at += n * k
+    return out
+
+
+def coded(numbers: np.ndarray) -> np.ndarray:
+    n = numbers.astype(np.uint64)
+    return (np.concatenate([np.zeros(min(1, len(n)), np.uint64), n[:-1]]) << np.uint64(32)) + n
+
+
+class Model:
+    """Counts of the vocabulary's words for both models. Words get numbers from 1; 0 is the start, the last number every word outside the vocabulary."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, starts: np.ndarray, back: float):
+        self.keys, self.back, self.totals = keys, back, totals
+        self.counts = np.hstack([starts[:, None], counts, totals[:, None] - counts.sum(1, keepdims=True)])
+
+    def numbers(self, w: np.ndarray) -> np.ndarray:
+        known, place = found(self.keys, w)
+        return np.where(known, place + 1, len(self.keys) + 1)
+
+    def pairs(self, words: list[np.ndarray]) -> list[np.ndarray]:
+        """Each word with the one before it, as one number: the vocabulary number of the first times 2^32 and that of the second."""
+        return [coded(self.numbers(w)) for w in words]
+
+    def losses(self, pair: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Summed background and target losses of m equal pairs (a, b) of a document, which is left out of the counts it is in."""
+        out = []
+        for k, inside in ((0, np.ones(len(m), bool)), (1, target.astype(bool))):
+            c = self.counts[k]
+            word = np.maximum(c[b] - inside * own_b, 0)
+            context, both = np.maximum(c[a] - inside * own_a, 0), np.maximum(pair[k] - inside * m, 0)
+            p = (word + 0.5) / (self.totals[k] + 0.5 * (len(c) - 1))
+            out.append(-m * np.log((both + self.back * p) / (np.maximum(context, both) + self.back)))
+        return np.stack(out)
+
+
+def lm_scores(docs: DataFrame, target: Column, vocabulary: int = 1 << 18, back: float = 2.0, bucket_words: int = 2_000_000, hot_share: float = 2.0**-16) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (their difference; lower: more like the target).
 
     The background model counts every document, the target model those for which the condition `target` holds; both
-    count the same cells and smooth alike: a pair's probability is (count + back * word's probability) / (context + back).
-    A cell is a hash of a word or pair, so the models take 2^(bits+1) counts each whatever the input: that bounds what
-    is broadcast, at the price that rare words may share a cell. A document is scored without its own
-    counts in either model. Null and empty texts have no tokens and a null score; repeated rows count and are scored
-    once each; an empty target leaves the target model uniform; other columns are ignored.
+    share the `vocabulary` most frequent words (all other words are one class) and smooth alike: a pair's probability
+    is (count + back * word's probability) / (context + back). Pairs of neighbouring words are counted exactly, however
+    many there are: each document's pairs are dealt by key into buckets of about `bucket_words` and scored there.
+    Pairs above `hot_share` of all words are counted beforehand instead, so no key fills a bucket. Only the vocabulary's
+    and these pairs' counts (2 / hot_share at most) are broadcast.
+    Words stand as 64-bit hashes. A document's own counts are taken from the words, contexts and pairs it is scored
+    by, not from the total number of words. Null and empty texts have no tokens and null losses; repeated rows count and are
+    scored once each; an empty target leaves the target model uniform; other columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(target, F.lit(False)).cast("int").alias("target"))
-    counts = scratch.cut(count(flagged, bits))
-    arrow = counts.toArrow()  # at most 2^(bits+1) rows
-    tables = np.zeros((2, 2 << bits), np.float32)
-    for k, c in enumerate(("background", "target")):
-        tables[k, arrow.column("cell").to_numpy()] = arrow.column(c).to_numpy()
-    shared = spark.sparkContext.broadcast(tables)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, t = Cells(bits), shared.value
-        floor, total = 0.5, [float(x[: 1 << bits].sum()) + 0.5 * (1 << bits) for x in t]
-
-        def loss(k: int, one: np.ndarray, two: np.ndarray, own: bool) -> float:
-            context, word, pair, n = np.append(0.0, t[k][one[:-1]]), t[k][one], t[k][two], total[k]
-            if own:
-                _, inverse, times = np.unique(two, return_inverse=True, return_counts=True)
-                _, at, often = np.unique(one, return_inverse=True, return_counts=True)
-                word, pair, n = word - often[at], pair - times[inverse], n - len(one)
-                context = np.append(0.0, word[:-1])
-            p = (np.maximum(pair, 0) + back * (np.maximum(word, 0) + floor) / n) / (np.maximum(np.maximum(context, 0), pair) + back)
-            return float(-np.log(p).mean())
-
-        for batch in batches:
-            rows = []
-            for doc, text, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one, two = cells(text)
-                if not len(one):
-                    rows.append((doc, 0, None, None, None))
-                    continue
-                a, b = loss(1, one, two, target == 1), loss(0, one, two, True)
-                rows.append((doc, len(one), a, b, a - b))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f) for k, f in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return flagged.mapInArrow(apply, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    flagged = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(target, F.lit(False)).cast("int").alias("target"))
+    counts = scratch.cut(totals_by_key(flagged, word_counts))
+    words = counts.where("key != 0")
+    sums = words.agg(F.sum("background"), F.sum("target")).first()
+    start = counts.where("key = 0").agg(F.sum("background"), F.sum("target")).first()
+    totals, starts = (np.array([x or 0 for x in r], float) for r in (sums, start))
+    keys, known = sorted_counts(words.orderBy(F.col("background").desc(), "key").limit(vocabulary))  # `vocabulary` rows at most
+    model = spark.sparkContext.broadcast(Model(keys, known, totals, starts, back))
+
+    def frequent(words: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        at, sums = tally(model.value.pairs(words), flags)
+        often = sums[0] >= sum(map(len, words)) * hot_share / 2
+        return at[often], sums[:, often]
+
+    # a pair above hot_share has over half of it in chunks where it is frequent, so none is missed and 2 / hot_share are found at most
+    likely = totals_by_key(flagged, frequent).where(F.col("background") >= float(totals[0] * hot_share / 2))
+    shared = spark.sparkContext.broadcast(sorted_counts(likely)[0])
+
+    def listed(words: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        at, sums = tally(model.value.pairs(words), flags)
+        known, _ = found(shared.value, at)
+        return at[known], sums[:, known]
+
+    hot_pairs = spark.sparkContext.broadcast(sorted_counts(totals_by_key(flagged, listed)))
+    buckets = max(LEAST_BUCKETS, int(totals[0] // bucket_words))
+    scratch.drop(counts)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each document (bucket null) with its losses by hot pairs, and one for each bucket of a chunk."""
+        m, (hot, table) = model.value, hot_pairs.value
+        for rows, texts, flags in chunks(batches, WordIds()):
+            own, parts = [], []
+            for k, (w, t) in enumerate(zip(texts, flags, strict=True)):
+                loss = np.zeros(2)
+                if len(w):
+                    numbers = m.numbers(w)
+                    before = np.concatenate([[0], numbers[:-1]])
+                    _, inverse, often = np.unique(numbers, return_inverse=True, return_counts=True)
+                    own_b = often[inverse]
+                    code, first, n = np.unique(coded(numbers), return_index=True, return_counts=True)
+                    columns = [n, before[first], numbers[first], np.concatenate([[1], own_b[:-1]])[first], own_b[first]]
+                    known, place = found(hot, code)
+                    if known.any():
+                        c = [x[known] for x in columns]
+                        loss = m.losses(table[:, place[known]], *c, np.full(known.sum(), t)).sum(1)
+                    rest = ~known
+                    parts.append((code[rest], np.full(rest.sum(), 2 * k + t), *(x[rest] for x in columns)))
+                own.append(loss)
+            losses = np.array(own)
+            n = len(rows)
+            yield record([None] * n, [rows[0][0]] * n, list(range(n)), [r[1] for r in rows], [len(w) for w in texts], losses[:, 0], losses[:, 1], [None] * n)
+            if not parts:
+                continue
+            code, doc, times, a, b, own_a, own_b = (np.concatenate(c) for c in zip(*parts, strict=True))
+            bucket = (mix(code) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((code, bucket))
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = [x for x in range(buckets) if edges[x] < edges[x + 1]]
+            for group in (full[i : i + 64] for i in range(0, len(full), 64)):
+                at = [order[edges[x] : edges[x + 1]] for x in group]
+                n = len(group)
+                yield record(group, [rows[0][0]] * n, [0] * n, [None] * n, list(map(len, at)), [0.0] * n, [0.0] * n, [packed(code[i], doc[i], times[i], a[i], b[i], own_a[i], own_b[i]) for i in at])
+
+    fields = [("bucket", pa.int64()), ("chunk", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("background", pa.float64()), ("target", pa.float64()), ("pairs", pa.binary())]
+
+    def record(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [x for x, _ in fields])
+
+    def weigh(table: pa.Table) -> pa.Table:
+        """A bucket's pairs are counted over all chunks; each chunk's documents get their losses."""
+        lengths = table.column("n").to_numpy()
+        code, doc, times, a, b, own_a, own_b = (np.concatenate(c) for c in zip(*(unpacked(x.as_py(), n) for x, n in zip(table.column("pairs"), lengths, strict=True)), strict=True))
+        flag = doc & 1
+        _, inverse = np.unique(code, return_inverse=True)
+        pair = np.stack([np.bincount(inverse, times)[inverse], np.bincount(inverse, times * flag)[inverse]])
+        loss = model.value.losses(pair, times, a, b, own_a, own_b, flag)
+        key = np.repeat(np.arange(len(lengths)), lengths) * CHUNK_DOCS + (doc >> 1)
+        at, inverse = np.unique(key, return_inverse=True)
+        chunk = table.column("chunk").to_numpy()[at // CHUNK_DOCS]
+        return pa.table({"chunk": chunk, "place": (at % CHUNK_DOCS).astype(np.int32), "background": np.bincount(inverse, loss[0]), "target": np.bincount(inverse, loss[1])})
+
+    dealt = scratch.cut(flagged.mapInArrow(deal, "bucket long, chunk long, place int, doc_id long, n long, background double, target double, pairs binary"))
+    weighed = dealt.where("bucket is not null").groupBy("bucket").applyInArrow(weigh, "chunk long, place int, background double, target double")
+    whole = dealt.where("bucket is null").select("chunk", "place", "background", "target", "doc_id", "n")
+    both = whole.unionByName(weighed.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n")))
+    summed = both.groupBy("chunk", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"))
+    per = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    return summed.select("doc_id", "n_tokens", per("t").alias("target_loss"), per("b").alias("background_loss"), ((per("t") - per("b"))).alias("score"))

@@ -1,6 +1,7 @@
 """The text operators on small tables: brute force, and nulls, empties, ties, repeats, clashing columns and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from telltale.llm import decontamination, exact_dedup, jaccard_join, lm_scoring, packing, quality, secrets, sharding, substring_dedup, toxicity
@@ -63,7 +65,7 @@ def every(spark, docs, labels, benchmark):
         "quality": lambda: quality.score(docs, labels),
         "decontaminate": lambda: decontamination.contamination(docs, benchmark),
         "pack": lambda: packing.pack(docs, vocabulary(), 64),
-        "lm": lambda: lm_scoring.lm_scores(docs, F.col("source") == "src1", bits=12),
+        "lm": lambda: lm_scoring.lm_scores(docs, F.col("source") == "src1"),
         "exact": lambda: exact_dedup.mark_copies(docs),
         "jaccard": lambda: jaccard_join.jaccard_groups(docs),
         "toxicity": lambda: toxicity.toxicity(docs, labels),
@@ -251,10 +253,50 @@ def test_quality_on_held_out_rows(spark):
 
 def test_language_models_prefer_their_own(spark):
     rows = [(k, " ".join(random.Random(k).choices("one two three four".split() if k % 2 else "five six seven eight".split(), k=40)), "en", f"s{k % 2}") for k in range(60)]
-    got = lm_scoring.lm_scores(frame(spark, rows), F.col("source") == "s1", bits=14).collect()
+    got = lm_scoring.lm_scores(frame(spark, rows), F.col("source") == "s1").collect()
     assert max(r["score"] for r in got if r["doc_id"] % 2) < min(r["score"] for r in got if r["doc_id"] % 2 == 0)
 
 
+def plain_losses(rows, size, back):
+    """Losses by counts in dictionaries: doc_id to (n_tokens, target loss, background loss)."""
+    split = [(d, (t or "").lower().split(), s == "src1") for d, t, _, s in rows]
+    every = Counter(w for _, words, _ in split for w in words)
+    known = {w for w, _ in sorted(every.items(), key=lambda x: (-x[1], np.uint64(xxhash.xxh3_64_intdigest(x[0].encode())).astype(np.int64)))[:size]}
+    named = [(d, ["<s>"] + [w if w in known else "<other>" for w in words], y) for d, words, y in split]
+    models = []
+    for group in (named, [x for x in named if x[2]]):
+        words = Counter(w for _, s, _ in group if len(s) > 1 for w in s)
+        models.append((words, Counter(p for _, s, _ in group for p in zip(s, s[1:])), sum(len(s) - 1 for _, s, _ in group)))
+    out = {}
+    for d, s, y in named:
+        own, own_pairs = Counter(s), Counter(zip(s, s[1:]))
+        losses = []
+        for k, (words, pairs, total) in enumerate(models):
+            inside = k == 0 or y
+            loss = 0.0
+            for a, b in zip(s, s[1:]):
+                both, word, context = pairs[a, b] - inside * own_pairs[a, b], words[b] - inside * own[b], words[a] - inside * own[a]
+                p = (word + 0.5) / (total + 0.5 * (len(known) + 1))
+                loss -= math.log((both + back * p) / (max(context, both) + back))
+            losses.append(loss / max(1, len(s) - 1))
+        out[d] = (len(s) - 1, losses[1], losses[0])
+    return out
+
+
+@pytest.mark.parametrize("size", (1 << 18, 100))
+@pytest.mark.parametrize("share", (2.0**-16, 0.02, 2.0))
+def test_lm_brute_force(docs, size, share):
+    """Few, some or all pairs counted beforehand; a large or small vocabulary."""
+    want = plain_losses([r for r in made() if r[0] != 7], size, 2.0)
+    for r in lm_scoring.lm_scores(docs.where("doc_id != 7"), F.col("source") == "src1", vocabulary=size, hot_share=share).collect():
+        n, a, b = want[r["doc_id"]]
+        assert r["n_tokens"] == n
+        if n:
+            assert (r["target_loss"], r["background_loss"], r["score"]) == pytest.approx((a, b, a - b), rel=1e-9, abs=1e-9)
+        else:
+            assert r["score"] is None
+
+
 def test_secrets(docs):
     found = {r["doc_id"]: r["n_secrets"] for r in secrets.secrets_by_document(docs).collect()}
     last = [r[0] for r in made() if r[1] and "AKIA" in r[1]][0]
