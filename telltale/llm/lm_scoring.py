@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,24 +17,33 @@ CHUNK_WORDS, CHUNK_DOCS = 2_000_000, 1 << 15
 LEAST_BUCKETS = 128
 
 
-def hashes(text: bytes | None, ids: WordIds) -> np.ndarray:
-    return ids.array((text or b"").lower().split())
+#: Bits of a word's number in the vocabulary.
+BITS = np.uint64(20)
+MASK = np.uint64((1 << 20) - 1)
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(np.append(first, len(values)))
 
 
 def tally(values: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, and how often each occurs in all arrays and in those with a flag."""
-    every = np.concatenate(values)
-    at, inverse = np.unique(every, return_inverse=True)
-    marked = np.repeat(np.array(flags, float), [len(v) for v in values])
-    return at, np.stack([np.bincount(inverse, minlength=len(at)), np.bincount(inverse, marked, len(at))]).astype(np.int64)
+    at, every = runs(np.concatenate(values))
+    some, n = runs(np.concatenate([np.zeros(0, np.uint64), *(v for v, y in zip(values, flags, strict=True) if y)]))
+    marked = np.zeros(len(at), np.int64)
+    marked[np.searchsorted(at, some)] = n
+    return at, np.stack([every, marked])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], ids: WordIds) -> Iterator[tuple[list, list[np.ndarray], list[int]]]:
-    """(rows without text, word hashes, target flags) of bounded numbers of documents."""
+    """(rows without text, what `ids` says of their words, target flags) of bounded numbers of documents."""
     rows, words, flags, n = [], [], [], 0
     for batch in batches:
         for uid, doc, target, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "target", "text")), strict=True):
-            w = hashes(text, ids)
+            w = ids.array((text or b"").lower().split())
             rows.append((uid, doc))
             words.append(w)
             flags.append(target)
@@ -45,11 +55,11 @@ def chunks(batches: Iterator[pa.RecordBatch], ids: WordIds) -> Iterator[tuple[li
         yield rows, words, flags
 
 
-def totals_by_key(docs: DataFrame, of) -> DataFrame:
-    """(key, background, target): sums of what `of` finds in each chunk, (keys, counts for both models)."""
+def totals_by_key(docs: DataFrame, of, ids) -> DataFrame:
+    """(key, background, target): sums of what `of` finds in each chunk, (keys, counts for both models). ids() makes a task's WordIds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, flags in chunks(batches, WordIds()):
+        for _, words, flags in chunks(batches, ids()):
             at, sums = of(words, flags)
             yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *map(pa.array, sums)], ["key", "background", "target"])
 
@@ -77,26 +87,25 @@ def sorted_counts(few: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.stack([table.column(c).to_numpy() for c in ("background", "target")])[:, order].astype(float)
 
 
+#: Bytes of a pair, document and flag, times, own counts of both words.
+PLANES = (5, 2, 4, 4, 4)
+
+
 def packed(*columns: np.ndarray) -> bytes:
     """Unsigned columns as compressed byte planes."""
-    return zstandard.compress(b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, (8, 2, 3, 3, 3, 4, 4), strict=True)), 1)
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, PLANES, strict=True)), 1)
 
 
 def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
     raw, out, at = np.frombuffer(zstandard.decompress(blob), np.uint8), [], 0
-    for k in (8, 2, 3, 3, 3, 4, 4):
+    for k in PLANES:
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :k] = raw[at : at + n * k].reshape(k, n).T
-        out.append(wide.view("<u8").ravel().astype(np.int64 if k < 8 else np.uint64))
+        out.append(wide.view("<u8").ravel().astype(np.int64))
         at += n * k
     return out
 
 
-def coded(numbers: np.ndarray) -> np.ndarray:
-    n = numbers.astype(np.uint64)
-    return (np.concatenate([np.zeros(min(1, len(n)), np.uint64), n[:-1]]) << np.uint64(32)) + n
-
-
 class Model:
     """Counts of the vocabulary's words for both models. Words get numbers from 1; 0 is the start, the last number every word outside the vocabulary."""
 
@@ -104,13 +113,10 @@ class Model:
         self.keys, self.back, self.totals = keys, back, totals
         self.counts = np.hstack([starts[:, None], counts, totals[:, None] - counts.sum(1, keepdims=True)])
 
-    def numbers(self, w: np.ndarray) -> np.ndarray:
-        known, place = found(self.keys, w)
-        return np.where(known, place + 1, len(self.keys) + 1)
-
-    def pairs(self, words: list[np.ndarray]) -> list[np.ndarray]:
-        """Each word with the one before it, as one number: the vocabulary number of the first times 2^32 and that of the second."""
-        return [coded(self.numbers(w)) for w in words]
+    def ids(self) -> WordIds:
+        """Numbers of words, as bytes."""
+        numbers, other = {k: n for n, k in enumerate(self.keys.tolist(), 1)}, len(self.keys) + 1
+        return WordIds(of=lambda w: numbers.get(xxhash.xxh3_64_intdigest(w), other))
 
     def losses(self, pair: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Summed background and target losses of m equal pairs (a, b) of a document, which is left out of the counts it is in."""
@@ -124,11 +130,16 @@ class Model:
         return np.stack(out)
 
 
+def coded(numbers: np.ndarray) -> np.ndarray:
+    """Each word with the one before it (first: the start), as one number."""
+    return (np.concatenate([np.zeros(min(1, len(numbers)), np.uint64), numbers[:-1]]) << BITS) + numbers
+
+
 def lm_scores(docs: DataFrame, target: Column, vocabulary: int = 1 << 18, back: float = 2.0, bucket_words: int = 2_000_000, hot_share: float = 2.0**-16) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (their difference; lower: more like the target).
 
     The background model counts every document, the target model those for which the condition `target` holds; both
-    share the `vocabulary` most frequent words (all other words are one class) and smooth alike: a pair's probability
+    share the `vocabulary` (under 2^20) most frequent words (all other words are one class) and smooth alike: a pair's probability
     is (count + back * word's probability) / (context + back). Pairs of neighbouring words are counted exactly, however
     many there are: each document's pairs are dealt by key into buckets of about `bucket_words` and scored there.
     Pairs above `hot_share` of all words are counted beforehand instead, so no key fills a bucket. Only the vocabulary's
@@ -140,7 +151,7 @@ def lm_scores(docs: DataFrame, target: Column, vocabulary: int = 1 << 18, back:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     flagged = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(target, F.lit(False)).cast("int").alias("target"))
-    counts = scratch.cut(totals_by_key(flagged, word_counts))
+    counts = scratch.cut(totals_by_key(flagged, word_counts, WordIds))
     words = counts.where("key != 0")
     sums = words.agg(F.sum("background"), F.sum("target")).first()
     start = counts.where("key = 0").agg(F.sum("background"), F.sum("target")).first()
@@ -148,59 +159,58 @@ def lm_scores(docs: DataFrame, target: Column, vocabulary: int = 1 << 18, back:
     keys, known = sorted_counts(words.orderBy(F.col("background").desc(), "key").limit(vocabulary))  # `vocabulary` rows at most
     model = spark.sparkContext.broadcast(Model(keys, known, totals, starts, back))
 
+    def numbers() -> WordIds:
+        return model.value.ids()
+
     def frequent(words: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        at, sums = tally(model.value.pairs(words), flags)
+        at, sums = tally([coded(w) for w in words], flags)
         often = sums[0] >= sum(map(len, words)) * hot_share / 2
         return at[often], sums[:, often]
 
     # a pair above hot_share has over half of it in chunks where it is frequent, so none is missed and 2 / hot_share are found at most
-    likely = totals_by_key(flagged, frequent).where(F.col("background") >= float(totals[0] * hot_share / 2))
+    likely = totals_by_key(flagged, frequent, numbers).where(F.col("background") >= float(totals[0] * hot_share / 2))
     shared = spark.sparkContext.broadcast(sorted_counts(likely)[0])
 
     def listed(words: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        at, sums = tally(model.value.pairs(words), flags)
+        at, sums = tally([coded(w) for w in words], flags)
         known, _ = found(shared.value, at)
         return at[known], sums[:, known]
 
-    hot_pairs = spark.sparkContext.broadcast(sorted_counts(totals_by_key(flagged, listed)))
+    hot_pairs = spark.sparkContext.broadcast(sorted_counts(totals_by_key(flagged, listed, numbers)))
     buckets = max(LEAST_BUCKETS, int(totals[0] // bucket_words))
     scratch.drop(counts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each document (bucket null) with its losses by hot pairs, and one for each bucket of a chunk."""
         m, (hot, table) = model.value, hot_pairs.value
-        for rows, texts, flags in chunks(batches, WordIds()):
-            own, parts = [], []
-            for k, (w, t) in enumerate(zip(texts, flags, strict=True)):
-                loss = np.zeros(2)
-                if len(w):
-                    numbers = m.numbers(w)
-                    before = np.concatenate([[0], numbers[:-1]])
-                    _, inverse, often = np.unique(numbers, return_inverse=True, return_counts=True)
-                    own_b = often[inverse]
-                    code, first, n = np.unique(coded(numbers), return_index=True, return_counts=True)
-                    columns = [n, before[first], numbers[first], np.concatenate([[1], own_b[:-1]])[first], own_b[first]]
-                    known, place = found(hot, code)
-                    if known.any():
-                        c = [x[known] for x in columns]
-                        loss = m.losses(table[:, place[known]], *c, np.full(known.sum(), t)).sum(1)
-                    rest = ~known
-                    parts.append((code[rest], np.full(rest.sum(), 2 * k + t), *(x[rest] for x in columns)))
-                own.append(loss)
-            losses = np.array(own)
-            n = len(rows)
-            yield record([None] * n, [rows[0][0]] * n, list(range(n)), [r[1] for r in rows], [len(w) for w in texts], losses[:, 0], losses[:, 1], [None] * n)
-            if not parts:
-                continue
-            code, doc, times, a, b, own_a, own_b = (np.concatenate(c) for c in zip(*parts, strict=True))
-            bucket = (mix(code) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((code, bucket))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = [x for x in range(buckets) if edges[x] < edges[x + 1]]
-            for group in (full[i : i + 64] for i in range(0, len(full), 64)):
-                at = [order[edges[x] : edges[x + 1]] for x in group]
-                n = len(group)
-                yield record(group, [rows[0][0]] * n, [0] * n, [None] * n, list(map(len, at)), [0.0] * n, [0.0] * n, [packed(code[i], doc[i], times[i], a[i], b[i], own_a[i], own_b[i]) for i in at])
+        for rows, texts, flags in chunks(batches, numbers()):
+            n, lengths = len(rows), [len(w) for w in texts]
+            word = np.concatenate(texts)
+            at = np.repeat(np.arange(n, dtype=np.uint64), lengths)
+            pairs, times = runs((at << (BITS + BITS)) + np.concatenate([coded(w) for w in texts]))
+            own, often = runs((at << BITS) + word)
+            doc, a, b = pairs >> (BITS + BITS), (pairs >> BITS) & MASK, pairs & MASK
+            pairs &= (np.uint64(1) << (BITS + BITS)) - np.uint64(1)
+            own_b = often[np.searchsorted(own, (doc << BITS) + b)]
+            own_a = np.ones(len(pairs), np.int64)
+            own_a[a > 0] = often[np.searchsorted(own, ((doc << BITS) + a)[a > 0])]
+            doc, a, b = doc.astype(np.int64), a.astype(np.int64), b.astype(np.int64)
+            flag = np.array(flags)[doc]
+            known, place = found(hot, pairs)
+            loss = m.losses(table[:, place[known]], *(x[known] for x in (times, a, b, own_a, own_b, flag)))
+            losses = [np.bincount(doc[known], x, n) for x in loss]
+            yield record([None] * n, [rows[0][0]] * n, list(range(n)), [r[1] for r in rows], lengths, *losses, [None] * n)
+            rest = np.flatnonzero(~known)
+            key = mix(pairs[rest])
+            order = np.argsort(key)
+            rest, key = rest[order], key[order]
+            bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            columns = [x[rest] for x in (pairs, 2 * doc + flag, times, own_a, own_b)]
+            edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
+            for group in range(0, len(edges) - 1, 64):
+                cuts = [slice(*edges[k : k + 2]) for k in range(group, min(group + 64, len(edges) - 1))]
+                k = len(cuts)
+                yield record([int(bucket[c.start]) for c in cuts], [rows[0][0]] * k, [0] * k, [None] * k, [c.stop - c.start for c in cuts], [0.0] * k, [0.0] * k, [packed(*(x[c] for x in columns)) for c in cuts])
 
     fields = [("bucket", pa.int64()), ("chunk", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("background", pa.float64()), ("target", pa.float64()), ("pairs", pa.binary())]
 
@@ -210,11 +220,11 @@ def lm_scores(docs: DataFrame, target: Column, vocabulary: int = 1 << 18, back:
     def weigh(table: pa.Table) -> pa.Table:
         """A bucket's pairs are counted over all chunks; each chunk's documents get their losses."""
         lengths = table.column("n").to_numpy()
-        code, doc, times, a, b, own_a, own_b = (np.concatenate(c) for c in zip(*(unpacked(x.as_py(), n) for x, n in zip(table.column("pairs"), lengths, strict=True)), strict=True))
+        code, doc, times, own_a, own_b = (np.concatenate(c) for c in zip(*(unpacked(x.as_py(), n) for x, n in zip(table.column("pairs"), lengths, strict=True)), strict=True))
         flag = doc & 1
         _, inverse = np.unique(code, return_inverse=True)
         pair = np.stack([np.bincount(inverse, times)[inverse], np.bincount(inverse, times * flag)[inverse]])
-        loss = model.value.losses(pair, times, a, b, own_a, own_b, flag)
+        loss = model.value.losses(pair, times, code >> 20, code & 0xFFFFF, own_a, own_b, flag)
         key = np.repeat(np.arange(len(lengths)), lengths) * CHUNK_DOCS + (doc >> 1)
         at, inverse = np.unique(key, return_inverse=True)
         chunk = table.column("chunk").to_numpy()[at // CHUNK_DOCS]
