@@ -13,6 +13,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A
 #: Forms that no other text has (a vendor's fixed beginning).
 VENDOR = (r"^AKIA[A-Z2-7]{16}$", r"^ghp_[A-Za-z0-9]{36}$")
 CONTEXT = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|credential|auth|bearer)\W{0,4}$"
+#: Forms that are sampled apart, so that rare ones are seen.
+KNOWN = (*VENDOR, r"(?i)^[0-9a-f]{40}$", r"(?i)^[0-9a-f]{18}$")
 #: Evidence for a secret: it is assigned to a secret's name, or follows "bearer".
 ASSIGNED = r"""(?i)(?:(?:key|token|secret|passw(?:or)?d|pwd|credentials?|auth)(?:_?id)?\s?["'`\]]{0,2}\s?(?:[=:]{1,2}>?|:=)\s?["'`]?|\b(?:bearer|basic)\s+["'`]?)$"""
 #: Evidence against one: it stands in a URL, is assigned to a name of other things, or goes on as a file name.
@@ -78,7 +80,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, sample: int = 20_00
     secret in what stands around them are the labels, with SEEDS; those without evidence are scored, but train nothing.
     As these labels come from the surroundings, the forest then sees a candidate's own features (FORM) only, and a
     candidate's evidence multiplies or divides the odds it gets from the forest by `odds`. At most `sample` labelled
-    candidates, those of least hash, train it. The dictionary is the table's `words` most frequent words of 3 letters
+    candidates of each label and KNOWN form (or none), those of least hash, train it; each weighs as many as it stands
+    for. The dictionary is the table's `words` most frequent words of 3 letters
     or more (all rows count); a site's feature is the share of its documents among all candidates per document.
     Null and empty texts have no candidates; repeated rows are scanned once each; with findings of one kind only every
     score is that kind; an empty table gives no rows; other columns are ignored.
@@ -91,23 +94,29 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, sample: int = 20_00
     rows = scratch.cut(measured(found, dictionary, sites).withColumn("evidence", evidence()))
     scratch.drop(found)
     if findings is None:
-        labelled = rows.withColumn("label", F.col("evidence")).where("label is not null")
+        labelled = rows.withColumn("label", F.col("evidence"))
     else:
         labelled = rows.join(findings.groupBy("candidate").agg(F.max("label").cast("double").alias("label")), "candidate")
-    train = labelled.orderBy(F.xxhash64("doc_id", "nth"), "doc_id", "nth").limit(sample).select("label", *FEATURES)
+    form = F.coalesce(*[F.when(F.col("candidate").rlike(k), i) for i, k in enumerate(KNOWN)], F.lit(-1))
+    labelled = scratch.cut(labelled.where("label is not null").withColumn("form", form))
+    strata = labelled.groupBy("label", "form").agg(F.count("*").alias("n")).collect()  # two labels of five forms
+    train = labelled.limit(0).select("label", F.lit(1.0).alias("weight"), *FEATURES)
+    for label, form, n in strata:
+        part = labelled.where((F.col("label") == label) & (F.col("form") == form)).orderBy(F.xxhash64("doc_id", "nth"), "doc_id", "nth").limit(sample)
+        train = train.unionByName(part.select("label", F.lit(max(n, sample) / sample).alias("weight"), *FEATURES))
+    kinds = {r["label"] for r in strata}
     if findings is None:
         usual = rows.agg(F.avg("site")).first()[0] or 0.0
         told = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(float(y)).alias("label")) for y, cs in SEEDS.items() for c in cs])))
         told = told.select(F.lit("").alias("source"), "candidate", "label", F.lit("").alias("before"), F.lit("").alias("after"))
-        train = train.unionByName(measured(told, dictionary, told.select("source").distinct().withColumn("site", F.lit(usual))).select("label", *FEATURES))
-    train = scratch.cut(train)
-    kinds = [r["label"] for r in train.select("label").distinct().collect()]
+        train = train.unionByName(measured(told, dictionary, told.select("source").distinct().withColumn("site", F.lit(usual))).select("label", F.lit(1.0).alias("weight"), *FEATURES))
+        kinds = {*kinds, *map(float, SEEDS)}
     keep = ["doc_id", "source", "nth", "candidate", "before", "after"]
     if len(kinds) < 2:
-        score = F.lit(float(kinds[0]) if kinds else 0.0)
+        score = F.lit(float(max(kinds, default=0.0)))
         return rows.select(*keep, score.alias("score"), (score >= threshold).alias("is_secret"))
     vector = VectorAssembler(inputCols=list(FORM if findings is None else FEATURES), outputCol="x")
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=6, seed=7).fit(vector.transform(train))
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=6, seed=7).fit(vector.transform(scratch.cut(train)))
     p = vector_to_array("probability")[1]
     if findings is None:
         k = F.when(F.col("evidence") == 1, odds).when(F.col("evidence") == 0, 1 / odds).otherwise(1.0)

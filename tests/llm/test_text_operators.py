@@ -342,6 +342,17 @@ def test_secrets_of_other_forms(spark):
     assert right >= 8 and right / max(1, len(hits & {*HELD_OUT[0], *HELD_OUT[1]})) >= 0.8
 
 
+def test_secrets_rare_label(spark):
+    """Few findings of one label among many of the other train the forest, however small the sample is."""
+    rng = random.Random(4)
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in range(4)]
+    ids = [f"item-{rng.randrange(10**9)}-page-{rng.randrange(99)}" for _ in range(600)]
+    rows = [(k, f"the {c} of", "en", "src0") for k, c in enumerate(ids + keys)]
+    findings = spark.createDataFrame([(c, 0) for c in ids] + [(c, 1) for c in keys], "candidate string, label int")
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), findings, sample=8).collect()
+    assert {r["candidate"] for r in found if r["is_secret"]} == set(keys)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
