@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telltale.llm.shared import Scratch, WordIds, mix, small_batches
+from telltale.llm.shared import MULTIPLIER, Scratch, WordIds, mix, small_batches
 
 #: A chunk ends at so many words or documents; a document's number in its chunk and its target flag take 16 bits.
 CHUNK_WORDS, CHUNK_DOCS = 2_000_000, 1 << 15
@@ -20,6 +20,9 @@ LEAST_BUCKETS = 128
 #: Bits of a word's number in the vocabulary.
 BITS = np.uint64(20)
 MASK = np.uint64((1 << 20) - 1)
+#: The same within a chunk, where words without a broadcast number (cold ones: hash with this bit) get one too.
+LOCAL = np.uint64(24)
+COLD = np.uint64(1 << 63)
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +92,18 @@ def sorted_counts(few: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 #: Bytes of a pair, document and flag, times, own counts of both words.
 PLANES = (5, 2, 4, 4, 4)
+#: The same with both words instead of the pair, and the first word's counts.
+COLD_PLANES = (8, 8, 2, 4, 4, 4, 6, 6)
 
 
-def packed(*columns: np.ndarray) -> bytes:
+def packed(*columns: np.ndarray, planes: tuple = PLANES) -> bytes:
     """Unsigned columns as compressed byte planes."""
-    return zstandard.compress(b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, PLANES, strict=True)), 1)
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, planes, strict=True)), 1)
 
 
-def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+def unpacked(blob: bytes, n: int, planes: tuple = PLANES) -> list[np.ndarray]:
     raw, out, at = np.frombuffer(zstandard.decompress(blob), np.uint8), [], 0
-    for k in PLANES:
+    for k in planes:
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :k] = raw[at : at + n * k].reshape(k, n).T
         out.append(wide.view("<u8").ravel().astype(np.int64))
@@ -107,43 +112,55 @@ def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
 
 
 class Model:
-    """Counts of the vocabulary's words for both models. Words get numbers from 1; 0 is the start, the last number every word outside the vocabulary."""
+    """Counts of the hot words for both models. They get numbers from 1; 0 is the start, the last number every other word, or with `cold` none: these then stand as hashes."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, starts: np.ndarray, back: float):
-        self.keys, self.back, self.totals = keys, back, totals
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, starts: np.ndarray, back: float, classes: int, cold: bool):
+        self.keys, self.back, self.totals, self.classes, self.cold = keys, back, totals, classes, cold
         self.counts = np.hstack([starts[:, None], counts, totals[:, None] - counts.sum(1, keepdims=True)])
 
     def ids(self) -> WordIds:
         """Numbers of words, as bytes."""
         numbers, other = {k: n for n, k in enumerate(self.keys.tolist(), 1)}, len(self.keys) + 1
-        return WordIds(of=lambda w: numbers.get(xxhash.xxh3_64_intdigest(w), other))
 
-    def losses(self, pair: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Summed background and target losses of m equal pairs (a, b) of a document, which is left out of the counts it is in."""
+        def number(word: bytes) -> int:
+            key = xxhash.xxh3_64_intdigest(word)
+            return numbers.get(key) or (key | 1 << 63 if self.cold else other)
+
+        return WordIds(of=number)
+
+    def losses(self, pair: np.ndarray, m: np.ndarray, count_a: np.ndarray, count_b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Summed background and target losses of m equal pairs of words with these counts in a document, which is left out of the counts it is in."""
         out = []
         for k, inside in ((0, np.ones(len(m), bool)), (1, target.astype(bool))):
-            c = self.counts[k]
-            word = np.maximum(c[b] - inside * own_b, 0)
-            context, both = np.maximum(c[a] - inside * own_a, 0), np.maximum(pair[k] - inside * m, 0)
-            p = (word + 0.5) / (self.totals[k] + 0.5 * (len(c) - 1))
+            word = np.maximum(count_b[k] - inside * own_b, 0)
+            context, both = np.maximum(count_a[k] - inside * own_a, 0), np.maximum(pair[k] - inside * m, 0)
+            p = (word + 0.5) / (self.totals[k] + 0.5 * self.classes)
             out.append(-m * np.log((both + self.back * p) / (np.maximum(context, both) + self.back)))
         return np.stack(out)
 
 
 def coded(numbers: np.ndarray) -> np.ndarray:
-    """Each word with the one before it (first: the start), as one number."""
-    return (np.concatenate([np.zeros(min(1, len(numbers)), np.uint64), numbers[:-1]]) << BITS) + numbers
+    """Each word with the one before it (first: the start), as one number; pairs with a cold word are left out."""
+    before = np.concatenate([np.zeros(min(1, len(numbers)), np.uint64), numbers[:-1]])
+    hot = (before | numbers) < COLD
+    return (before[hot] << BITS) + numbers[hot]
+
 
+def home(words: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a cold word."""
+    return (words >> np.uint64(32) & np.uint64(0x7FFFFFFF)) % np.uint64(buckets)
 
-def lm_scores(docs: DataFrame, target: Column, vocabulary: int = 1 << 18, back: float = 2.0, bucket_words: int = 2_000_000, hot_share: float = 2.0**-16) -> DataFrame:
+
+def lm_scores(docs: DataFrame, target: Column, vocabulary: int | None = None, back: float = 2.0, bucket_words: int = 2_000_000, hot_share: float = 2.0**-16, hot_words: int = 1 << 18) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (their difference; lower: more like the target).
 
     The background model counts every document, the target model those for which the condition `target` holds; both
-    share the `vocabulary` (under 2^20) most frequent words (all other words are one class) and smooth alike: a pair's probability
+    share all words (with `vocabulary`, under 2^20: only so many of the most frequent, all others are one class) and smooth alike: a pair's probability
     is (count + back * word's probability) / (context + back). Pairs of neighbouring words are counted exactly, however
     many there are: each document's pairs are dealt by key into buckets of about `bucket_words` and scored there.
-    Pairs above `hot_share` of all words are counted beforehand instead, so no key fills a bucket. Only the vocabulary's
-    and these pairs' counts (2 / hot_share at most) are broadcast.
+    Pairs above `hot_share` of all words are counted beforehand instead, so no key fills a bucket. Only the `hot_words` (under 2^20)
+    most frequent words' and these pairs' counts (2 / hot_share at most) are broadcast. Pairs with another (cold) word go to
+    that word's bucket, where its counts are joined in; pairs of two cold words go to the first, then to the second.
     Words stand as 64-bit hashes. A document's own counts are taken from the words, contexts and pairs it is scored
     by, not from the total number of words. Null and empty texts have no tokens and null losses; repeated rows count and are
     scored once each; an empty target leaves the target model uniform; other columns are ignored.
@@ -156,8 +173,10 @@ def lm_scores(docs: DataFrame, target: Column, vocabulary: int = 1 << 18, back:
     sums = words.agg(F.sum("background"), F.sum("target")).first()
     start = counts.where("key = 0").agg(F.sum("background"), F.sum("target")).first()
     totals, starts = (np.array([x or 0 for x in r], float) for r in (sums, start))
-    keys, known = sorted_counts(words.orderBy(F.col("background").desc(), "key").limit(vocabulary))  # `vocabulary` rows at most
-    model = spark.sparkContext.broadcast(Model(keys, known, totals, starts, back))
+    keys, known = sorted_counts(words.orderBy(F.col("background").desc(), "key").limit(hot_words if vocabulary is None else vocabulary))  # so many rows at most
+    classes = (words.count() if vocabulary is None else len(keys)) + 1
+    cold = classes > len(keys) + 1
+    model = spark.sparkContext.broadcast(Model(keys, known, totals, starts, back, classes, cold))
 
     def numbers() -> WordIds:
         return model.value.ids()
@@ -178,7 +197,6 @@ def lm_scores(docs: DataFrame, target: Column, vocabulary: int = 1 << 18, back:
 
     hot_pairs = spark.sparkContext.broadcast(sorted_counts(totals_by_key(flagged, listed, numbers)))
     buckets = max(LEAST_BUCKETS, int(totals[0] // bucket_words))
-    scratch.drop(counts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each document (bucket null) with its losses by hot pairs, and one for each bucket of a chunk."""
@@ -187,30 +205,51 @@ def lm_scores(docs: DataFrame, target: Column, vocabulary: int = 1 << 18, back:
             n, lengths = len(rows), [len(w) for w in texts]
             word = np.concatenate(texts)
             at = np.repeat(np.arange(n, dtype=np.uint64), lengths)
-            pairs, times = runs((at << (BITS + BITS)) + np.concatenate([coded(w) for w in texts]))
-            own, often = runs((at << BITS) + word)
-            doc, a, b = pairs >> (BITS + BITS), (pairs >> BITS) & MASK, pairs & MASK
-            pairs &= (np.uint64(1) << (BITS + BITS)) - np.uint64(1)
-            own_b = often[np.searchsorted(own, (doc << BITS) + b)]
+            base, rare = np.uint64(len(m.keys) + 2), word >= COLD
+            names, inverse = np.unique(word[rare], return_inverse=True)
+            word[rare] = base + inverse.astype(np.uint64)
+            before = np.concatenate([np.zeros(min(1, len(word)), np.uint64), word[:-1]])
+            before[np.append(True, at[1:] != at[:-1])[: len(at)]] = 0
+            pairs, times = runs((at << (LOCAL + LOCAL)) + (before << LOCAL) + word)
+            own, often = runs((at << LOCAL) + word)
+            mask = (np.uint64(1) << LOCAL) - np.uint64(1)
+            doc, a, b = pairs >> (LOCAL + LOCAL), (pairs >> LOCAL) & mask, pairs & mask
+            own_b = often[np.searchsorted(own, (doc << LOCAL) + b)]
             own_a = np.ones(len(pairs), np.int64)
-            own_a[a > 0] = often[np.searchsorted(own, ((doc << BITS) + a)[a > 0])]
-            doc, a, b = doc.astype(np.int64), a.astype(np.int64), b.astype(np.int64)
+            own_a[a > 0] = often[np.searchsorted(own, ((doc << LOCAL) + a)[a > 0])]
+            rare_a, rare_b = a >= base, b >= base
+            warm = ~(rare_a | rare_b)
+            pairs = (a << BITS) + b
+            doc = doc.astype(np.int64)
             flag = np.array(flags)[doc]
             known, place = found(hot, pairs)
-            loss = m.losses(table[:, place[known]], *(x[known] for x in (times, a, b, own_a, own_b, flag)))
+            known &= warm
+            p, q = a[known].astype(np.int64), b[known].astype(np.int64)
+            loss = m.losses(table[:, place[known]], times[known], m.counts[:, p], m.counts[:, q], *(x[known] for x in (own_a, own_b, flag)))
             losses = [np.bincount(doc[known], x, n) for x in loss]
             yield record([None] * n, [rows[0][0]] * n, list(range(n)), [r[1] for r in rows], lengths, *losses, [None] * n)
-            rest = np.flatnonzero(~known)
+            rest = np.flatnonzero(warm & ~known)
             key = mix(pairs[rest])
             order = np.argsort(key)
             rest, key = rest[order], key[order]
-            bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            columns = [x[rest] for x in (pairs, 2 * doc + flag, times, own_a, own_b)]
-            edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
-            for group in range(0, len(edges) - 1, 64):
-                cuts = [slice(*edges[k : k + 2]) for k in range(group, min(group + 64, len(edges) - 1))]
-                k = len(cuts)
-                yield record([int(bucket[c.start]) for c in cuts], [rows[0][0]] * k, [0] * k, [None] * k, [c.stop - c.start for c in cuts], [0.0] * k, [0.0] * k, [packed(*(x[c] for x in columns)) for c in cuts])
+            yield from bucketed((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), rows[0][0], [x[rest] for x in (pairs, 2 * doc + flag, times, own_a, own_b)], PLANES)
+            if len(names):
+                rest = np.flatnonzero(~warm)
+                a, b = a[rest], b[rest]
+                a[rare_a[rest]] = names[(a[rare_a[rest]] - base).astype(np.int64)]
+                b[rare_b[rest]] = names[(b[rare_b[rest]] - base).astype(np.int64)]
+                bucket = home(np.where(a >= COLD, a, b), buckets)
+                order = np.argsort(bucket, kind="stable")
+                none = np.zeros(len(rest), np.uint64)
+                yield from bucketed(bucket[order], rows[0][0], [x[order] for x in (a, b, *(y[rest] for y in (2 * doc + flag, times, own_a, own_b)), none, none)], COLD_PLANES)
+
+    def bucketed(bucket: np.ndarray, chunk: int, columns: list[np.ndarray], planes: tuple) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket; rows come in order of buckets."""
+        edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
+        for group in range(0, len(edges) - 1, 64):
+            cuts = [slice(*edges[k : k + 2]) for k in range(group, min(group + 64, len(edges) - 1))]
+            k = len(cuts)
+            yield record([int(bucket[c.start]) for c in cuts], [chunk] * k, [0 if planes is PLANES else 1] * k, [None] * k, [c.stop - c.start for c in cuts], [0.0] * k, [0.0] * k, [packed(*(x[c] for x in columns), planes=planes) for c in cuts])
 
     fields = [("bucket", pa.int64()), ("chunk", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("background", pa.float64()), ("target", pa.float64()), ("pairs", pa.binary())]
 
@@ -224,14 +263,59 @@ def lm_scores(docs: DataFrame, target: Column, vocabulary: int = 1 << 18, back:
         flag = doc & 1
         _, inverse = np.unique(code, return_inverse=True)
         pair = np.stack([np.bincount(inverse, times)[inverse], np.bincount(inverse, times * flag)[inverse]])
-        loss = model.value.losses(pair, times, code >> 20, code & 0xFFFFF, own_a, own_b, flag)
+        m = model.value
+        loss = m.losses(pair, times, m.counts[:, code >> 20], m.counts[:, code & 0xFFFFF], own_a, own_b, flag)
+        return by_document(table, lengths, doc, loss)
+
+    def by_document(table: pa.Table, lengths: np.ndarray, doc: np.ndarray, loss: np.ndarray) -> pa.Table:
         key = np.repeat(np.arange(len(lengths)), lengths) * CHUNK_DOCS + (doc >> 1)
         at, inverse = np.unique(key, return_inverse=True)
         chunk = table.column("chunk").to_numpy()[at // CHUNK_DOCS]
         return pa.table({"chunk": chunk, "place": (at % CHUNK_DOCS).astype(np.int32), "background": np.bincount(inverse, loss[0]), "target": np.bincount(inverse, loss[1])})
 
+    def weigh_cold(table: pa.Table, words: pa.Table) -> pa.Table:
+        """A cold word's pairs get its counts (place 1: the first cold word's, 2: the second's) and are weighed, unless the second is still to come."""
+        parts = []
+        if table.num_rows:
+            m, lengths, second = model.value, table.column("n").to_numpy(), table.column("place")[0].as_py() == 2
+            a, b, doc, times, own_a, own_b, *first = (np.concatenate(c) for c in zip(*(unpacked(x.as_py(), n, COLD_PLANES) for x, n in zip(table.column("pairs"), lengths, strict=True)), strict=True))
+            keys = words.column("key").to_numpy().view(np.uint64) | COLD
+            order = np.argsort(keys)
+            counts = np.stack([words.column(c).to_numpy()[order] for c in ("background", "target")])
+            word = np.where((a < 0) & (not second), a, b).view(np.uint64)
+            own = counts[:, np.searchsorted(keys[order], word)].astype(float)
+            if second:
+                count_a, count_b, ready = np.stack(first).astype(float), own, np.ones(len(a), bool)
+            else:
+                count_a, count_b, ready = np.where(a < 0, own, m.counts[:, np.maximum(a, 0)]), np.where(a < 0, m.counts[:, np.maximum(b, 0)], own), (a >= 0) | (b >= 0)
+            _, inverse = np.unique(mix(a.view(np.uint64) * MULTIPLIER + mix(b.view(np.uint64))), return_inverse=True)
+            flag = doc & 1
+            pair = np.stack([np.bincount(inverse, times)[inverse], np.bincount(inverse, times * flag)[inverse]])
+            loss = np.where(ready, m.losses(pair, times, count_a, count_b, own_a, own_b, flag), 0.0)
+            done = by_document(table, lengths, doc, loss)
+            n = done.num_rows
+            parts = [record([None] * n, done.column("chunk").to_numpy(), done.column("place").to_numpy(), [None] * n, [None] * n, *(done.column(c).to_numpy() for c in ("background", "target")), [None] * n)]
+            wait = np.flatnonzero(~ready)
+            chunk = np.repeat(np.arange(len(lengths)), lengths)[wait]
+            bucket = home(b[wait].view(np.uint64), buckets).astype(np.int64)
+            order = np.lexsort((bucket, chunk))
+            columns = [x[wait][order] for x in (a, b, doc, times, own_a, own_b, *own.astype(np.int64))]
+            chunk, bucket = chunk[order], bucket[order]
+            edges = np.append(np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (bucket[1:] != bucket[:-1]))), len(chunk)) if len(chunk) else [0]
+            names = table.column("chunk").to_pylist()
+            for i, j in zip(edges[:-1], edges[1:]):
+                parts.append(record([int(bucket[i])], [names[chunk[i]]], [2], [None], [int(j - i)], [0.0], [0.0], [packed(*(x[i:j] for x in columns), planes=COLD_PLANES)]))
+        return pa.Table.from_batches(parts, pa.schema(fields))
+
     dealt = scratch.cut(flagged.mapInArrow(deal, "bucket long, chunk long, place int, doc_id long, n long, background double, target double, pairs binary"))
-    weighed = dealt.where("bucket is not null").groupBy("bucket").applyInArrow(weigh, "chunk long, place int, background double, target double")
+    weighed = dealt.where("bucket is not null and place = 0").groupBy("bucket").applyInArrow(weigh, "chunk long, place int, background double, target double")
+    if cold:
+        owner = (F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(0x7FFFFFFF)) % buckets).alias("bucket")
+        few = words.where(F.col("background") <= float(known[0].min())).select(owner, "key", "background", "target").groupBy("bucket")
+        once = scratch.cut(dealt.where("bucket is not null and place = 1").groupBy("bucket").cogroup(few).applyInArrow(weigh_cold, dealt.schema))
+        twice = once.where("bucket is not null").groupBy("bucket").cogroup(few).applyInArrow(weigh_cold, dealt.schema)
+        for part in (once.where("bucket is null"), twice):
+            weighed = weighed.unionByName(part.select(*weighed.columns))
     whole = dealt.where("bucket is null").select("chunk", "place", "background", "target", "doc_id", "n")
     both = whole.unionByName(weighed.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n")))
     summed = both.groupBy("chunk", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"))

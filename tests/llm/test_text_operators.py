@@ -308,6 +308,17 @@ def test_lm_brute_force(docs, size, share):
             assert r["score"] is None
 
 
+@pytest.mark.parametrize("few", (1, 30, 300))
+def test_lm_all_words(docs, few):
+    """Every word counts as itself, also those that are not broadcast."""
+    want = plain_losses([r for r in made() if r[0] != 7], 1 << 18, 2.0)
+    for r in lm_scoring.lm_scores(docs.where("doc_id != 7"), F.col("source") == "src1", hot_words=few).collect():
+        n, a, b = want[r["doc_id"]]
+        assert r["n_tokens"] == n
+        if n:
+            assert (r["target_loss"], r["background_loss"]) == pytest.approx((a, b), rel=1e-9, abs=1e-9)
+
+
 def test_secrets(docs):
     found = {r["doc_id"]: r["n_secrets"] for r in secrets.secrets_by_document(docs).collect()}
     last = [r[0] for r in made() if r[1] and "AKIA" in r[1]][0]
