@@ -9,20 +9,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telltale.llm.shared import MULTIPLIER, Scratch, WordIds, mix, small_batches
+from telltale.llm.shared import Scratch, WordIds, mix, small_batches
 
-#: A chunk ends at so many words or documents; a document's number in its chunk and its target flag take 16 bits.
-CHUNK_WORDS, CHUNK_DOCS = 2_000_000, 1 << 15
-#: So many buckets of pairs at least.
-LEAST_BUCKETS = 128
-
-
-#: Bits of a word's number in the vocabulary.
+#: A chunk of documents ends at so many words or documents.
+CHUNK_WORDS, CHUNK_DOCS = 500_000, 1 << 15
+#: So many buckets of keys at least.
+LEAST_BUCKETS = 32
+#: Bits of a word's number; numbers are hot words', from 1 on. 0 is the start of a text.
 BITS = np.uint64(20)
-MASK = np.uint64((1 << 20) - 1)
-#: The same within a chunk, where words without a broadcast number (cold ones: hash with this bit) get one too.
-LOCAL = np.uint64(24)
+#: Cold words stand as hashes with this bit.
 COLD = np.uint64(1 << 63)
+#: Bytes of the columns of a request (key, counts in all and in target documents), of an answer (both sums) and of words.
+REQUEST, ANSWER, WORDS = (8, 4, 4), (6, 6), (8,)
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,17 +30,58 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
-def tally(values: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, and how often each occurs in all arrays and in those with a flag."""
-    at, every = runs(np.concatenate(values))
-    some, n = runs(np.concatenate([np.zeros(0, np.uint64), *(v for v, y in zip(values, flags, strict=True) if y)]))
+def tally(values: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and how often each occurs in all and with a flag."""
+    at, every = runs(values)
+    some, n = runs(values[flags])
     marked = np.zeros(len(at), np.int64)
     marked[np.searchsorted(at, some)] = n
     return at, np.stack([every, marked])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], ids: WordIds) -> Iterator[tuple[list, list[np.ndarray], list[int]]]:
-    """(rows without text, what `ids` says of their words, target flags) of bounded numbers of documents."""
+def packed(planes: tuple, *columns: np.ndarray) -> bytes:
+    """Unsigned columns as compressed byte planes."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, planes, strict=True)), 1)
+
+
+def unpacked(planes: tuple, blob: bytes, n: int) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(zstandard.decompress(blob), np.uint8), [], 0
+    for k in planes:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :k] = raw[at : at + n * k].reshape(k, n).T
+        out.append(wide.view("<u8").ravel())
+        at += n * k
+    return out
+
+
+class Chunk:
+    """Words of some documents one after the other, which document each is in, and each document's target flag."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, flags: np.ndarray):
+        self.words, self.lengths, self.flags = words, lengths, flags
+        self.at = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+        self.marked = flags.astype(bool)[self.at.astype(np.int64)]
+
+    def numbers(self, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The word before each, each word, both as numbers, and which are cold; all cold words are the number `other`."""
+        cold = self.words >= COLD
+        word = np.where(cold, np.uint64(other), self.words)
+        before = np.concatenate([np.zeros(min(1, len(word)), np.uint64), word[:-1]])
+        before[np.append(True, self.at[1:] != self.at[:-1])[: len(word)]] = 0
+        return before, word, cold
+
+    def keys(self, other: int) -> tuple[np.ndarray, np.ndarray]:
+        """What must be counted over all chunks: each pair of numbers and each cold word, with its flags."""
+        before, word, cold = self.numbers(other)
+        return np.concatenate([(before << BITS) + word, self.words[cold]]), np.concatenate([self.marked, self.marked[cold]])
+
+
+def chunks(batches: Iterator[pa.RecordBatch], ids: WordIds, size: int = CHUNK_WORDS) -> Iterator[tuple[int, list, Chunk]]:
+    """(number of the first row, doc_ids, words as `ids` has them) of bounded numbers of documents."""
+
+    def made():
+        return rows[0][0], [r[1] for r in rows], Chunk(np.concatenate(words), np.array([len(w) for w in words]), np.array(flags))
+
     rows, words, flags, n = [], [], [], 0
     for batch in batches:
         for uid, doc, target, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "target", "text")), strict=True):
@@ -51,273 +90,156 @@ def chunks(batches: Iterator[pa.RecordBatch], ids: WordIds) -> Iterator[tuple[li
             words.append(w)
             flags.append(target)
             n += len(w)
-            if n >= CHUNK_WORDS or len(rows) >= CHUNK_DOCS:
-                yield rows, words, flags
+            if n >= size or len(rows) >= CHUNK_DOCS:
+                yield made()
                 rows, words, flags, n = [], [], [], 0
     if rows:
-        yield rows, words, flags
+        yield made()
 
 
-def totals_by_key(docs: DataFrame, of, ids) -> DataFrame:
-    """(key, background, target): sums of what `of` finds in each chunk, (keys, counts for both models). ids() makes a task's WordIds."""
+def word_totals(docs: DataFrame) -> DataFrame:
+    """(key, background, target): how often each word occurs in all and in target documents; key 0 counts texts that have words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, flags in chunks(batches, ids()):
-            at, sums = of(words, flags)
-            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *map(pa.array, sums)], ["key", "background", "target"])
+        for _, _, chunk in chunks(batches, WordIds(), 2 * CHUNK_WORDS):
+            at, sums = tally(chunk.words, chunk.marked)
+            full = chunk.lengths > 0
+            keys, sums = np.append(at, np.uint64(0)), np.append(sums, [[full.sum()], [(full * chunk.flags).sum()]], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], ["key", "background", "target"])
 
     return docs.mapInArrow(count, "key long, background long, target long").groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def word_counts(words: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each word; the key 0 counts documents that have words."""
-    at, sums = tally(words, flags)
-    full = np.array([len(w) > 0 for w in words])
-    return np.append(at, np.uint64(0)), np.append(sums, [[full.sum()], [(full * flags).sum()]], 1)
-
-
-def found(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values are among the sorted keys, and where."""
-    place = np.minimum(np.searchsorted(keys, values), max(0, len(keys) - 1))
-    return (keys[place] == values if len(keys) else np.zeros(len(values), bool)), place
-
-
-def sorted_counts(few: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and their counts, for tables of bounded size."""
-    table = few.toArrow()
-    keys = table.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.stack([table.column(c).to_numpy() for c in ("background", "target")])[:, order].astype(float)
-
-
-#: Bytes of a pair, document and flag, times, own counts of both words.
-PLANES = (5, 2, 4, 4, 4)
-#: The same with both words instead of the pair, and the first word's counts.
-COLD_PLANES = (8, 8, 2, 4, 4, 4, 6, 6)
-
-
-def packed(*columns: np.ndarray, planes: tuple = PLANES) -> bytes:
-    """Unsigned columns as compressed byte planes."""
-    return zstandard.compress(b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, planes, strict=True)), 1)
-
-
-def unpacked(blob: bytes, n: int, planes: tuple = PLANES) -> list[np.ndarray]:
-    raw, out, at = np.frombuffer(zstandard.decompress(blob), np.uint8), [], 0
-    for k in planes:
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :k] = raw[at : at + n * k].reshape(k, n).T
-        out.append(wide.view("<u8").ravel().astype(np.int64))
-        at += n * k
-    return out
-
-
 class Model:
-    """Counts of the hot words for both models. They get numbers from 1; 0 is the start, the last number every other word, or with `cold` none: these then stand as hashes."""
+    """Counts of hot words for both models, in order of their numbers, with the start first and all cold words together last."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, starts: np.ndarray, back: float, classes: int, cold: bool):
-        self.keys, self.back, self.totals, self.classes, self.cold = keys, back, totals, classes, cold
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, starts: np.ndarray, back: float, cold_words: int):
+        self.keys, self.back, self.totals, self.cold_words = keys, back, totals, cold_words
         self.counts = np.hstack([starts[:, None], counts, totals[:, None] - counts.sum(1, keepdims=True)])
+        self.other = len(keys) + 1
 
     def ids(self) -> WordIds:
-        """Numbers of words, as bytes."""
-        numbers, other = {k: n for n, k in enumerate(self.keys.tolist(), 1)}, len(self.keys) + 1
+        """Hot words' numbers and cold words' hashes."""
+        numbers = {k: n for n, k in enumerate(self.keys.tolist(), 1)}
 
         def number(word: bytes) -> int:
             key = xxhash.xxh3_64_intdigest(word)
-            return numbers.get(key) or (key | 1 << 63 if self.cold else other)
+            return numbers.get(key) or key | 1 << 63
 
         return WordIds(of=number)
 
-    def losses(self, pair: np.ndarray, m: np.ndarray, count_a: np.ndarray, count_b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Summed background and target losses of m equal pairs of words with these counts in a document, which is left out of the counts it is in."""
+    def losses(self, chunk: Chunk, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Background and target loss of each document, by the counts of the chunk's keys (sorted) over all chunks."""
+        before, word, cold = chunk.numbers(self.other)
+        n = len(chunk.lengths)
+        pairs, times = runs((chunk.at << (BITS + BITS)) + (before << BITS) + word)
+        own, often = runs((chunk.at << BITS) + word)
+        doc, a, b = pairs >> (BITS + BITS), (pairs >> BITS) & ((np.uint64(1) << BITS) - np.uint64(1)), pairs & ((np.uint64(1) << BITS) - np.uint64(1))
+        own_b, own_a = often[np.searchsorted(own, (doc << BITS) + b)], np.ones(len(pairs), np.int64)
+        own_a[a > 0] = often[np.searchsorted(own, ((doc << BITS) + a)[a > 0])]
+        pair = counts[:, np.searchsorted(keys, (a << BITS) + b)]
+        names, inverse = np.unique(chunk.words[cold], return_inverse=True)
+        rare, rare_times = runs((chunk.at[cold] << np.uint64(32)) + inverse.astype(np.uint64))
+        rare_doc = (rare >> np.uint64(32)).astype(np.int64)
+        known = counts[:, np.searchsorted(keys, names)][:, (rare & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        doc, a, b = doc.astype(np.int64), a.astype(np.int64), b.astype(np.int64)
         out = []
-        for k, inside in ((0, np.ones(len(m), bool)), (1, target.astype(bool))):
-            word = np.maximum(count_b[k] - inside * own_b, 0)
-            context, both = np.maximum(count_a[k] - inside * own_a, 0), np.maximum(pair[k] - inside * m, 0)
-            p = (word + 0.5) / (self.totals[k] + 0.5 * self.classes)
-            out.append(-m * np.log((both + self.back * p) / (np.maximum(context, both) + self.back)))
+        for k in (0, 1):
+            inside, rare_inside = (np.ones(len(x), bool) if k == 0 else chunk.flags.astype(bool)[x] for x in (doc, rare_doc))
+            p = (np.maximum(self.counts[k][b] - inside * own_b, 0) + 0.5) / (self.totals[k] + 0.5 * self.other)
+            both, context = np.maximum(pair[k] - inside * times, 0), np.maximum(self.counts[k][a] - inside * own_a, 0)
+            loss = -times * np.log((both + self.back * p) / (np.maximum(context, both) + self.back))
+            among = (np.maximum(known[k] - rare_inside * rare_times, 0) + 0.5) / (self.counts[k][-1] + 0.5 * self.cold_words)
+            out.append(np.bincount(doc, loss, n) + np.bincount(rare_doc, -rare_times * np.log(among), n))
         return np.stack(out)
 
 
-def coded(numbers: np.ndarray) -> np.ndarray:
-    """Each word with the one before it (first: the start), as one number; pairs with a cold word are left out."""
-    before = np.concatenate([np.zeros(min(1, len(numbers)), np.uint64), numbers[:-1]])
-    hot = (before | numbers) < COLD
-    return (before[hot] << BITS) + numbers[hot]
-
-
-def home(words: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a cold word."""
-    return (words >> np.uint64(32) & np.uint64(0x7FFFFFFF)) % np.uint64(buckets)
+def in_buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that keys go to, in order, and the order of the keys."""
+    bucket = (mix(keys) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = np.argsort(bucket, kind="stable")
+    return bucket[order], order
 
 
-def lm_scores(docs: DataFrame, target: Column, vocabulary: int | None = None, back: float = 2.0, bucket_words: int = 2_000_000, hot_share: float = 2.0**-16, hot_words: int = 1 << 18) -> DataFrame:
+def lm_scores(docs: DataFrame, target: Column, back: float = 2.0, hot_share: float = 2.0**-19, bucket_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (their difference; lower: more like the target).
 
     The background model counts every document, the target model those for which the condition `target` holds; both
-    share all words (with `vocabulary`, under 2^20: only so many of the most frequent, all others are one class) and smooth alike: a pair's probability
-    is (count + back * word's probability) / (context + back). Pairs of neighbouring words are counted exactly, however
-    many there are: each document's pairs are dealt by key into buckets of about `bucket_words` and scored there.
-    Pairs above `hot_share` of all words are counted beforehand instead, so no key fills a bucket. Only the `hot_words` (under 2^20)
-    most frequent words' and these pairs' counts (2 / hot_share at most) are broadcast. Pairs with another (cold) word go to
-    that word's bucket, where its counts are joined in; pairs of two cold words go to the first, then to the second.
-    Words stand as 64-bit hashes. A document's own counts are taken from the words, contexts and pairs it is scored
-    by, not from the total number of words. Null and empty texts have no tokens and null losses; repeated rows count and are
-    scored once each; an empty target leaves the target model uniform; other columns are ignored.
+    share all words and smooth alike: a pair's probability is (count + back * word's probability) / (context + back).
+    Hot words, those of at least `hot_share` of all words and so fewer than 1 / hot_share whatever the input, have pair
+    counts of their own. Cold words are one class in pairs and are told apart in it by how often each occurs; all
+    counts are exact, and all words count.
+
+    Texts are read twice: for the words' counts, and to be cut into chunks. A chunk asks for each of its pairs and cold
+    words once, with its own counts, in the bucket of the key; the bucket adds up what all chunks have and answers each
+    in the order it asked. So a key comes in as many rows as there are chunks at most, however frequent it is, and no
+    table of pairs is held or sent anywhere. Only the hot words' counts are broadcast. Words stand as 64-bit hashes.
+    A document's own counts are taken from the words, contexts and pairs it is scored by, not from the total number
+    of words. Null and empty texts have no tokens and null losses; repeated rows count and are scored once each; an
+    empty target leaves the target model uniform; an empty table gives no rows; other columns are ignored.
     """
+    if not 2.0**-19 <= hot_share:
+        raise ValueError("hot words' numbers have 20 bits")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     flagged = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(target, F.lit(False)).cast("int").alias("target"))
-    counts = scratch.cut(totals_by_key(flagged, word_counts, WordIds))
+    counts = scratch.cut(word_totals(flagged))
     words = counts.where("key != 0")
-    sums = words.agg(F.sum("background"), F.sum("target")).first()
+    *sums, distinct = words.agg(F.sum("background"), F.sum("target"), F.count("*")).first()
     start = counts.where("key = 0").agg(F.sum("background"), F.sum("target")).first()
     totals, starts = (np.array([x or 0 for x in r], float) for r in (sums, start))
-    keys, known = sorted_counts(words.orderBy(F.col("background").desc(), "key").limit(hot_words if vocabulary is None else vocabulary))  # so many rows at most
-    classes = (words.count() if vocabulary is None else len(keys)) + 1
-    cold = classes > len(keys) + 1
-    model = spark.sparkContext.broadcast(Model(keys, known, totals, starts, back, classes, cold))
-
-    def numbers() -> WordIds:
-        return model.value.ids()
-
-    def frequent(words: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        at, sums = tally([coded(w) for w in words], flags)
-        often = sums[0] >= sum(map(len, words)) * hot_share / 2
-        return at[often], sums[:, often]
-
-    # a pair above hot_share has over half of it in chunks where it is frequent, so none is missed and 2 / hot_share are found at most
-    likely = totals_by_key(flagged, frequent, numbers).where(F.col("background") >= float(totals[0] * hot_share / 2))
-    shared = spark.sparkContext.broadcast(sorted_counts(likely)[0])
-
-    def listed(words: list[np.ndarray], flags: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        at, sums = tally([coded(w) for w in words], flags)
-        known, _ = found(shared.value, at)
-        return at[known], sums[:, known]
-
-    hot_pairs = spark.sparkContext.broadcast(sorted_counts(totals_by_key(flagged, listed, numbers)))
+    hot = words.where(F.col("background") >= F.lit(float(totals[0] * hot_share))).toArrow()  # fewer than 1 / hot_share rows
+    keys = hot.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    known = np.stack([hot.column(c).to_numpy() for c in ("background", "target")])[:, order].astype(float)
+    model = spark.sparkContext.broadcast(Model(keys[order], known, totals, starts, back, distinct - len(keys) + 1))
     buckets = max(LEAST_BUCKETS, int(totals[0] // bucket_words))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each document (bucket null) with its losses by hot pairs, and one for each bucket of a chunk."""
-        m, (hot, table) = model.value, hot_pairs.value
-        for rows, texts, flags in chunks(batches, numbers()):
-            n, lengths = len(rows), [len(w) for w in texts]
-            word = np.concatenate(texts)
-            at = np.repeat(np.arange(n, dtype=np.uint64), lengths)
-            base, rare = np.uint64(len(m.keys) + 2), word >= COLD
-            names, inverse = np.unique(word[rare], return_inverse=True)
-            word[rare] = base + inverse.astype(np.uint64)
-            before = np.concatenate([np.zeros(min(1, len(word)), np.uint64), word[:-1]])
-            before[np.append(True, at[1:] != at[:-1])[: len(at)]] = 0
-            pairs, times = runs((at << (LOCAL + LOCAL)) + (before << LOCAL) + word)
-            own, often = runs((at << LOCAL) + word)
-            mask = (np.uint64(1) << LOCAL) - np.uint64(1)
-            doc, a, b = pairs >> (LOCAL + LOCAL), (pairs >> LOCAL) & mask, pairs & mask
-            own_b = often[np.searchsorted(own, (doc << LOCAL) + b)]
-            own_a = np.ones(len(pairs), np.int64)
-            own_a[a > 0] = often[np.searchsorted(own, ((doc << LOCAL) + a)[a > 0])]
-            rare_a, rare_b = a >= base, b >= base
-            warm = ~(rare_a | rare_b)
-            pairs = (a << BITS) + b
-            doc = doc.astype(np.int64)
-            flag = np.array(flags)[doc]
-            known, place = found(hot, pairs)
-            known &= warm
-            p, q = a[known].astype(np.int64), b[known].astype(np.int64)
-            loss = m.losses(table[:, place[known]], times[known], m.counts[:, p], m.counts[:, q], *(x[known] for x in (own_a, own_b, flag)))
-            losses = [np.bincount(doc[known], x, n) for x in loss]
-            yield record([None] * n, [rows[0][0]] * n, list(range(n)), [r[1] for r in rows], lengths, *losses, [None] * n)
-            rest = np.flatnonzero(warm & ~known)
-            key = mix(pairs[rest])
-            order = np.argsort(key)
-            rest, key = rest[order], key[order]
-            yield from bucketed((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), rows[0][0], [x[rest] for x in (pairs, 2 * doc + flag, times, own_a, own_b)], PLANES)
-            if len(names):
-                rest = np.flatnonzero(~warm)
-                a, b = a[rest], b[rest]
-                a[rare_a[rest]] = names[(a[rare_a[rest]] - base).astype(np.int64)]
-                b[rare_b[rest]] = names[(b[rare_b[rest]] - base).astype(np.int64)]
-                bucket = home(np.where(a >= COLD, a, b), buckets)
-                order = np.argsort(bucket, kind="stable")
-                none = np.zeros(len(rest), np.uint64)
-                yield from bucketed(bucket[order], rows[0][0], [x[order] for x in (a, b, *(y[rest] for y in (2 * doc + flag, times, own_a, own_b)), none, none)], COLD_PLANES)
-
-    def bucketed(bucket: np.ndarray, chunk: int, columns: list[np.ndarray], planes: tuple) -> Iterator[pa.RecordBatch]:
-        """A row for each bucket; rows come in order of buckets."""
-        edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
-        for group in range(0, len(edges) - 1, 64):
-            cuts = [slice(*edges[k : k + 2]) for k in range(group, min(group + 64, len(edges) - 1))]
-            k = len(cuts)
-            yield record([int(bucket[c.start]) for c in cuts], [chunk] * k, [0 if planes is PLANES else 1] * k, [None] * k, [c.stop - c.start for c in cuts], [0.0] * k, [0.0] * k, [packed(*(x[c] for x in columns), planes=planes) for c in cuts])
-
-    fields = [("bucket", pa.int64()), ("chunk", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("background", pa.float64()), ("target", pa.float64()), ("pairs", pa.binary())]
+    fields = [("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("flags", pa.list_(pa.int64()))]
+    schema = "chunk long, bucket long, n long, data binary, docs array<long>, lengths array<long>, flags array<long>"
 
     def record(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [x for x, _ in fields])
 
-    def weigh(table: pa.Table) -> pa.Table:
-        """A bucket's pairs are counted over all chunks; each chunk's documents get their losses."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each chunk one row with its words (bucket null) and one for each bucket that it asks."""
+        other = model.value.other
+        for name, ids, chunk in chunks(batches, model.value.ids()):
+            yield record([name], [None], [len(chunk.words)], [packed(WORDS, chunk.words)], [ids], [chunk.lengths], [chunk.flags])
+            asked, sums = tally(*chunk.keys(other))
+            bucket, order = in_buckets(asked, buckets)
+            edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
+            for group in range(0, len(edges) - 1, 64):
+                cuts = [order[slice(*edges[k : k + 2])] for k in range(group, min(group + 64, len(edges) - 1))]
+                where = [int(bucket[edges[k]]) for k in range(group, group + len(cuts))]
+                yield record([name] * len(cuts), where, [len(c) for c in cuts], [packed(REQUEST, asked[c], *sums[:, c]) for c in cuts], *[[None] * len(cuts)] * 3)
+
+    def answer(table: pa.Table) -> pa.Table:
+        """What all chunks have of a bucket's keys, to each chunk in its order."""
         lengths = table.column("n").to_numpy()
-        code, doc, times, own_a, own_b = (np.concatenate(c) for c in zip(*(unpacked(x.as_py(), n) for x, n in zip(table.column("pairs"), lengths, strict=True)), strict=True))
-        flag = doc & 1
-        _, inverse = np.unique(code, return_inverse=True)
-        pair = np.stack([np.bincount(inverse, times)[inverse], np.bincount(inverse, times * flag)[inverse]])
-        m = model.value
-        loss = m.losses(pair, times, m.counts[:, code >> 20], m.counts[:, code & 0xFFFFF], own_a, own_b, flag)
-        return by_document(table, lengths, doc, loss)
-
-    def by_document(table: pa.Table, lengths: np.ndarray, doc: np.ndarray, loss: np.ndarray) -> pa.Table:
-        key = np.repeat(np.arange(len(lengths)), lengths) * CHUNK_DOCS + (doc >> 1)
-        at, inverse = np.unique(key, return_inverse=True)
-        chunk = table.column("chunk").to_numpy()[at // CHUNK_DOCS]
-        return pa.table({"chunk": chunk, "place": (at % CHUNK_DOCS).astype(np.int32), "background": np.bincount(inverse, loss[0]), "target": np.bincount(inverse, loss[1])})
-
-    def weigh_cold(table: pa.Table, words: pa.Table) -> pa.Table:
-        """A cold word's pairs get its counts (place 1: the first cold word's, 2: the second's) and are weighed, unless the second is still to come."""
-        parts = []
-        if table.num_rows:
-            m, lengths, second = model.value, table.column("n").to_numpy(), table.column("place")[0].as_py() == 2
-            a, b, doc, times, own_a, own_b, *first = (np.concatenate(c) for c in zip(*(unpacked(x.as_py(), n, COLD_PLANES) for x, n in zip(table.column("pairs"), lengths, strict=True)), strict=True))
-            keys = words.column("key").to_numpy().view(np.uint64) | COLD
-            order = np.argsort(keys)
-            counts = np.stack([words.column(c).to_numpy()[order] for c in ("background", "target")])
-            word = np.where((a < 0) & (not second), a, b).view(np.uint64)
-            own = counts[:, np.searchsorted(keys[order], word)].astype(float)
-            if second:
-                count_a, count_b, ready = np.stack(first).astype(float), own, np.ones(len(a), bool)
-            else:
-                count_a, count_b, ready = np.where(a < 0, own, m.counts[:, np.maximum(a, 0)]), np.where(a < 0, m.counts[:, np.maximum(b, 0)], own), (a >= 0) | (b >= 0)
-            _, inverse = np.unique(mix(a.view(np.uint64) * MULTIPLIER + mix(b.view(np.uint64))), return_inverse=True)
-            flag = doc & 1
-            pair = np.stack([np.bincount(inverse, times)[inverse], np.bincount(inverse, times * flag)[inverse]])
-            loss = np.where(ready, m.losses(pair, times, count_a, count_b, own_a, own_b, flag), 0.0)
-            done = by_document(table, lengths, doc, loss)
-            n = done.num_rows
-            parts = [record([None] * n, done.column("chunk").to_numpy(), done.column("place").to_numpy(), [None] * n, [None] * n, *(done.column(c).to_numpy() for c in ("background", "target")), [None] * n)]
-            wait = np.flatnonzero(~ready)
-            chunk = np.repeat(np.arange(len(lengths)), lengths)[wait]
-            bucket = home(b[wait].view(np.uint64), buckets).astype(np.int64)
-            order = np.lexsort((bucket, chunk))
-            columns = [x[wait][order] for x in (a, b, doc, times, own_a, own_b, *own.astype(np.int64))]
-            chunk, bucket = chunk[order], bucket[order]
-            edges = np.append(np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (bucket[1:] != bucket[:-1]))), len(chunk)) if len(chunk) else [0]
-            names = table.column("chunk").to_pylist()
-            for i, j in zip(edges[:-1], edges[1:]):
-                parts.append(record([int(bucket[i])], [names[chunk[i]]], [2], [None], [int(j - i)], [0.0], [0.0], [packed(*(x[i:j] for x in columns), planes=COLD_PLANES)]))
-        return pa.Table.from_batches(parts, pa.schema(fields))
-
-    dealt = scratch.cut(flagged.mapInArrow(deal, "bucket long, chunk long, place int, doc_id long, n long, background double, target double, pairs binary"))
-    weighed = dealt.where("bucket is not null and place = 0").groupBy("bucket").applyInArrow(weigh, "chunk long, place int, background double, target double")
-    if cold:
-        owner = (F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(0x7FFFFFFF)) % buckets).alias("bucket")
-        few = words.where(F.col("background") <= float(known[0].min())).select(owner, "key", "background", "target").groupBy("bucket")
-        once = scratch.cut(dealt.where("bucket is not null and place = 1").groupBy("bucket").cogroup(few).applyInArrow(weigh_cold, dealt.schema))
-        twice = once.where("bucket is not null").groupBy("bucket").cogroup(few).applyInArrow(weigh_cold, dealt.schema)
-        for part in (once.where("bucket is null"), twice):
-            weighed = weighed.unionByName(part.select(*weighed.columns))
-    whole = dealt.where("bucket is null").select("chunk", "place", "background", "target", "doc_id", "n")
-    both = whole.unionByName(weighed.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n")))
-    summed = both.groupBy("chunk", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"))
+        asked, *found = (np.concatenate(c) for c in zip(*(unpacked(REQUEST, x.as_py(), n) for x, n in zip(table.column("data"), lengths, strict=True)), strict=True))
+        _, inverse = np.unique(asked, return_inverse=True)
+        sums = [np.bincount(inverse, x) for x in found]
+        ends = np.cumsum(lengths)
+        data = [packed(ANSWER, *(s[inverse[e - n : e]] for s in sums)) for e, n in zip(ends, lengths, strict=True)]
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": table.column("n"), "data": pa.array(data, pa.binary())})
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        """The documents of a chunk with their losses."""
+        parts, m = [], model.value
+        for row in rows.to_pylist():  # one
+            chunk = Chunk(*unpacked(WORDS, row["data"], row["n"]), np.array(row["lengths"], np.int64), np.array(row["flags"], np.int64))
+            asked = np.unique(chunk.keys(m.other)[0])
+            _, order = in_buckets(asked, buckets)
+            told = [unpacked(ANSWER, answers.column("data")[i].as_py(), answers.column("n")[i].as_py()) for i in np.argsort(answers.column("bucket").to_numpy())]
+            sums = np.zeros((2, len(asked)))
+            if told:
+                sums[:, order] = np.hstack([np.stack(t) for t in told])
+            background, target = m.losses(chunk, asked, sums)
+            parts.append(pa.table({"doc_id": pa.array(row["docs"], pa.int64()), "n_tokens": pa.array(chunk.lengths), "b": pa.array(background), "t": pa.array(target)}))
+        return pa.concat_tables(parts)
+
+    dealt = scratch.cut(flagged.mapInArrow(deal, schema))
+    answers = scratch.cut(dealt.where("bucket is not null").select("chunk", "bucket", "n", "data").groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, n long, data binary"))
+    whole = dealt.where("bucket is null").drop("bucket").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, b double, t double")
     per = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
-    return summed.select("doc_id", "n_tokens", per("t").alias("target_loss"), per("b").alias("background_loss"), ((per("t") - per("b"))).alias("score"))
+    return whole.select("doc_id", "n_tokens", per("t").alias("target_loss"), per("b").alias("background_loss"), (per("t") - per("b")).alias("score"))

@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from telltale.llm import decontamination, exact_dedup, jaccard_join, lm_scoring, packing, quality, secrets, sharding, substring_dedup, toxicity
@@ -268,38 +267,40 @@ def test_language_models_prefer_their_own(spark):
     assert max(r["score"] for r in got if r["doc_id"] % 2) < min(r["score"] for r in got if r["doc_id"] % 2 == 0)
 
 
-def plain_losses(rows, size, back):
-    """Losses by counts in dictionaries: doc_id to (n_tokens, target loss, background loss)."""
+def plain_losses(rows, share, back):
+    """Losses by counts in dictionaries: doc_id to (n_tokens, target loss, background loss). Words under the share are one class in pairs."""
     split = [(d, (t or "").lower().split(), s == "src1") for d, t, _, s in rows]
     every = Counter(w for _, words, _ in split for w in words)
-    known = {w for w, _ in sorted(every.items(), key=lambda x: (-x[1], np.uint64(xxhash.xxh3_64_intdigest(x[0].encode())).astype(np.int64)))[:size]}
-    named = [(d, ["<s>"] + [w if w in known else "<other>" for w in words], y) for d, words, y in split]
+    known = {w for w, n in every.items() if n >= share * sum(every.values())}
+    named = [(d, ["<s>"] + [w if w in known else "<other>" for w in words], words, y) for d, words, y in split]
     models = []
-    for group in (named, [x for x in named if x[2]]):
-        words = Counter(w for _, s, _ in group if len(s) > 1 for w in s)
-        models.append((words, Counter(p for _, s, _ in group for p in zip(s, s[1:])), sum(len(s) - 1 for _, s, _ in group)))
+    for group in (named, [x for x in named if x[3]]):
+        words = Counter(w for _, s, _, _ in group if len(s) > 1 for w in s)
+        models.append((words, Counter(p for _, s, _, _ in group for p in zip(s, s[1:])), Counter(w for _, _, raw, _ in group for w in raw), sum(len(raw) for _, _, raw, _ in group)))
     out = {}
-    for d, s, y in named:
-        own, own_pairs = Counter(s), Counter(zip(s, s[1:]))
+    for d, s, raw, y in named:
+        own, own_pairs, own_raw = Counter(s), Counter(zip(s, s[1:])), Counter(raw)
         losses = []
-        for k, (words, pairs, total) in enumerate(models):
+        for k, (words, pairs, cold, total) in enumerate(models):
             inside = k == 0 or y
             loss = 0.0
-            for a, b in zip(s, s[1:]):
+            for a, b, w in zip(s, s[1:], raw):
                 both, word, context = pairs[a, b] - inside * own_pairs[a, b], words[b] - inside * own[b], words[a] - inside * own[a]
                 p = (word + 0.5) / (total + 0.5 * (len(known) + 1))
                 loss -= math.log((both + back * p) / (max(context, both) + back))
-            losses.append(loss / max(1, len(s) - 1))
-        out[d] = (len(s) - 1, losses[1], losses[0])
+                if b == "<other>":
+                    loss -= math.log((cold[w] - inside * own_raw[w] + 0.5) / (words["<other>"] + 0.5 * (len(every) - len(known) + 1)))
+            losses.append(loss / max(1, len(raw)))
+        out[d] = (len(raw), losses[1], losses[0])
     return out
 
 
-@pytest.mark.parametrize("size", (1 << 18, 100))
-@pytest.mark.parametrize("share", (2.0**-16, 0.02, 2.0))
-def test_lm_brute_force(docs, size, share):
-    """Few, some or all pairs counted beforehand; a large or small vocabulary."""
-    want = plain_losses([r for r in made() if r[0] != 7], size, 2.0)
-    for r in lm_scoring.lm_scores(docs.where("doc_id != 7"), F.col("source") == "src1", vocabulary=size, hot_share=share).collect():
+@pytest.mark.parametrize("share", (2.0**-19, 0.002, 0.02, 2.0))
+@pytest.mark.parametrize("bucket", (1_000_000, 50))
+def test_lm_brute_force(docs, share, bucket):
+    """All, some, few or no words hot; few or many buckets."""
+    want = plain_losses([r for r in made() if r[0] != 7], share, 2.0)
+    for r in lm_scoring.lm_scores(docs.where("doc_id != 7"), F.col("source") == "src1", hot_share=share, bucket_words=bucket).collect():
         n, a, b = want[r["doc_id"]]
         assert r["n_tokens"] == n
         if n:
@@ -308,17 +309,6 @@ def test_lm_brute_force(docs, size, share):
             assert r["score"] is None
 
 
-@pytest.mark.parametrize("few", (1, 30, 300))
-def test_lm_all_words(docs, few):
-    """Every word counts as itself, also those that are not broadcast."""
-    want = plain_losses([r for r in made() if r[0] != 7], 1 << 18, 2.0)
-    for r in lm_scoring.lm_scores(docs.where("doc_id != 7"), F.col("source") == "src1", hot_words=few).collect():
-        n, a, b = want[r["doc_id"]]
-        assert r["n_tokens"] == n
-        if n:
-            assert (r["target_loss"], r["background_loss"]) == pytest.approx((a, b), rel=1e-9, abs=1e-9)
-
-
 def test_secrets(docs):
     found = {r["doc_id"]: r["n_secrets"] for r in secrets.secrets_by_document(docs).collect()}
     last = [r[0] for r in made() if r[1] and "AKIA" in r[1]][0]
