@@ -192,6 +192,7 @@ def lm_scores(docs: DataFrame, target: Column, back: float = 2.0, hot_share: flo
     keys = hot.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     known = np.stack([hot.column(c).to_numpy() for c in ("background", "target")])[:, order].astype(float)
+    scratch.drop(counts)
     model = spark.sparkContext.broadcast(Model(keys[order], known, totals, starts, back, distinct - len(keys) + 1))
     buckets = max(LEAST_BUCKETS, int(totals[0] // bucket_words))
     fields = [("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("flags", pa.list_(pa.int64()))]
@@ -238,8 +239,12 @@ def lm_scores(docs: DataFrame, target: Column, back: float = 2.0, hot_share: flo
             parts.append(pa.table({"doc_id": pa.array(row["docs"], pa.int64()), "n_tokens": pa.array(chunk.lengths), "b": pa.array(background), "t": pa.array(target)}))
         return pa.concat_tables(parts)
 
-    dealt = scratch.cut(flagged.mapInArrow(deal, schema))
-    answers = scratch.cut(dealt.where("bucket is not null").select("chunk", "bucket", "n", "data").groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, n long, data binary"))
-    whole = dealt.where("bucket is null").drop("bucket").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, b double, t double")
+    held, asked = scratch.split(flagged.mapInArrow(deal, schema), F.col("bucket").isNotNull())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
+    asking = asked.select("chunk", "bucket", "n", "data").repartition(parts, "bucket").groupBy("bucket")
+    answers = scratch.cut(asking.applyInArrow(answer, "chunk long, bucket long, n long, data binary"))
+    scratch.drop(asked)
+    held, answers = held.drop("bucket").repartition(parts, "chunk"), answers.repartition(parts, "chunk")
+    whole = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, b double, t double")
     per = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
     return whole.select("doc_id", "n_tokens", per("t").alias("target_loss"), per("b").alias("background_loss"), (per("t") - per("b")).alias("score"))

@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telltale.shipping import ship
@@ -18,12 +18,16 @@ BATCH_ROWS = 256
 class Scratch:
     """Tables written to the folder that spark.checkpoint.dir names; they cut the lineage and survive lost executors.
 
-    Only where that setting is absent (tests, one machine) a local folder is used.
+    Only where that setting is absent and Spark runs in one process (tests) a local folder is used.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/telltale-shared"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.conf.get("spark.master", "local").startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = f"file://{tempfile.gettempdir()}/telltale-shared"
         self.dir = f"{root.rstrip('/')}/telltale-{uuid.uuid4().hex}"
         self.count = 0
 
@@ -37,6 +41,23 @@ class Scratch:
         self.spark._jvm.System.gc()  # Spark deletes the shuffle files of plans that the driver has forgotten
         return out
 
+    def split(self, df: DataFrame, condition: Column) -> list[DataFrame]:
+        """Writes df in one job as two tables, the rows without and those with the condition; each can be dropped."""
+        self.count += 1
+        path = f"{self.dir}/{self.count}"
+        df.withColumn("__side", condition.cast("int")).write.partitionBy("__side").parquet(path)
+        out = []
+        for side in (0, 1):
+            # an empty table has no folder of its own
+            part = f"{path}/__side={side}"
+            out.append(self.spark.read.schema(df.schema).parquet(part) if self.exists(part) else self.spark.createDataFrame([], df.schema))
+            out[-1].scratch_path = part
+        return out
+
+    def exists(self, path: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark._jvm
@@ -55,6 +76,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Stands for a null doc_id inside an operator, so that it is the last in order and joins with itself.
+NO_ID = 2**63 - 1
+
+
+def key(df: DataFrame) -> Column:
+    """doc_id as a long that is never null; named() puts null back."""
+    return F.coalesce(df["doc_id"].cast("long"), F.lit(NO_ID))
+
+
+def named(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(NO_ID))
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, changed until df has no column of that name (upper and lower case are one to Spark)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def uid(df: DataFrame, name: str = "uid") -> DataFrame:
     """Adds a row number that tells rows of equal doc_id apart; fix it with Scratch.cut before it is used twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
