@@ -213,30 +213,61 @@ def test_packing_round_trip(docs):
         assert end <= 64
 
 
-def least_sequences(sizes, room):
-    """A lower bound: items over room - k are alone with at most small ones; those of k to half the room fill what others over half leave, then new sequences."""
-    best = 0
-    for k in range(room // 2 + 1):
-        alone = sum(n for a, n in sizes.items() if a > room - k)
-        large = sum(n for a, n in sizes.items() if room // 2 < a <= room - k)
-        left = sum(n * (room - a) for a, n in sizes.items() if room // 2 < a <= room - k)
-        small = sum(n * a for a, n in sizes.items() if k <= a <= room // 2)
-        best = max(best, alone + large + max(0, -(-(small - left) // room)))
+def fewest(items, room):
+    """The least number of bins, by trying everything (few items)."""
+    items = sorted(items, reverse=True)
+    best = len(items)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(items):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= items[i] and rooms[k] not in rooms[:k]:
+                put(i + 1, [*rooms[:k], rooms[k] - items[i], *rooms[k + 1 :]])
+        put(i + 1, [*rooms, room - items[i]])
+
+    put(0, [])
     return best
 
 
+def sequences(plan, sizes, room):
+    used = Counter()
+    for filling, times in plan:
+        assert sum(a * n for a, n in filling) <= room and times > 0
+        for a, n in filling:
+            used[a] += n * times
+    assert used == sizes
+    return sum(t for _, t in plan)
+
+
 def test_packing_is_tight():
     rng = random.Random(1)
-    for _ in range(20):
+    for k in range(20):
         sizes = Counter(rng.randint(1, 60) for _ in range(300))
-        plan = packing.plan(dict(sizes), 60)
-        used = Counter()
-        for filling, times in plan:
-            assert sum(a * n for a, n in filling) <= 60
-            for a, n in filling:
-                used[a] += n * times
-        assert used == sizes
-        assert sum(t for _, t in plan) <= least_sequences(sizes, 60) + 1
+        n = sequences(packing.plan(dict(sizes), 60), sizes, 60)
+        assert packing.lower_bound(sizes, 60) <= n <= packing.lower_bound(sizes, 60) + 1
+        assert n <= sequences(packing.best_fit(dict(sizes), 60), sizes, 60)
+    for k in range(60):
+        sizes = Counter(rng.randint(3, 20) for _ in range(rng.randint(1, 11)))
+        least = fewest(list(sizes.elements()), 20)
+        assert packing.lower_bound(sizes, 20) <= least <= sequences(packing.plan(dict(sizes), 20), sizes, 20) <= least + (k % 10 == 0)
+
+
+def test_best_filling_is_exact():
+    """The best filling is that of all subsets."""
+    rng = random.Random(2)
+    for _ in range(100):
+        sizes = Counter(rng.randint(2, 15) for _ in range(rng.randint(1, 9)))
+        sums = {0}
+        for x in sizes.elements():
+            sums |= {s + x for s in sums}
+        left = packing.Fillings(sizes, 30)
+        assert sum(a * n for a, n in left.best(30)) == max(s for s in sums if s <= 30)
+        assert all(n <= sizes[a] for a, n in left.best(30))
 
 
 def test_toxic_words_are_found(spark):
