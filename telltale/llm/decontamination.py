@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telltale.llm.shared import ALNUM_WORDS, Scratch, WordIds, small_batches, windows
+from telltale.llm.shared import ALNUM_WORDS, Scratch, WordIds, free, small_batches, windows
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-HITS = "__spans array<struct<start:int,end:int>>, __items array<string>"
+SPANS, ITEMS = "array<struct<start:int,end:int>>", "array<string>"
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -78,20 +78,23 @@ def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_rows: int = 2_000_000, keep: list[str] | None = None, then=None) -> DataFrame:
-    """docs with `__spans` (word ranges that match) and `__items` (the benchmark items found), or what `then` makes of them.
+def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 32_000_000, keep: list[str] | None = None, then=None) -> DataFrame:
+    """docs with two more columns, word ranges that match and the benchmark items found, or what `then` makes of them.
 
-    One set of at most block_rows windows is broadcast at a time: a larger benchmark is dealt into blocks by a hash of
-    window and item, and the documents pass once by each block. Null and empty texts have no words and no hits.
+    One set of windows of about block_bytes (with the items' names) is broadcast at a time: a larger benchmark is dealt
+    into blocks by a hash of window and item, and the documents pass once by each block. Null and empty texts have no
+    words and no hits.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     keep = keep or docs.columns
     plain = docs.select(*keep)
     known = scratch.cut(benchmark_windows(benchmark, size))
-    blocks = max(1, -(-known.count() // block_rows))
+    size_of = F.octet_length("window") + F.coalesce(F.octet_length("item"), F.lit(0)) + 16
+    blocks = max(1, -(-(known.agg(F.sum(size_of)).first()[0] or 0) // block_bytes))
     dealt = known.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)))
-    out = plain.withColumn("__spans", F.array().cast("array<struct<start:int,end:int>>")).withColumn("__items", F.array().cast("array<string>"))
+    spans_name, items_name = free(plain, "spans", "items")
+    out = plain.withColumn(spans_name, F.array().cast(SPANS)).withColumn(items_name, F.array().cast(ITEMS))
     text_at = keep.index("text")
     for block in range(blocks):
         rows = [tuple(r) for r in dealt.where(F.col("block") == block).select("window", "n", "item").toLocalIterator()]
@@ -102,7 +105,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_rows:
             matcher, ids = Matcher(shared.value), WordIds()
             for batch in batches:
                 spans, items, texts = [], [], []
-                old = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True)
+                old = zip(batch.column(spans_name).to_pylist(), batch.column(items_name).to_pylist(), strict=True)
                 for text, (was, had) in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), old, strict=True):
                     words = split_words(text)
                     s, i = matcher.find(words, ids.array(words))
@@ -115,10 +118,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_rows:
                 else:
                     yield pa.RecordBatch.from_arrays(
                         [*base.columns, pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                        [*keep, "__spans", "__items"],
+                        [*keep, spans_name, items_name],
                     )
 
-        schema = then.schema if last and then else T.StructType([*plain.schema.fields, *T._parse_datatype_string(HITS).fields])
+        schema = then.schema if last and then else T.StructType([*plain.schema.fields, *out.schema.fields[-2:]])
         out = out.mapInArrow(scan, schema)
         if not last:
             out = scratch.cut(out)
@@ -163,15 +166,19 @@ class Cleaned:
         yield base.set_column(at, "text", pa.array(out, pa.binary()).cast(base.schema.field(at).type))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_rows: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 32_000_000) -> DataFrame:
     """One row for each document: how much of it lies in windows of the benchmark.
 
     A null text has no words (n_words 0, not contaminated); items without words are never found; repeated rows are
     reported once each; an empty benchmark contaminates nothing; further columns of docs are ignored.
     """
-    return find_hits(docs, benchmark, size, block_rows, ["doc_id", "text"], Report())
+    return find_hits(docs, benchmark, size, block_bytes, ["doc_id", "text"], Report())
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove: str = "document", block_rows: int = 2_000_000) -> DataFrame:
-    """docs, all columns, without contaminated documents (remove="document") or without the hit words (remove="span")."""
-    return find_hits(docs, benchmark, size, block_rows, docs.columns, Cleaned(docs.schema, remove == "span"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove: str = "document", block_bytes: int = 32_000_000) -> DataFrame:
+    """docs, all columns (whatever their names), without contaminated documents (remove="document") or without the hit words (remove="span").
+
+    Rows are judged one by one by their own text: null and empty texts stay as they are, repeated rows are all judged
+    alike, a null doc_id is like any other; an empty table stays empty, and an empty benchmark takes nothing away.
+    """
+    return find_hits(docs, benchmark, size, block_bytes, docs.columns, Cleaned(docs.schema, remove == "span"))

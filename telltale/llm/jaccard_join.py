@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telltale.llm.components import components
-from telltale.llm.shared import MULTIPLIER, Scratch, WordIds, mix, small_batches, uid, windows
+from telltale.llm.shared import MULTIPLIER, Scratch, WordIds, free, key, mix, named, small_batches, uid, windows
 
 #: Routing: minima of ROWS permutations make one key, and a link has BANDS chances to share one. Two sets with a
 #: Jaccard of 0.85 share none with probability (1 - 0.85**6)**48, about 1e-10.
@@ -50,11 +50,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             sets = [shingles(t, size, ids) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([routes(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "keys"],
+                [batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([routes(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "th", "n", "digest", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(sign, "doc_id long, n long, digest binary, keys array<long>")
+    return docs.select(key(docs).alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(sign, "doc_id long, th long, n long, digest binary, keys array<long>")
 
 
 class RTree:
@@ -129,28 +129,33 @@ def join_tile(ids: list[int], sets: list[np.ndarray], sides: list[int], percent:
 
 
 def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, tile: int = 1500) -> DataFrame:
-    """doc_id, n_shingles and component_id: the least doc_id that links lead to, for every document.
+    """doc_id, n_shingles and component_id of linked_rows(), with null doc_ids as they were."""
+    return linked_rows(docs, size, percent, tile).select(named("doc_id").alias("doc_id"), "n_shingles", named("component_id").alias("component_id"))
+
+
+def linked_rows(docs: DataFrame, size: int, percent: int, tile: int = 1500) -> DataFrame:
+    """doc_id (never null), th (hash of the text), n_shingles and component_id: the least doc_id that links lead to, for every document.
 
     Two documents link when 100 * overlap >= percent * union of their sets of word shingles. Equal sets are one class.
     Classes that share a routing key are brought together (as connected clusters, each class once); a cluster of over
     `tile` classes (or 4000 times as many shingles) is cut into tiles by size and hash, and every pair of tiles whose sizes allow a link is one job. In
     a job an R-tree of group counts finds the pairs that the overlap bound allows, and their whole sets are compared.
-    Null and empty texts have no shingles and link with nothing; repeated rows are one class; an empty table gives no
-    rows; other columns are ignored.
+    Null and empty texts have no shingles and link with nothing; repeated rows are one class; a null doc_id comes after
+    all others; an empty table gives no rows; other columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     known = scratch.cut(uid(signatures(docs, size)))
     best = known.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("best"))
     best = best.select("digest", F.col("best.uid").alias("cls"), F.col("best.doc_id").alias("least"))
-    members = scratch.cut(known.select("doc_id", "uid", "n", "digest").join(best, "digest", "left"))
+    members = scratch.cut(known.select("doc_id", "th", "uid", "n", "digest").join(best, "digest", "left"))
     keyed = known.join(members.where("uid = cls").select("uid"), "uid", "left_semi").select(F.col("uid").alias("cls"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     meet = components(keyed.join(shared, "key").select(F.col("cls").alias("a"), F.col("low").alias("b")), scratch)
     scratch.drop(known)
     cluster = meet.unionByName(meet.select(F.col("root").alias("node"), "root").distinct())
     # tiles: sizes that can link lie in the same or neighbouring steps; a step of many classes is dealt by hash
-    inside = members.where("uid = cls").join(cluster, F.col("cls") == F.col("node")).select("cls", "doc_id", "digest", "n", "root")
+    inside = members.where("uid = cls").join(cluster, F.col("cls") == F.col("node")).select("cls", "doc_id", "th", "digest", "n", "root")
     inside = scratch.cut(inside.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / (percent - 0.5)))).cast("int")))
     counts = inside.groupBy("root", "step").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
     whole = counts.groupBy("root").agg(((F.sum("rows") > tile) | (F.sum("items") > tile * 4000)).alias("large"))
@@ -166,7 +171,7 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, tile: int
     up = F.transform(upto(F.col("after")), lambda q: job(F.col("step"), F.col("part"), F.col("step") + 1, q, F.lit(0)))
     down = F.transform(upto(F.col("before")), lambda q: job(F.col("step") - 1, q, F.col("step"), F.col("part"), F.lit(1)))
     jobs = F.when(F.col("large"), F.concat(own, up, down)).otherwise(F.array(F.struct(F.lit("").alias("job"), F.lit(2).alias("side"))))
-    dealt = dealt.select(F.col("doc_id").alias("__doc"), "cls", "digest", "root", jobs.alias("jobs"))
+    dealt = dealt.select("doc_id", "th", "cls", "digest", "root", jobs.alias("jobs"))
 
     def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -175,7 +180,7 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, tile: int
             same = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.select(["cls", "root", "jobs"]).columns, pa.array(sets, pa.binary())], ["cls", "root", "jobs", "items"]).filter(same)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("binary").alias("text")).join(dealt, F.col("__id") == F.col("__doc"))
+    texts = docs.select(key(docs).alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")).join(dealt, ["doc_id", "th"])
     texts = texts.select("cls", "root", "jobs", "digest", "text").mapInArrow(remake, "cls long, root long, jobs array<struct<job:string,side:int>>, items binary")
     rows = texts.select("cls", "root", F.explode("jobs").alias("j"), "items").select("cls", "root", "j.job", "j.side", "items")
 
@@ -191,11 +196,15 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, tile: int
     tops = tops.join(least, F.col("root") == F.col("c")).select("root", F.least("low", "least").alias("low"))
     named = linked.join(tops, "root").select(F.col("node").alias("c"), "low").unionByName(tops.select(F.col("root").alias("c"), "low"))
     out = members.join(named, F.col("cls") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "least", "doc_id").alias("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("low", "least", "doc_id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """docs, all columns, with the document of least doc_id of each group of linked ones; rows of one doc_id stay or go together."""
-    groups = jaccard_groups(docs, size, percent)
-    gone = groups.groupBy("doc_id").agg(F.bool_and(F.col("component_id") < F.col("doc_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__doc"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left_anti")
+    """docs, all columns (whatever their names), with the document of least doc_id of each group of linked ones.
+
+    A row is found again by doc_id (null like any other, and after all others) and text; rows that repeat both stay or
+    go together. Null and empty texts link with nothing and stay; an empty table stays empty.
+    """
+    doc, text = free(docs, "doc", "th")
+    gone = linked_rows(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias(doc), F.col("th").alias(text)).distinct()
+    return docs.join(gone, (key(docs) == gone[doc]) & (F.xxhash64(docs["text"]) == gone[text]), "left_anti")

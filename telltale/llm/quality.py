@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telltale.llm.shared import Scratch, small_batches
+from telltale.llm.shared import Scratch, free, key, named, small_batches
 
 #: Classes of bytes: 0 lower case or not ASCII, 1 upper case, 2 digit, 3 blank, 4 line end, 5 sentence marks, 6 other signs.
 BYTE_CLASS = np.array([1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 4 if c in (10, 13) else 3 if c in (9, 11, 12, 32) else 5 if c in b".,;:?'\"-()" else 6 if c < 97 or 123 <= c < 128 else 0 for c in range(256)], np.uint8)
@@ -75,7 +75,7 @@ def document_evidence(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "host", "path", "text_hash", "x"])
 
     small_batches(docs.sparkSession)
-    few = docs.select(F.col("doc_id").cast("long"), F.col("source").alias("host"), F.col("lang").alias("path"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    few = docs.select(key(docs).alias("doc_id"), F.col("source").alias("host"), F.col("lang").alias("path"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     return few.mapInArrow(measure, "doc_id long, host string, path string, text_hash long, x array<double>")
 
 
@@ -93,7 +93,12 @@ def shrunk(groups: DataFrame, prior: F.col, keys: list[str], name: str) -> DataF
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.4) -> DataFrame:
-    """doc_id, text_hash, doc_score, host_score, path_score, score, keep for each document.
+    """scored_rows() with null doc_ids as they were."""
+    return scored_rows(docs, labels, sample, threshold).withColumn("doc_id", named("doc_id"))
+
+
+def scored_rows(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.4) -> DataFrame:
+    """doc_id (never null), text_hash, doc_score, host_score, path_score, score, keep for each document.
 
     Document evidence: a logistic model of text features, fitted on at most `sample` labelled rows (those of least
     hash). Its scores are averaged by host (source) and path in the host (lang), both over all documents; each
@@ -104,7 +109,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     known = scratch.cut(document_evidence(docs))
-    few = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    few = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = known.join(few, "doc_id").select("doc_id", "text_hash", "x", "y").dropDuplicates(["doc_id"]).select("x", "y").toLocalIterator()
     rows = list(rows)
     y = np.array([r["y"] for r in rows])
@@ -134,6 +139,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.4) -> DataFrame:
-    """docs, all columns, without the rows that score() rejects."""
-    bad = score(docs, labels, sample, threshold).where("not keep").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, (docs["doc_id"].cast("long") == bad["__doc"]) & (F.xxhash64(docs["text"]) == bad["__hash"]), "left_anti")
+    """docs, all columns (whatever their names), without the rows that score() rejects.
+
+    Null and empty texts are judged like any other by their features (all 0); a row is found again by doc_id (null
+    like any other) and text, so repeated rows stay or go together; an empty table stays empty.
+    """
+    doc, text = free(docs, "doc", "hash")
+    bad = scored_rows(docs, labels, sample, threshold).where("not keep").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    return docs.join(bad, (key(docs) == bad[doc]) & (F.xxhash64(docs["text"]) == bad[text]), "left_anti")
