@@ -21,3 +21,9 @@ def cyclic(ts: str) -> dict[str, Column]:
     turns = {"hour": (F.hour(t) + F.minute(t) / 60) / 24, "dow": F.weekday(t) / 7, "month": F.month(t) / 12}
     out = {f"{k}_{f.__name__}": f(x * (2 * math.pi)) for k, x in turns.items() for f in (F.sin, F.cos)}
     return out | {"is_night": (F.hour(t) < 6).cast("int")}
+
+
+def safe_float(text: Column, default: float | None = None) -> Column:
+    """A number, or the default where there is none (also for NaN and infinities)."""
+    x = text.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(default).cast("double")).otherwise(x)

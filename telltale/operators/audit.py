@@ -37,3 +37,41 @@ def binary_like(panel: DataFrame, edge: float = 0.15, share: float = 0.85, uniqu
     z = panel.where("value is not null").join(q, "series").withColumn("z", F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")))
     s = z.groupBy("series").agg(F.count("*").alias("n"), F.avg(((F.col("z") <= edge) | (F.col("z") >= 1 - edge)).cast("double")).alias("at_edges"), (F.count_distinct(F.round("value", 2)) / F.count("*")).alias("distinct_share"))
     return s.withColumn("switching", F.coalesce((F.col("n") >= least) & (F.col("at_edges") >= share) & (F.col("distinct_share") <= unique), F.lit(False)))
+
+
+def binary_ends(df: DataFrame, decimals: int = 2) -> DataFrame:
+    """series, n, at_ends (share of rows equal to the least or greatest value), distinct_share: what tells switches from measured flows, in its simple form."""
+    ends = df.groupBy("series").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n"), F.count_distinct(F.round("value", decimals)).alias("d"))
+    at = (F.col("value") == F.col("lo")) | (F.col("value") == F.col("hi"))
+    return df.join(ends, "series").groupBy("series").agg(F.first("n").alias("n"), F.avg(at.cast("double")).alias("at_ends"), (F.first("d") / F.first("n")).alias("distinct_share"))
+
+
+def active_flows(flows: list[str], excluded: list[str], like_switches: DataFrame, at_ends: float = 0.85, distinct: float = 0.02) -> list[str]:
+    """Flows that count: not in the given list, and not like switches (a table of binary_ends() or binary_like(); a flow that it lacks is left out)."""
+    share = [c for c in like_switches.columns if c in ("at_ends", "at_edges")][0]
+    ok = {r["series"] for r in like_switches.where(~((F.col(share) >= at_ends) & (F.col("distinct_share") <= distinct))).select("series").collect()}
+    return [f for f in flows if f in ok and f not in set(excluded)]
+
+
+def correlations_with(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """name, r: the correlation of each column with the target, in one pass."""
+    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
+    return row.unpivot([], columns, "name", "r")
+
+
+def label_checks(df: DataFrame, same: list, classes: str, positive, ts: str) -> DataFrame:
+    """One row: whether pairs of conditions agree in every row, how many classes there are, the first positive time, rows that are not positive."""
+    return df.agg(*[F.bool_and(a == b).alias("same" if k == 0 else f"same_{k}") for k, (a, b) in enumerate(same)], F.count_distinct(classes).alias("classes"), F.min(F.when(positive, F.col(ts))).alias("first_positive"), F.count_if(~positive).alias("negatives"))
+
+
+def run_lengths(df: DataFrame, flag: str, value: str = "value") -> DataFrame:
+    """series, rows, top, start_ts of each run of flag = 1: its length and greatest value."""
+    from telltale.operators.sequence import run_numbers
+
+    return run_numbers(df, flag).where(F.col(flag) == 1).groupBy("series", "run").agg(F.count("*").alias("rows"), F.max(value).alias("top"), F.min("ts").alias("start_ts"))
+
+
+def group_profile(df: DataFrame, columns: list[str], group: str) -> DataFrame:
+    """Mean, sample deviation, minimum and maximum of each column in each group."""
+    long = df.select(group, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([group], columns, "name", "v")
+    return long.groupBy(group, "name").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))

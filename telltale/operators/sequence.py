@@ -3,6 +3,8 @@
 Every window is partitioned by the keys, so series are worked on in parallel. Nulls are skipped by the statistics.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,25 +36,55 @@ def time_mean(df: DataFrame, seconds: int, value: str = "value", keys=KEYS, out:
     return df.withColumn(out, F.avg(value).over(w)).withColumn(f"{out}_std", F.stddev_samp(value).over(w))
 
 
-def recurrence(df: DataFrame, value: str, step, init: Column, reach: int, keys=KEYS, skip_first: bool = False) -> Column:
-    """A contracting recurrence as a fold over the last `reach` rows: what lies before has decayed below double precision."""
-    x = F.coalesce(F.col(value), F.lit(0.0))
-    if skip_first:
-        x = F.when(F.row_number().over(ordered(keys)) > 1, x).otherwise(F.lit(None).cast("double"))
-    return F.aggregate(F.collect_list(F.struct(x.alias("x"))).over(ordered(keys).rowsBetween(1 - reach, 0)), init, lambda s, r: step(s, r["x"]))
+def in_blocks(df: DataFrame, decay: float, keys=KEYS) -> tuple[DataFrame, Column]:
+    """Adds `__block` and `__k` (place in it, from 0), with blocks so long that what lies a block back has decayed below double precision; and decay ** __k.
+
+    Without a decay a series is one block.
+    """
+    rows = math.ceil(40 / -math.log10(decay)) if 0 < decay < 1 else 1 if decay <= 0 else 1 << 62
+    place = F.row_number().over(ordered(keys)) - 1
+    out = df.withColumn("__k", place.cast("long")).withColumn("__block", F.floor(F.col("__k") / rows)).withColumn("__k", F.col("__k") - F.col("__block") * rows)
+    return out, F.pow(F.lit(float(decay)), F.col("__k").cast("double"))
+
+
+def last_of_block_before(df: DataFrame, columns: dict[str, Column], keys=KEYS) -> DataFrame:
+    """Adds to each row what `columns` are at the last row of the block before (null in the first)."""
+    ends = df.groupBy(*keys, (F.col("__block") + 1).alias("__block")).agg(*[F.max_by(c, "__k").alias(n) for n, c in columns.items()])
+    return df.join(ends, [*keys, "__block"], "left")
 
 
 def ewma(df: DataFrame, alpha: float = 0.15, value: str = "value", keys=KEYS, out: str = "ewma") -> DataFrame:
-    """y0 = x0, then alpha * x + (1 - alpha) * y; null counts as 0."""
-    fold = recurrence(df, value, lambda s, x: F.when(s.isNull(), x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * s), F.lit(None).cast("double"), 256, keys)
-    return df.withColumn(out, fold)
+    """y0 = x0, then alpha * x + (1 - alpha) * y; null counts as 0. All rows count, however small alpha is.
+
+    In a block y is decay ** k * (sum of x_j * weight_j / decay ** j), a running sum; the block before adds its last y.
+    """
+    told, power = in_blocks(df, 1 - alpha, keys)
+    if alpha >= 1:
+        return df.withColumn(out, F.coalesce(F.col(value), F.lit(0.0)))
+    weight = F.when((F.col("__k") == 0) & (F.col("__block") == 0), 1.0).otherwise(alpha)
+    inside = Window.partitionBy(*keys, "__block").orderBy("__k")
+    told = told.withColumn("__y", F.sum(F.coalesce(F.col(value), F.lit(0.0)) * weight / power).over(inside) * power)
+    told = last_of_block_before(told, {"__last": F.col("__y")}, keys)
+    return told.select(*df.columns, (F.col("__y") + F.coalesce("__last", F.lit(0.0)) * power * (1 - alpha)).alias(out))
 
 
 def cusum(df: DataFrame, allowance: float = 0.5, decay: float = 0.85, skip_first: bool = True, value: str = "value", keys=KEYS, out: str = "cusum") -> DataFrame:
-    """c = max(0, decay * c + x - allowance) from 0; skip_first leaves the first row at 0 whatever its value."""
-    numbered = df.withColumn("__x", F.when(F.row_number().over(ordered(keys)) > (1 if skip_first else 0), F.coalesce(F.col(value), F.lit(0.0)) - F.lit(allowance)).otherwise(0.0))
-    fold = F.aggregate(F.collect_list("__x").over(ordered(keys).rowsBetween(-255, 0)), F.lit(0.0), lambda s, x: F.greatest(F.lit(0.0), F.lit(decay) * s + x))
-    return numbered.withColumn(out, fold).drop("__x")
+    """c = max(0, decay * c + x - allowance) from 0; skip_first leaves the first row at 0 whatever its value. All rows count.
+
+    With T the running sum of (x_j - allowance) / decay ** j, c is decay ** k * (T - least T so far), where 0 stands for
+    the start: windows, no loop. Across blocks c is the greater of that and what the block before leaves.
+    """
+    told, power = in_blocks(df, decay, keys)
+    first = (F.col("__k") == 0) & (F.col("__block") == 0)
+    step = F.coalesce(F.col(value), F.lit(0.0)) - F.lit(allowance)
+    inside = Window.partitionBy(*keys, "__block").orderBy("__k")
+    # the start of a series is a 0 that nothing lies before
+    told = told.withColumn("__t", F.sum((F.when(first, 0.0).otherwise(step) if skip_first else step) / power).over(inside))
+    told = told.withColumn("__low", F.min("__t").over(inside))
+    told = told.withColumn("__s", F.col("__t") * power).withColumn("__p", (F.col("__t") - F.col("__low")) * power)
+    told = last_of_block_before(told, {"__before": F.greatest("__p", "__s")}, keys)
+    carried = F.coalesce("__before", F.lit(0.0)) * power * decay + F.col("__s")
+    return told.select(*df.columns, F.greatest("__p", carried).alias(out))
 
 
 def rolling_vote(df: DataFrame, flag: Column, window: int, needed: int, keys=KEYS, out: str = "vote") -> DataFrame:
@@ -95,6 +127,17 @@ def local_peaks(df: DataFrame, half: int = 3, slack: float = 1e-12, value: str =
     return df.withColumn(out, F.col(value) >= F.max(value).over(ordered(keys).rowsBetween(-half, half)) - F.lit(slack))
 
 
+def rolling_levels(df: DataFrame, windows: tuple[int, ...] = (12, 72), value: str = "value", keys=KEYS) -> DataFrame:
+    """Means of the last 12 and 72 rows (fewer at the start): mean_<rows>."""
+    return df.select("*", *[F.avg(value).over(ordered(keys).rowsBetween(1 - n, 0)).alias(f"mean_{n}") for n in windows])
+
+
+def standardised(df: DataFrame, value: str = "value", keys=KEYS, out: str = "z") -> DataFrame:
+    """(x - mean) / sample deviation of the series; null where there is no spread."""
+    w = Window.partitionBy(*keys)
+    return df.withColumn(out, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
+
+
 def trailing_stats(df: DataFrame, rows: int, value: str = "value", keys=KEYS, dx: float = 1.0) -> DataFrame:
     """Eleven statistics of the last `rows` rows: last, mean, std, min, max, median, q10, q90, slope, delta, auc."""
     w = ordered(keys)

@@ -1,58 +1,88 @@
-"""Sequential operators: hysteresis states, the trigger scheduler and greedy peaks, run group by group."""
+"""Sequential operators: hysteresis states, trigger schedulers and greedy peaks, run where the state must be known again."""
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from telltale.operators.sequence import ordered
+
+#: So many segments or events are worked on in one call, one after the other.
+TOGETHER = 64
+
+
+def fields(df: DataFrame, *more: str) -> str:
+    return ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + list(more))
 
 
 def hysteresis(df: DataFrame, quiet: int, keys: str = "series") -> DataFrame:
     """Adds `state` to rows with start and hold flags: on at a start, off on the `quiet`-th row in a row without hold.
 
-    The row that turns off is off already, so an event has quiet - 1 rows of silence at its end. A group is one
-    network's series in order of time.
+    The row that turns off is off already, so an event has quiet - 1 rows of silence at its end. After `quiet` rows with
+    neither flag the state is off whatever it was, so a series is cut there: segments without a start are off
+    throughout, the others are run through one by one, wherever they lie.
     """
+    w = ordered((keys,))
+    calm = ~(F.coalesce(F.col("start"), F.lit(False)) | F.coalesce(F.col("hold"), F.lit(False)))
+    told = df.withColumn("__i", F.row_number().over(w)).withColumn("__busy", F.when(~calm, F.col("__i")))
+    since = F.col("__i") - F.coalesce(F.last("__busy", ignorenulls=True).over(w), F.lit(0))
+    told = told.withColumn("__segment", F.sum((since == quiet).cast("int")).over(w))
+    told = told.withColumn("__live", F.max(F.coalesce(F.col("start"), F.lit(False))).over(Window.partitionBy(keys, "__segment")))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts", kind="stable")
-        states, on, silent = [], False, 0
-        for start, hold in zip(g["start"], g["hold"], strict=True):
+        g = g.sort_values("__i")
+        states, on, silent, segment = [], False, 0, None
+        for now, start, hold in zip(g["__segment"], g["start"], g["hold"], strict=True):
+            if now != segment:
+                on, silent, segment = False, 0, now
             if not on:
-                on, silent = bool(start), 0
-            elif hold:
+                on, silent = start is True or start == 1, 0
+            elif hold is True or hold == 1:
                 silent = 0
             else:
                 silent += 1
-                if silent >= quiet:
-                    on, silent = False, 0
+                on = silent < quiet
             states.append(int(on))
-        return g.assign(state=states)
+        return g.assign(state=states).drop(columns=["__i", "__segment"])
 
-    return df.groupBy(keys).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", state int")
+    plain = told.drop("__busy", "__live")
+    live = plain.join(told.where("__live").select(keys, "__segment").distinct(), [keys, "__segment"])
+    live = live.select(*plain.columns).groupBy(keys, F.floor(F.col("__segment") / TOGETHER)).applyInPandas(run, fields(df, "state int"))
+    return live.unionByName(told.where("not __live").select(*df.columns, F.lit(0).alias("state")))
 
 
 def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def schedule(df: DataFrame, recheck_s: int, min_shift_s: int, threshold: float, keys: list[str], top: int = 5) -> DataFrame:
-    """Triggers of each event (rows: keys, ts, names): its first row, then a recheck after recheck_s, or a shift of names.
+def schedule(df: DataFrame, recheck: float, min_shift: float, threshold: float, keys: list[str], top: int = 5, by_rows: bool = False) -> DataFrame:
+    """Triggers of each event (rows: keys, ts, names; the last key numbers events): its first row, then a recheck, or a shift of names.
 
-    A shift is a Jaccard similarity under `threshold` of the current names and those of the last trigger, at least
-    min_shift_s later. Any trigger restarts both clocks; two empty sets are alike.
+    A recheck comes `recheck` seconds after the last trigger, a shift where the Jaccard similarity of the current names
+    and those of the last trigger is under `threshold`, at least min_shift seconds later (by_rows: both in rows of the
+    event). Any trigger restarts both clocks; two empty sets are alike. Many events are run through in one call.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts", kind="stable")
-        out, since, last = [], None, set()
-        for ts, names in zip(g["ts"], g["names"], strict=True):
-            now = {n for n in list(names)[:top] if n} if names is not None else set()
-            gap = None if since is None else (ts - since).total_seconds()
-            reason = "event_start" if gap is None else "periodic_recheck" if gap >= recheck_s else "sensor_shift" if gap >= min_shift_s and jaccard(now, last) < threshold else None
+        g = g.sort_values([*keys, "ts"], kind="stable")
+        out, event, since, last, row = [], None, None, set(), 0
+        for now, ts, names in zip(zip(*(g[k] for k in keys), strict=True), g["ts"], g["names"], strict=True):
+            if now != event:
+                event, since, row = now, None, 0
+            row += 1
+            seen = {n for n in list(names)[:top] if n} if names is not None else set()
+            clock = row if by_rows else ts.timestamp()
+            if since is None:
+                reason = "event_start"
+            elif clock - since >= recheck:
+                reason = "periodic_recheck"
+            else:
+                reason = "sensor_shift" if clock - since >= min_shift and jaccard(seen, last) < threshold else None
             if reason:
-                since, last = ts, now
+                since, last = clock, seen
             out.append(reason)
         return g.assign(reason=out).dropna(subset=["reason"])
 
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", reason string")
+    return df.groupBy(*keys[:-1], F.floor(F.col(keys[-1]) / TOGETHER)).applyInPandas(run, fields(df, "reason string"))
 
 
 def suppress_peaks(df: DataFrame, min_gap_s: int, limit: int, keys: str = "series") -> DataFrame:

@@ -163,17 +163,29 @@ def range_24h_mean(spark, sf):
     return sequence.time_mean(hourly(spark, sf), 86400).select("series", "ts", r("mean").alias("mean"))
 
 
-FOLD = "WITH {p2}, x AS (SELECT *, list(value / 100) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 255 PRECEDING AND CURRENT ROW) AS l, row_number() OVER (PARTITION BY series ORDER BY ts) AS n FROM p2) "
+FOLD = "WITH RECURSIVE {p2}, x AS (SELECT series, ts, value / 100 AS v, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM p2), f AS (SELECT series, ts, i, {first} AS y FROM x WHERE i = 1 UNION ALL SELECT x.series, x.ts, x.i, {step} FROM f JOIN x ON x.series = f.series AND x.i = f.i + 1) SELECT series, ts, round(y, 6) AS {name} FROM f"
 
 
-@query(FOLD.format(p2=P2) + "SELECT series, ts, round(list_reduce(l, lambda a, b: 0.15 * b + 0.85 * a), 6) AS ewma FROM x")
+@query(FOLD.format(p2=P2, first="v", step="0.15 * v + 0.85 * y", name="ewma"))
 def ewma(spark, sf):
     return sequence.ewma(daily(spark, sf).withColumn("value", F.col("value") / 100)).select("series", "ts", r("ewma").alias("ewma"))
 
 
-@query(FOLD.format(p2=P2).replace("list(value / 100)", "list(CASE WHEN n0 = 1 THEN 0 ELSE value / 100 - 4 END)").replace("FROM p2)", "FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS n0 FROM p2))") + "SELECT series, ts, round(list_reduce(list_prepend(0.0, l), lambda a, b: greatest(0.0, 0.85 * a + b)), 6) AS cusum FROM x")
+@query(FOLD.format(p2=P2, first="v", step="0.004 * v + 0.996 * y", name="ewma"))
+def ewma_slow(spark, sf):
+    """A long memory: rows a thousand back still count."""
+    return sequence.ewma(daily(spark, sf).withColumn("value", F.col("value") / 100), 0.004).select("series", "ts", r("ewma").alias("ewma"))
+
+
+@query(FOLD.format(p2=P2, first="0.0::DOUBLE", step="greatest(0.0, 0.85 * y + v - 1)", name="cusum"))
 def cusum(spark, sf):
-    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 100), 4.0).select("series", "ts", r("cusum").alias("cusum"))
+    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 100), 1.0).select("series", "ts", r("cusum").alias("cusum"))
+
+
+@query(FOLD.format(p2=P2, first="greatest(0.0, v - 1)", step="greatest(0.0, 0.998 * y + v - 1)", name="cusum"))
+def cusum_slow(spark, sf):
+    """Hardly any decay, the first row counts."""
+    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 100), 1.0, 0.998, False).select("series", "ts", r("cusum").alias("cusum"))
 
 
 @query(f"WITH {P2} SELECT series, ts, CAST(sum(flag) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) >= 6 AS BIGINT) AS vote FROM flagged")
@@ -290,8 +302,10 @@ def pairwise_slope(spark, sf):
 
 @query()
 def robust_regression(spark, sf):
+    """Trimmed Huber regressions of each series on its nearest ones; tests compare them with plain NumPy."""
     p = hourly(spark, sf)
-    return relate.robust_models(p, relate.top_anchors(p, 3)).select("target", F.array_join("features", ",").alias("features"), F.transform("beta", lambda b: F.round(b, 4)).alias("beta"), r("sigma", 4).alias("sigma"))
+    near = relate.top_anchors(p, 3).select(F.col("a").alias("model"), F.col("a").alias("target"), F.col("b").alias("feature"))
+    return relate.robust_models(p, near, steps=15).select("target", F.array_join("features", ",").alias("features"), F.transform("beta", lambda b: F.round(b, 4)).alias("beta"), r("sigma", 4).alias("sigma"))
 
 
 @query(f"WITH {P2}, q AS (SELECT series, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM p2 GROUP BY series) SELECT p2.series, count(*) AS n, round(avg(CAST((value - lo) / (hi - lo) <= 0.15 OR (value - lo) / (hi - lo) >= 0.85 AS INT)), 6) AS at_edges, round(count(DISTINCT round(value, 2)) / count(*), 6) AS distinct_share FROM p2 JOIN q USING (series) GROUP BY p2.series")

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from telltale.plans import catalogue
+from telltale.plans import catalogue, network  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
