@@ -1,6 +1,7 @@
 """Best-fit packing: tokenised documents go whole into as few sequences as bin completion finds."""
 
 import bisect
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,8 +33,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge, self.normal, self.cut = self.tokenizer.model.tokenize, self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.pieces = WordIds(limit=100_000, of=lambda p: np.array([t.id for t in self.merge(p)], "<u4").tobytes())
-        self.words = WordIds(limit=100_000, of=self.word)
+        self.pieces = WordIds(limit=400_000, of=lambda p: np.array([t.id for t in self.merge(p)], "<u4").tobytes())
+        self.words = WordIds(limit=600_000, of=self.word)
 
     def word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -47,6 +48,12 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, with what it knows from tasks before."""
+    return Encoder(path)
+
+
 def tokenise(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Pieces of at most capacity ids: doc_id, piece, start, length, ids_crc32 (and ids). Null text: only the end id."""
     small_batches(docs.sparkSession)
@@ -55,7 +62,7 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int
     fields += [("ids", pa.list_(pa.int32()))] if keep_ids else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode = encoder(vocabulary)
         for batch in batches:
             rows = []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

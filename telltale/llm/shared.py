@@ -106,15 +106,19 @@ def uid(df: DataFrame, name: str = "uid") -> DataFrame:
 
 
 class WordIds(dict):
-    """Word (bytes) to 64-bit id; forgets when full, so its memory is bounded."""
+    """Word (bytes) to what `of` makes of it, a 64-bit id by default. Its memory is bounded: when full, it keeps what it had as an older store, from which words that come again are taken over, and forgets the older store before."""
 
     def __init__(self, limit: int = 200_000, of=xxhash.xxh3_64_intdigest):
-        self.limit, self.of = limit, of
+        self.limit, self.of, self.old = limit // 2, of, {}
 
     def __missing__(self, word):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = self.of(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.of(word)
+        self[word] = value
         return value
 
     def array(self, words: list) -> np.ndarray:
