@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telltale.llm.shared import MULTIPLIER, Scratch, WordIds, mix, small_batches, uid, windows
+from telltale.llm.shared import MULTIPLIER, Scratch, WordIds, key, mix, named, small_batches, uid, windows
 
 RUN, PAIR = np.uint64(0x52554E), np.uint64(0x50414952)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
@@ -140,12 +140,12 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     chains of symbols of one name. Names that occur twice mark the stretches that may repeat: of equal stretches all
     but the first go. Where one name has different stretches (at the ends of a repeat), the windows of the first of
     each are compared, over the whole table. Words are compared by two hashes (95 bits). Null and empty texts have no
-    words; rows that share a doc_id are one document at the same place, so they take nothing from each other; an
-    empty table gives no rows; other columns are ignored.
+    words; rows that share a doc_id are one document at the same place, so they take nothing from each other; null
+    doc_ids are such rows too, and come after all others; an empty table gives no rows; other columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(key(docs).alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     known = scratch.cut(uid(counted(texts)))
     heads = known.where(F.col("n") >= window).groupBy("whole").agg(F.min("doc_id").alias("head"))
     rows = scratch.cut(known.join(heads, "whole", "left"))
@@ -160,8 +160,11 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     place = F.struct("doc_id", F.shiftright("starts", 32).alias("start"))
     kinds = scratch.cut(found.groupBy("name", "one", "two").agg(F.min(place).alias("f"), F.count("*").alias("c")))
     # within one stretch no window is like another, but where there is no name
-    mixed = kinds.groupBy("name").agg(F.count("*").alias("k")).where("k > 1 or name = 0").select("name", F.lit(True).alias("mixed"))
-    kinds_of = kinds.join(mixed, "name", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("mixed or c > 1")
+    chained = kinds.where("name <> 0")
+    mixed = chained.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name", F.lit(True).alias("mixed"))
+    kinds_of = chained.join(mixed, "name", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    # what has no name is not joined by it
+    kinds_of = kinds_of.unionByName(kinds.where("name = 0").withColumn("mixed", F.lit(True))).where("mixed or c > 1")
     seats = found.join(kinds_of, ["name", "one", "two"]).select("uid", "starts", (place > F.col("f")).alias("later"), "mixed").where("later or mixed")
     seats = scratch.cut(seats)
     scratch.drop(found, kinds)
@@ -208,4 +211,4 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     rest = rows.where("head is null or head >= doc_id").join(stripped, ["doc_id", "th"], "left")
     rest = rest.select("doc_id", F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
     copies = rows.where("head < doc_id").select("doc_id", F.col("n").alias("n_words"), F.col("n").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
-    return rest.unionByName(copies)
+    return rest.unionByName(copies).withColumn("doc_id", named("doc_id"))
