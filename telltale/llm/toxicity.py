@@ -88,7 +88,7 @@ def summary(ratios: np.ndarray) -> list[float]:
     return [sums[-1] / n, *spans, *(float(high[:t].mean()) for t in TOPS), float(np.log(n))]
 
 
-def train(rows: DataFrame, least: int = 2) -> KneserNey:
+def train(rows: DataFrame, least: int = 1) -> KneserNey:
     """rows: text (binary), y. Words, then their n-grams, are counted in Spark; n-grams seen less than `least` times are left out."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
