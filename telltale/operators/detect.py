@@ -137,7 +137,8 @@ def full_features(panel: DataFrame, s: Settings) -> DataFrame:
 
 
 def negative(c: str, scale: str) -> Column:
-    return F.greatest(F.lit(0.0), -F.col(c) / F.greatest(F.col(scale), F.lit(1e-3)))
+    """How many scales it is below zero; null where it is null."""
+    return F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), -F.col(c) / F.greatest(F.col(scale), F.lit(1e-3))))
 
 
 def full_sensor_scores(ds: DataFrame, models: DataFrame, scales: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
@@ -148,8 +149,7 @@ def full_sensor_scores(ds: DataFrame, models: DataFrame, scales: DataFrame, s: S
     drift = sequence.lag_difference(own, s.week_rows, "resid", out="week")
     drift = sequence.lag_difference(drift, max(1, s.slope_rows - 1), "resid", out="fall").join(F.broadcast(scales), "series", "left")
     told = drift.select("series", "ts", negative("resid", "sigma").alias("pressure"), negative("week", "week_scale").alias("weekly"), negative("fall", "fall_scale").alias("slope"))
-    # what is null before the first lagged row is a null score; the recurrence starts at the first known one
-    told = sequence.ewma(told, s.alpha, "weekly", out="ewma")
+    told = sequence.ewma_known(told, s.alpha, "weekly", out="ewma")
     pair = r.where("kind = 'pair'").select(F.col("target").alias("series"), "ts", negative("resid", "sigma").alias("x")).groupBy("series", "ts").agg(F.percentile("x", F.lit(0.5)).alias("pairwise"))
     flows = r.where("kind = 'flow'").select(F.col("target").alias("series"), "ts", F.greatest(F.lit(0.0), F.col("resid") / F.greatest("sigma", F.lit(1e-3))).alias("flow"))
     return told.join(pair, ["series", "ts"], "left").na.fill(0.0, ["pressure", "pairwise", "weekly", "ewma", "slope"]), flows.na.fill(0.0, ["flow"])

@@ -11,9 +11,8 @@ def regular(df: DataFrame, ts: str, series: str, value, unit: str, step: str) ->
     """
     cells = df.groupBy(F.date_trunc(unit, ts).alias("t"), F.col(series).alias("series")).agg(value.alias("value"))
     span = df.agg(F.date_trunc(unit, F.min(ts)).alias("a"), F.date_trunc(unit, F.max(ts)).alias("b"))
-    grid = span.select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {step}"))).alias("t"))
-    names = F.broadcast(df.select(F.col(series).alias("series")).distinct().agg(F.collect_list("series").alias("s")))  # names of series, one row
-    grid = grid.join(names, F.lit(True)).select("t", F.explode("s").alias("series"))
+    # the span is one row; each series makes its own times
+    grid = df.select(F.col(series).alias("series")).distinct().join(F.broadcast(span)).select("series", F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {step}"))).alias("t"))
     return grid.join(cells, ["t", "series"], "left").select("series", F.col("t").cast("timestamp_ntz").alias("ts"), "value")
 
 

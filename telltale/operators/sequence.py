@@ -68,6 +68,28 @@ def ewma(df: DataFrame, alpha: float = 0.15, value: str = "value", keys=KEYS, ou
     return told.select(*df.columns, (F.col("__y") + F.coalesce("__last", F.lit(0.0)) * power * (1 - alpha)).alias(out))
 
 
+def ewma_known(df: DataFrame, alpha: float = 0.15, value: str = "value", keys=KEYS, out: str = "ewma") -> DataFrame:
+    """The same over the known values: it starts at the first, and after g nulls what was before weighs (1 - alpha) ** (g + 1) against alpha. Null before the first value, else carried on where the value is null.
+
+    With a_i the share of what was before, y is P_i * (sum of (1 - a_j) * x_j / P_j), P being the product of all a so
+    far. Blocks end where P has fallen by 40 powers of ten, and each adds the last y of the block before.
+    """
+    told = df.withColumn("__i", F.row_number().over(ordered(keys)))
+    known = told.where(F.col(value).isNotNull()).select(*keys, "__i", F.col(value).alias("__x"))
+    w = Window.partitionBy(*keys).orderBy("__i")
+    old = F.pow(F.lit(1.0 - alpha), (F.col("__i") - F.lag("__i").over(w)).cast("double"))
+    known = known.withColumn("__a", F.greatest(old / (old + alpha), F.lit(1e-300)))
+    known = known.withColumn("__l", F.sum(F.coalesce(-F.log10("__a"), F.lit(0.0))).over(w)).withColumn("__block", F.floor(F.col("__l") / 40))
+    inside = Window.partitionBy(*keys, "__block").orderBy("__i")
+    power = F.pow(F.lit(10.0), F.col("__block") * 40 - F.col("__l"))
+    known = known.withColumn("__y", F.sum((1 - F.coalesce("__a", F.lit(0.0))) * F.col("__x") / power).over(inside) * power)
+    ends = known.groupBy(*keys, (F.col("__block") + 1).alias("__block")).agg(F.max_by("__y", "__i").alias("__last"), F.max("__l").alias("__ended"))
+    known = known.join(ends, [*keys, "__block"], "left")
+    y = F.col("__y") + F.coalesce(F.col("__last") * F.pow(F.lit(10.0), F.col("__ended") - F.col("__l")), F.lit(0.0))
+    both = told.join(known.select(*keys, "__i", y.alias("__y")), [*keys, "__i"], "left")
+    return both.withColumn(out, F.last("__y", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__i"))).select(*df.columns, out)
+
+
 def cusum(df: DataFrame, allowance: float = 0.5, decay: float = 0.85, skip_first: bool = True, value: str = "value", keys=KEYS, out: str = "cusum") -> DataFrame:
     """c = max(0, decay * c + x - allowance) from 0; skip_first leaves the first row at 0 whatever its value. All rows count.
 

@@ -177,6 +177,15 @@ def ewma_slow(spark, sf):
     return sequence.ewma(daily(spark, sf).withColumn("value", F.col("value") / 100), 0.004).select("series", "ts", r("ewma").alias("ewma"))
 
 
+@query(f"""WITH RECURSIVE {P2}, x AS (SELECT series, ts, CASE WHEN value % 3 > 0 THEN value / 100 END AS v, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM p2),
+f AS (SELECT series, ts, i, v AS y, 1.0::DOUBLE AS w FROM x WHERE i = 1 UNION ALL SELECT x.series, x.ts, x.i, CASE WHEN v IS NULL THEN y WHEN y IS NULL THEN v ELSE (0.85 * w * y + 0.15 * v) / (0.85 * w + 0.15) END, CASE WHEN v IS NULL AND y IS NOT NULL THEN 0.85 * w ELSE 1.0 END FROM f JOIN x ON x.series = f.series AND x.i = f.i + 1)
+SELECT series, ts, round(y, 6) AS ewma FROM f""")
+def ewma_known(spark, sf):
+    """Nulls are skipped, but what was before them loses weight."""
+    d = daily(spark, sf).withColumn("value", F.when(F.col("value") % 3 > 0, F.col("value") / 100))
+    return sequence.ewma_known(d).select("series", "ts", r("ewma").alias("ewma"))
+
+
 @query(FOLD.format(p2=P2, first="0.0::DOUBLE", step="greatest(0.0, 0.85 * y + v - 1)", name="cusum"))
 def cusum(spark, sf):
     return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 100), 1.0).select("series", "ts", r("cusum").alias("cusum"))

@@ -30,9 +30,8 @@ def network(spark: SparkSession, sf: str) -> DataFrame:
     told = F.array(one(F.lit(True), F.concat(F.lit("press_"), (F.col("user_id") % 4).cast("string")), "pressure"), one(F.col("event_type").isin("purchase", "view"), F.lit("flow_0"), "flow"), one(F.col("event_type") == "click", F.lit("flow_1"), "flow"))
     cells = e.select("t", "value", F.explode(F.filter(told, lambda x: x.isNotNull())).alias("s")).groupBy("t", "s.series", "s.kind").agg(F.avg("value").alias("m"), F.sum("value").alias("s"))
     cells = cells.select("t", "series", "kind", F.when(F.col("kind") == "pressure", F.col("m")).otherwise(F.col("s")).alias("value"))
-    hours = e.agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("t"))
-    names = cells.select("series", "kind").distinct()  # one row for each series
-    grid = hours.join(names, F.lit(True))
+    span = e.agg(F.min("t").alias("a"), F.max("t").alias("b"))  # one row
+    grid = cells.select("series", "kind").distinct().join(F.broadcast(span)).select("series", "kind", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("t"))
     return grid.join(cells.drop("kind"), ["t", "series"], "left").select("series", "kind", F.col("t").cast("timestamp_ntz").alias("ts"), "value")
 
 
