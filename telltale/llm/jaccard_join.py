@@ -128,6 +128,39 @@ def join_tile(ids: list[int], sets: list[np.ndarray], sides: list[int], percent:
     return links
 
 
+def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs (cls, low) whose whole sets are alike enough."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("items").to_pylist(), batch.column("others").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                ok.append((100 + percent) * overlap(x, y) >= percent * (len(x) + len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(sets.select("cls", "items"), "cls").join(sets.select(F.col("cls").alias("low"), F.col("items").alias("others")), "low")
+    return both.select(F.col("cls").alias("a"), F.col("low").alias("b"), "items", "others").mapInArrow(compare, "a long, b long")
+
+
+def tile_jobs(large: DataFrame, connected: DataFrame, tile: int) -> DataFrame:
+    """cls, root, job, side: large clusters' classes in all tile pairs whose sizes allow a link, but for tiles of one and the same connected part.
+
+    A part of over tile / 8 classes in a step of sizes has tiles of its own, the others share tiles.
+    """
+    c = large.join(connected.select(F.col("node").alias("cls"), F.col("root").alias("part")), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    many = c.groupBy("root", "step", "part").agg(F.count("*").alias("rows")).where(F.col("rows") > tile / 8).select("root", "step", "part", F.lit(True).alias("own"))
+    c = c.join(many, ["root", "step", "part"], "left").withColumn("part", F.when(F.col("own"), F.col("part")).otherwise(-1))
+    need = F.ceil(F.greatest(F.count("*") / F.lit(tile / 2), F.sum("n") / F.lit(tile * 2000))).cast("int")
+    tiles = c.groupBy("root", "step", "part").agg(need.alias("tiles"))
+    c = c.join(tiles, ["root", "step", "part"]).withColumn("nth", F.pmod(F.xxhash64("cls"), "tiles"))
+    label = lambda step, part, nth: F.concat_ws("/", step, part, nth)
+    others = tiles.select("root", F.col("step").alias("step2"), F.col("part").alias("part2"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("nth2"))
+    near = c.withColumn("step2", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))).join(others, ["root", "step2"])
+    near = near.where((F.col("part") != F.col("part2")) | (F.col("part") == -1)).withColumn("one", label("step", "part", "nth")).withColumn("two", label("step2", "part2", "nth2"))
+    return near.select("cls", "root", F.concat_ws(" ", F.least("one", "two"), F.greatest("one", "two")).alias("job"), F.when(F.col("one") == F.col("two"), 2).otherwise((F.col("one") > F.col("two")).cast("int")).alias("side"))
+
+
 def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, tile: int = 1500) -> DataFrame:
     """doc_id, n_shingles and component_id of linked_rows(), with null doc_ids as they were."""
     return linked_rows(docs, size, percent, tile).select(named("doc_id").alias("doc_id"), "n_shingles", named("component_id").alias("component_id"))
@@ -137,9 +170,12 @@ def linked_rows(docs: DataFrame, size: int, percent: int, tile: int = 1500) -> D
     """doc_id (never null), th (hash of the text), n_shingles and component_id: the least doc_id that links lead to, for every document.
 
     Two documents link when 100 * overlap >= percent * union of their sets of word shingles. Equal sets are one class.
-    Classes that share a routing key are brought together (as connected clusters, each class once); a cluster of over
-    `tile` classes (or 4000 times as many shingles) is cut into tiles by size and hash, and every pair of tiles whose sizes allow a link is one job. In
-    a job an R-tree of group counts finds the pairs that the overlap bound allows, and their whole sets are compared.
+    Classes that share a routing key are brought together (as connected clusters, each class once). In a small cluster
+    an R-tree of group counts finds the pairs that the overlap bound allows, and their whole sets are compared. In one
+    of over `tile` classes (or 4000 times as many shingles) each class is first compared with the least class of each
+    of its keys; classes that this connects need not meet again. The others are cut into tiles by size, connection and
+    hash, and two tiles are a job with an R-tree if their sizes allow a link and they aren't connected throughout. So
+    the copies of one document cost a few comparisons each, however many they are.
     Null and empty texts have no shingles and link with nothing; repeated rows are one class; a null doc_id comes after
     all others; an empty table gives no rows; other columns are ignored.
     """
@@ -152,37 +188,31 @@ def linked_rows(docs: DataFrame, size: int, percent: int, tile: int = 1500) -> D
     keyed = known.join(members.where("uid = cls").select("uid"), "uid", "left_semi").select(F.col("uid").alias("cls"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     meet = components(keyed.join(shared, "key").select(F.col("cls").alias("a"), F.col("low").alias("b")), scratch)
-    scratch.drop(known)
     cluster = meet.unionByName(meet.select(F.col("root").alias("node"), "root").distinct())
-    # tiles: sizes that can link lie in the same or neighbouring steps; a step of many classes is dealt by hash
     inside = members.where("uid = cls").join(cluster, F.col("cls") == F.col("node")).select("cls", "doc_id", "th", "digest", "n", "root")
+    # sizes that can link lie in the same or neighbouring steps
     inside = scratch.cut(inside.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / (percent - 0.5)))).cast("int")))
-    counts = inside.groupBy("root", "step").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
-    whole = counts.groupBy("root").agg(((F.sum("rows") > tile) | (F.sum("items") > tile * 4000)).alias("large"))
-    parts = F.ceil(F.greatest(F.col("rows") / F.lit(tile / 2), F.col("items") / F.lit(tile * 2000))).cast("int")
-    counts = counts.join(whole, "root").select("root", "step", "large", parts.alias("parts"))
-    nxt = counts.select("root", (F.col("step") - 1).alias("step"), F.col("parts").alias("after"))
-    prev = counts.select("root", (F.col("step") + 1).alias("step"), F.col("parts").alias("before"))
-    counts = counts.join(nxt, ["root", "step"], "left").join(prev, ["root", "step"], "left").na.fill(0, ["after", "before"])
-    dealt = inside.join(counts, ["root", "step"]).withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
-    job = lambda s, p, t, q, side: F.struct(F.concat_ws("/", s, p, t, q).alias("job"), side.cast("int").alias("side"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(upto(F.col("parts")), lambda q: job(F.col("step"), F.least("part", q), F.col("step"), F.greatest("part", q), F.when(q == F.col("part"), 2).otherwise((F.col("part") > q).cast("int"))))
-    up = F.transform(upto(F.col("after")), lambda q: job(F.col("step"), F.col("part"), F.col("step") + 1, q, F.lit(0)))
-    down = F.transform(upto(F.col("before")), lambda q: job(F.col("step") - 1, q, F.col("step"), F.col("part"), F.lit(1)))
-    jobs = F.when(F.col("large"), F.concat(own, up, down)).otherwise(F.array(F.struct(F.lit("").alias("job"), F.lit(2).alias("side"))))
-    dealt = dealt.select("doc_id", "th", "cls", "digest", "root", jobs.alias("jobs"))
+    whole = inside.groupBy("root").agg(((F.count("*") > tile) | (F.sum("n") > tile * 4000)).alias("large"))
+    inside = inside.join(whole, "root")
+    texts = docs.select(key(docs).alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
 
     def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
             sets = [shingles(t, size, ids).tobytes() for t in batch.column("text").to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.select(["cls", "root", "jobs"]).columns, pa.array(sets, pa.binary())], ["cls", "root", "jobs", "items"]).filter(same)
+            yield pa.RecordBatch.from_arrays([*batch.select(["cls", "root"]).columns, pa.array(sets, pa.binary())], ["cls", "root", "items"]).filter(same)
+
+    def sets_of(classes: DataFrame) -> DataFrame:
+        """cls, root, items: the sets of classes, made again from one text of each (rows that repeat make them repeatedly)."""
+        return texts.join(classes.select("doc_id", "th", "cls", "root", "digest"), ["doc_id", "th"]).select("cls", "root", "digest", "text").mapInArrow(remake, "cls long, root long, items binary")
 
-    texts = docs.select(key(docs).alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")).join(dealt, ["doc_id", "th"])
-    texts = texts.select("cls", "root", "jobs", "digest", "text").mapInArrow(remake, "cls long, root long, jobs array<struct<job:string,side:int>>, items binary")
-    rows = texts.select("cls", "root", F.explode("jobs").alias("j"), "items").select("cls", "root", "j.job", "j.side", "items")
+    rows = sets_of(inside.where("not large")).select("cls", "root", F.lit("").alias("job"), F.lit(2).alias("side"), "items")
+    large, starred = inside.where("large"), None
+    if not large.isEmpty():
+        sets = scratch.cut(sets_of(large).dropDuplicates(["cls"]))
+        starred = scratch.cut(star_links(keyed.join(shared, "key").where("cls <> low").select("cls", "low").distinct(), sets, percent))
+        rows = rows.unionByName(tile_jobs(large, components(starred, scratch), tile).join(sets.select("cls", "items"), "cls").select("cls", "root", "job", "side", "items"))
 
     def link(table: pa.Table) -> pa.Table:
         seen = {(c, s): i for c, s, i in zip(*(table.column(x).to_pylist() for x in ("cls", "side", "items")), strict=True)}
@@ -190,7 +220,10 @@ def linked_rows(docs: DataFrame, size: int, percent: int, tile: int = 1500) -> D
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     links = rows.groupBy("root", "job").applyInArrow(link, "a long, b long")
+    if starred is not None:
+        links = links.unionByName(starred)
     linked = components(links, scratch)
+    scratch.drop(known)
     least = members.where("uid = cls").select(F.col("cls").alias("c"), "least")
     tops = linked.join(least, F.col("node") == F.col("c")).groupBy("root").agg(F.min("least").alias("low"))
     tops = tops.join(least, F.col("root") == F.col("c")).select("root", F.least("low", "least").alias("low"))

@@ -1,73 +1,30 @@
 """Helpers of the text operators: tables in the shared folder, word splitting and word hashing."""
 
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telltale import scratch
 from telltale.shipping import ship
 
 #: Rows in one Arrow batch, so that a batch of very long texts stays small.
 BATCH_ROWS = 256
 
 
-class Scratch:
-    """Tables written to the folder that spark.checkpoint.dir names; they cut the lineage and survive lost executors.
-
-    Only where that setting is absent and Spark runs in one process (tests) a local folder is used.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.conf.get("spark.master", "local").startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = f"file://{tempfile.gettempdir()}/telltale-shared"
-        self.dir = f"{root.rstrip('/')}/telltale-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.dir}/{self.count}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
+class Scratch(scratch.Scratch):
+    """The same, for tables of texts: a cut also lets go of the shuffle files that led to it, or disks fill up."""
+
+    def named(self, path: str, schema) -> DataFrame:
         gc.collect()
         self.spark._jvm.System.gc()  # Spark deletes the shuffle files of plans that the driver has forgotten
-        return out
-
-    def split(self, df: DataFrame, condition: Column) -> list[DataFrame]:
-        """Writes df in one job as two tables, the rows without and those with the condition; each can be dropped."""
-        self.count += 1
-        path = f"{self.dir}/{self.count}"
-        df.withColumn("__side", condition.cast("int")).write.partitionBy("__side").parquet(path)
-        out = []
-        for side in (0, 1):
-            # an empty table has no folder of its own
-            part = f"{path}/__side={side}"
-            out.append(self.spark.read.schema(df.schema).parquet(part) if self.exists(part) else self.spark.createDataFrame([], df.schema))
-            out[-1].scratch_path = part
-        return out
-
-    def exists(self, path: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return super().named(path, schema)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Ships the package to Python workers and keeps Arrow batches small enough for long texts in small executors."""
+    """Ships the package to Python workers and keeps Arrow batches small enough for long texts in small executors. The setting stays: results are computed after the call."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
