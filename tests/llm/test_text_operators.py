@@ -92,6 +92,28 @@ def test_empty_table(spark, docs, labels, benchmark, name):
     assert every(spark, none, labels.limit(0), benchmark.limit(0))[name]().count() == 0
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_very_long_text(spark, labels, benchmark, name):
+    """Texts of a megabyte and more, one of them twice, beside short and empty ones."""
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(30_000)}" for _ in range(200_000))
+    rows = [(1, long, "en", "src1"), (2, long, "de", "src2"), (3, "x" * 1_500_000, "en", "src1"), (4, "a b c", "en", "src1"), (5, "", "en", None), (6, None, None, "src3")]
+    got = every(spark, frame(spark, rows), labels, benchmark)[name]().select("doc_id").collect()
+    assert {r[0] for r in got} == {1, 2, 3, 4, 5, 6}
+    if name == "pack":
+        assert len(got) > 6
+    else:
+        assert len(got) == 6
+
+
+@pytest.mark.parametrize("name", ("quality", "lm", "toxicity"))
+def test_equal_rows_get_equal_scores(spark, docs, labels, benchmark, name):
+    got = defaultdict(set)
+    for r in every(spark, docs, labels, benchmark)[name]().where("doc_id = 7").collect():
+        got[r["doc_id"]].add(r["score"])
+    assert len(got[7]) == 1
+
+
 def test_sharding(docs):
     rows = sharding.shard(docs, 5).toPandas()
     loads = rows.groupby("shard")["size"].sum()
@@ -100,6 +122,88 @@ def test_sharding(docs):
         assert sorted(g["slot"]) == list(range(len(g)))
 
 
+def test_sharding_keeps_groups_together(spark):
+    """Equal texts that fit a shard meet in one; dealt without links nearly every group would be split."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.shard(docs, 8).select("doc_id", "size", "text_crc32", "shard").toPandas()
+    groups = rows.groupby(["text_crc32", "size"])["shard"].agg(members="size", shards="nunique")
+    linked = groups[groups["members"] > 1]
+    assert len(linked) > 20
+    assert (linked["shards"] > 1).mean() < 0.1
+    loads = rows.groupby("shard")["size"].sum()
+    assert loads.max() - loads.min() <= rows["size"].max()
+
+
+def test_quality_shrinks_sparse_sites(spark, docs, labels):
+    """Site scores are what the formula gives: means pulled to the level above by as many pseudo-rows as the spread says."""
+    sure = F.coalesce("doc_id", F.lit(-1)).alias("doc_id")
+    scored = quality.score(docs, labels)
+    rows = scored.select(sure, *scored.columns[1:]).join(docs.select(sure, F.col("source").alias("h"), F.col("lang").alias("p"), F.xxhash64("text").alias("text_hash")).distinct(), ["doc_id", "text_hash"]).toPandas()
+    rows[["h", "p"]] = rows[["h", "p"]].fillna("-")
+    overall = min(max(rows["doc_score"].mean(), 1e-4), 1 - 1e-4)
+
+    def strength(g):
+        m, n = g["doc_score"].sum() / g["n"].sum(), g["n"].sum()
+        m = min(max(m, 1e-4), 1 - 1e-4)
+        between = max(((g["doc_score"] ** 2 / g["n"]).sum() - n * m**2) / n - m * (1 - m) * len(g) / n, 1e-6)
+        return min(max(m * (1 - m) / between - 1, 1.0), 1e6)
+
+    sums = lambda keys: rows.groupby(keys)["doc_score"].agg(["sum", "size"]).set_axis(["doc_score", "n"], axis=1)
+    hosts, paths = sums(["h"]), sums(["h", "p"])
+    k = strength(hosts)
+    hosts["score"] = (hosts["doc_score"] + k * overall) / (hosts["n"] + k)
+    k = strength(paths)
+    above = hosts["score"].reindex(paths.index.get_level_values("h")).to_numpy()
+    paths["score"] = (paths["doc_score"] + k * above) / (paths["n"] + k)
+    for _, r in rows.iterrows():
+        host, path = hosts.loc[r["h"], "score"], paths.loc[(r["h"], r["p"]), "score"]
+        assert r["host_score"] == pytest.approx(host) and r["path_score"] == pytest.approx(path)
+        logit = lambda x: math.log(x / (1 - x))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(logit(r["doc_score"]) + logit(path) - logit(overall)))), rel=1e-6)
+
+
+def components_of(sets, percent):
+    """Least ids that links lead to, by an index of all items and exact comparisons."""
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            root[d] = root[root[d]]
+            d = root[d]
+        return d
+
+    where = defaultdict(list)
+    for d, items in sets.items():
+        for x in items:
+            where[x].append(d)
+    for a in sets:
+        common = Counter(b for x in sets[a] for b in where[x] if b < a)
+        for b, n in common.items():
+            if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in sets}
+
+
+def shingle_sets(rows, size):
+    out = {}
+    for doc, text in rows:
+        w = words_of((text or "").encode().lower().decode())
+        k = min(size, len(w))
+        out[doc] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+    return out
+
+
+def test_jaccard_recall(spark):
+    """No link of all pairs of the table is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = shingle_sets(docs.collect(), 4)
+    want = components_of(sets, 85)
+    assert len(set(want.values())) < len(want)
+    for r in jaccard_join.jaccard_groups(docs).collect():
+        assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]])
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
@@ -432,15 +536,85 @@ def test_secrets_rare_label(spark):
     assert {r["candidate"] for r in found if r["is_secret"]} == set(keys)
 
 
-def test_pipeline_stages(spark):
+def test_candidates_brute_force(spark, docs):
+    """Every candidate of each whole text is found, in order, as Python's own expressions find them."""
+    rows = {r[0]: r[1] for r in made() if r[0] != 7} | {10**6 + k: t for k, t, *_ in planted()}
+    table = spark.createDataFrame([(k, t, "src0") for k, t in rows.items() if k is not None], "doc_id long, text string, source string")
+    got = defaultdict(list)
+    for r in secrets.candidates(table).orderBy("doc_id", "nth").collect():
+        got[r["doc_id"]].append((r["candidate"], r["before"], r["after"]))
+    for k, t in rows.items():
+        found, ends = [m for m in re.finditer(secrets.CANDIDATE, t or "")], [0]
+        for m in found:
+            ends.append(m.end())
+        starts = [m.start() for m in found] + [len(t or "")]
+        want = [(m[0], t[ends[i] : m.start()][-40:], t[m.end() : starts[i + 1]][:20]) for i, m in enumerate(found)]
+        assert k is None or got[k] == want
+
+
+def test_kneser_ney_by_hand():
+    """Log ratios are those of interpolated probabilities worked out one by one."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    counts = defaultdict(lambda: [0, 0])
+    for i, w in enumerate(words):
+        for g in toxicity.grams(w):
+            counts[g][i % 2] += 1
+    model = toxicity.KneserNey({g: tuple(n) for g, n in counts.items()})
+    d, types = toxicity.DISCOUNT, [defaultdict(int), defaultdict(int)]
+    for k in (0, 1):
+        for g, n in counts.items():
+            types[k][g] += n[k]
+        for length in range(toxicity.ORDER, 1, -1):
+            for g in [g for g in types[k] if len(g) == length and types[k][g] > 0]:
+                types[k][g[1:]] += 1
+    pool = {g: types[0][g] + types[1][g] for g in {*types[0], *types[1]} if len(g) <= toxicity.SHARED}
+    use = [{**{g: n for g, n in t.items() if len(g) > toxicity.SHARED and n > 0}, **{g: n for g, n in pool.items() if n > 0}} for t in types]
+    letters = len({g for g in pool if len(g) == 1 and pool[g] > 0})
+
+    def probability(k, g):
+        lower = probability(k, g[1:]) if len(g) > 1 else 1 / (letters + 1)
+        same = [n for h, n in use[k].items() if h[:-1] == g[:-1] and len(h) == len(g)]
+        if not same:
+            return lower
+        return max(use[k].get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * lower
+
+    for w in ["abc", "cab", "aaaa", "bcbcbc", *words[:5]]:
+        want = sum(math.log(probability(1, g) / probability(0, g)) for g in toxicity.grams(w))
+        assert model.ratio(w.encode()) == pytest.approx(want, abs=1e-9)
+
+
+def test_pipeline_brute_force(spark):
+    """Each stage keeps what a plain program keeps of its own input, in all columns, and the last packs all that is left."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, SF)
-        assert after.columns == docs.columns
-        assert after.count() <= before.count()
-        before = after
-    ids = {r[0] for r in before.select("doc_id").collect()}
-    assert {r[0] for r in corpus_pipeline.STAGES[-1][1](spark, before, SF).select("doc_id").collect()} == ids
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda d: {r[0] for r in d.select("doc_id").collect()}
+    good = stages["quality_classifier"](spark, docs, SF)
+    assert ids(good) == {r["doc_id"] for r in quality.score(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("keep").collect()}
+    rows = docs.select("doc_id", "text").collect()
+    groups = defaultdict(list)
+    for doc, text in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((-len(text or ""), doc))
+    assert ids(stages["exact_copies"](spark, docs, SF)) == {min(g)[1] for g in groups.values()}
+    root = components_of(shingle_sets(rows, 5), 80)
+    assert ids(stages["near_copies"](spark, docs, SF)) == {d for d in root if root[d] == d}
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = split(r["text"])
+        n = min(10, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1) if n}
+    sizes = {len(w) for w in windows}
+    clean = {doc for doc, text in rows for w in [split(text)] if not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))}
+    assert ids(stages["benchmark_decontamination"](spark, docs, SF)) == clean
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, docs, SF).columns == docs.columns
+    t = Tokenizer.from_file(vocabulary())
+    lengths = {doc: len(t.encode(text or "", add_special_tokens=False).ids) + 1 for doc, text in rows}
+    packed = stages["best_fit_packing"](spark, docs, SF).collect()
+    assert Counter({doc: sum(r["length"] for r in packed if r["doc_id"] == doc) for doc in lengths}) == Counter(lengths)
+    whole = corpus_pipeline.run(spark, SF).collect()
+    assert len({r["sequence_id"] for r in whole}) >= -(-sum(r["length"] for r in whole) // 4096)
