@@ -1,7 +1,5 @@
 """A corpus from raw documents to packed sequences: each stage works on all that the one before kept."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from telltale.llm import decontamination, exact_dedup, jaccard_join, packing, quality
