@@ -205,8 +205,16 @@ def confirmed(t: DataFrame, s: Settings, th: dict[str, float], burst: str) -> Da
     return sequence.rolling_vote(t, F.col("score_incipient") >= th["incipient"], *s.incipient_confirm, out="incipient_vote")
 
 
-def detect_full(panel: DataFrame, fitted: Fitted) -> tuple[DataFrame, DataFrame]:
-    """(results by time, evidence by sensor and time): states, event ids, votes and the leading sensors."""
+def area_of(areas: dict[str, str] | None, default: str | None) -> Column:
+    """The area that most of a row's leading sensors (`top`) are in; of several, the last by name."""
+    place = F.create_map(*[F.lit(x) for kv in (areas or {"": ""}).items() for x in kv])
+    known = F.filter(F.transform("top", lambda n: F.try_element_at(place, n)), lambda x: x.isNotNull())
+    votes = F.transform(F.array_distinct(known), lambda a: F.struct(F.size(F.filter("top", lambda n: F.try_element_at(place, n) == a)).alias("c"), a.alias("area")))
+    return F.coalesce(F.array_max(votes)["area"], F.lit(default))
+
+
+def detect_full(panel: DataFrame, fitted: Fitted, areas: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results by time, evidence by sensor and time): states, event ids, votes, the leading sensors and their area (null without areas)."""
     s, th = fitted.settings, fitted.thresholds
     scratch = Scratch(panel.sparkSession)
     ds = scratch.cut(deseasoned(smoothed(panel, s.smooth), fitted.profile, s))
@@ -221,14 +229,15 @@ def detect_full(panel: DataFrame, fitted: Fitted) -> tuple[DataFrame, DataFrame]
     hold = (F.col("score_final") >= th["hold"]) | flow_hit | (F.col("votes") >= s.hold_votes)
     t = state.hysteresis(t.withColumn("start", start).withColumn("hold", hold), s.quiet).drop("start", "hold")
     t = sequence.event_ids(sequence.merge_gaps(t, "state", s.merge, out="leak_state"), "leak_state")
-    return t.join(scores.top_series(evidence, "evidence", s.names), "ts", "left").drop("state", "series"), evidence
+    lead = scores.top_series(evidence, "evidence", s.names).withColumn("area", area_of(areas, None))
+    return t.join(lead, "ts", "left").drop("state", "series"), evidence
 
 
 def summarise_full(results: DataFrame) -> DataFrame:
-    """For each event its span, hours, peak, and the five names that lead most often."""
+    """For each event its span, hours, peak, usual area, and the five names that lead most often."""
     e = results.where("event_id > 0")
     seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
-    main = e.groupBy("event_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), ((seconds(F.max("ts")) - seconds(F.min("ts"))) / 3600).alias("hours"), F.max_by("ts", F.struct("score_final", -seconds(F.col("ts")))).alias("peak_ts"), F.max("score_final").alias("peak_score"))
+    main = e.groupBy("event_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), ((seconds(F.max("ts")) - seconds(F.min("ts"))) / 3600).alias("hours"), F.max_by("ts", F.struct("score_final", -seconds(F.col("ts")))).alias("peak_ts"), F.max("score_final").alias("peak_score"), F.mode("area", True).alias("area"))
     seen = e.select("event_id", F.explode("top").alias("name")).groupBy("event_id", "name").agg(F.count("*").alias("c"))
     lead = seen.withColumn("k", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("c"), "name"))).where("k <= 5")
     return main.join(lead.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("top")), "event_id", "left")
@@ -327,8 +336,7 @@ def detect_tiny(panel: DataFrame, fitted: Fitted, areas: dict[str, str] | None =
     t = state.hysteresis(t.withColumn("start", start).withColumn("hold", hold), max(s.quiet, s.merge)).withColumnRenamed("state", "leak_state")
     t = sequence.event_ids(t, "leak_state").drop("start", "hold")
     lead = scores.top_series(evidence, "evidence", s.names, positive=False)
-    place = F.create_map(*[F.lit(x) for kv in (areas or {"": "unknown"}).items() for x in kv])
-    lead = lead.withColumn("area", F.coalesce(F.array_max(F.transform(F.array_distinct(F.filter(F.transform("top", lambda n: F.try_element_at(place, n)), lambda x: x.isNotNull())), lambda a: F.struct(F.size(F.filter("top", lambda n: F.try_element_at(place, n) == a)).alias("c"), a.alias("area"))))["area"], F.lit("unknown")))
+    lead = lead.withColumn("area", area_of(areas, "unknown"))
     return t.join(lead, "ts", "left").drop("series"), evidence
 
 

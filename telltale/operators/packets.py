@@ -126,3 +126,8 @@ def signature_weights(df: DataFrame, signature: str) -> DataFrame:
     t = c.agg(F.sum("__c").alias("__n"), F.count("*").alias("__k"))
     table = c.join(F.broadcast(t)).select(signature, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias("weight"))
     return df.join(table, signature)
+
+
+def actual(df: DataFrame, label: str, value: int = 1) -> DataFrame:
+    """Packets of real triggers with a label: those that were not sampled."""
+    return df.where((F.col("sampled_negative") == 0) & (F.col(label) == value))

@@ -7,7 +7,7 @@ events its flows. Its first 20 days, without 5 January (a known leak), teach; th
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telltale.operators import audit, detect, features, metrics, packets, relate, scores, sequence, state
+from telltale.operators import audit, candidates, detect, features, metrics, packets, relate, scores, sequence, state
 from telltale.plans.catalogue import J, P2, RUNS, SQL, daily, flagged, judged, long_, long_runs, query, r, read
 from telltale.scratch import Scratch
 from telltale.sources import tables
@@ -486,14 +486,26 @@ def finite_rows(spark, sf):
     return tables.finite(e, "v").agg(F.count("*").alias("n"))
 
 
-def best_candidates(df: DataFrame) -> DataFrame:
-    """Candidates from best to worst by validation figures: those that fit the device first, then recall, precision, bytes and name."""
-    w = Window.orderBy(F.desc("fits"), F.desc("recall"), F.desc("precision"), "bytes", "name")
-    return df.withColumn("place", F.row_number().over(w))
-
-
 @query("SELECT c_name AS name, CAST(row_number() OVER (ORDER BY c_acctbal > 0 DESC, round(c_acctbal / 1000, 0) DESC, c_nationkey, c_custkey, c_name) AS BIGINT) AS place FROM customer")
 def candidate_ranking(spark, sf):
     """A ranking by several keys of a short table."""
     c = read(spark, sf, "customer").select(F.col("c_name").alias("name"), (F.col("c_acctbal") > 0).alias("fits"), F.round(F.col("c_acctbal") / 1000, 0).alias("recall"), (-F.col("c_nationkey")).alias("precision"), F.col("c_custkey").alias("bytes"))
-    return best_candidates(c).select("name", long_("place"))
+    return candidates.best_first(c).select("name", long_("place"))
+
+
+@query(f"WITH {J} SELECT event_id FROM j WHERE event_id % 5 <> 0 AND y = 1")
+def actual_positives(spark, sf):
+    """Real triggers (not sampled) that are positive."""
+    d = judged(spark, sf).withColumn("sampled_negative", (F.col("event_id") % 5 == 0).cast("int"))
+    return packets.actual(d, "y").select("event_id")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_type WHEN 'view' THEN 'north' WHEN 'click' THEN 'south' ELSE 'unknown' END AS area, CAST(len(string_split(event_type, 'i')) - 1 AS BIGINT) AS count_i, upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS title FROM events")
+def json_and_maps(spark, sf):
+    """A JSON field, a lookup in a map with a default, counts of a letter, and a name in title case."""
+    areas = F.create_map(F.lit("view"), F.lit("north"), F.lit("click"), F.lit("south"))
+    t = F.col("event_type")
+    return read(spark, sf, "events").select(
+        "event_id", F.from_json("props", "k long")["k"].alias("k"), F.coalesce(F.try_element_at(areas, t), F.lit("unknown")).alias("area"),
+        (F.length(t) - F.length(F.replace(t, F.lit("i"), F.lit("")))).cast("long").alias("count_i"), F.initcap(t).alias("title"),
+    )
