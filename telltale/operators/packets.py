@@ -14,6 +14,7 @@ def sizes(n: Column, train: float = 0.6, cal: float = 0.2) -> tuple[Column, Colu
     a = F.when(n <= 2, F.least(n, F.lit(1))).otherwise(F.greatest(F.lit(1), F.bround(n * F.lit(train))))
     b = F.greatest(F.lit(1), F.bround(n * F.lit(cal)))
     b = F.when(n <= 2, n - a).otherwise(F.when(a + b >= n, F.greatest(F.lit(1), n - a - 1)).otherwise(b))
+    a = F.when((n > 2) & (a + b >= n), F.greatest(F.lit(1), n - b - 1)).otherwise(a)
     return a.cast("long"), b.cast("long")
 
 
