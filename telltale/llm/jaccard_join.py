@@ -205,7 +205,8 @@ def linked_rows(docs: DataFrame, size: int, percent: int, tile: int = 1500) -> D
 
     def sets_of(classes: DataFrame) -> DataFrame:
         """cls, root, items: the sets of classes, made again from one text of each (rows that repeat make them repeatedly)."""
-        return texts.join(classes.select("doc_id", "th", "cls", "root", "digest"), ["doc_id", "th"]).select("cls", "root", "digest", "text").mapInArrow(remake, "cls long, root long, items binary")
+        # the same join at every size, so that small tables tell what large ones need
+        return texts.join(classes.select("doc_id", "th", "cls", "root", "digest").hint("merge"), ["doc_id", "th"]).select("cls", "root", "digest", "text").mapInArrow(remake, "cls long, root long, items binary")
 
     rows = sets_of(inside.where("not large")).select("cls", "root", F.lit("").alias("job"), F.lit(2).alias("side"), "items")
     large, starred = inside.where("large"), None
@@ -222,8 +223,8 @@ def linked_rows(docs: DataFrame, size: int, percent: int, tile: int = 1500) -> D
     links = rows.groupBy("root", "job").applyInArrow(link, "a long, b long")
     if starred is not None:
         links = links.unionByName(starred)
+    scratch.drop(known)  # what the links need of it is written
     linked = components(links, scratch)
-    scratch.drop(known)
     least = members.where("uid = cls").select(F.col("cls").alias("c"), "least")
     tops = linked.join(least, F.col("node") == F.col("c")).groupBy("root").agg(F.min("least").alias("low"))
     tops = tops.join(least, F.col("root") == F.col("c")).select("root", F.least("low", "least").alias("low"))
