@@ -163,38 +163,39 @@ def range_24h_mean(spark, sf):
     return sequence.time_mean(hourly(spark, sf), 86400).select("series", "ts", r("mean").alias("mean"))
 
 
-FOLD = "WITH RECURSIVE {p2}, x AS (SELECT series, ts, value / 100 AS v, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM p2), f AS (SELECT series, ts, i, {first} AS y FROM x WHERE i = 1 UNION ALL SELECT x.series, x.ts, x.i, {step} FROM f JOIN x ON x.series = f.series AND x.i = f.i + 1) SELECT series, ts, round(y, 6) AS {name} FROM f"
+#: Values are divided by a prime, so that no result lies on the edge of rounding.
+FOLD = "WITH RECURSIVE {p2}, x AS (SELECT series, ts, value / 97 AS v, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM p2), f AS (SELECT series, ts, i, {first} AS y FROM x WHERE i = 1 UNION ALL SELECT x.series, x.ts, x.i, {step} FROM f JOIN x ON x.series = f.series AND x.i = f.i + 1) SELECT series, ts, round(y, 6) AS {name} FROM f"
 
 
 @query(FOLD.format(p2=P2, first="v", step="0.15 * v + 0.85 * y", name="ewma"))
 def ewma(spark, sf):
-    return sequence.ewma(daily(spark, sf).withColumn("value", F.col("value") / 100)).select("series", "ts", r("ewma").alias("ewma"))
+    return sequence.ewma(daily(spark, sf).withColumn("value", F.col("value") / 97)).select("series", "ts", r("ewma").alias("ewma"))
 
 
 @query(FOLD.format(p2=P2, first="v", step="0.004 * v + 0.996 * y", name="ewma"))
 def ewma_slow(spark, sf):
     """A long memory: rows a thousand back still count."""
-    return sequence.ewma(daily(spark, sf).withColumn("value", F.col("value") / 100), 0.004).select("series", "ts", r("ewma").alias("ewma"))
+    return sequence.ewma(daily(spark, sf).withColumn("value", F.col("value") / 97), 0.004).select("series", "ts", r("ewma").alias("ewma"))
 
 
-@query(f"""WITH RECURSIVE {P2}, x AS (SELECT series, ts, CASE WHEN value % 3 > 0 THEN value / 100 END AS v, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM p2),
+@query(f"""WITH RECURSIVE {P2}, x AS (SELECT series, ts, CASE WHEN value % 3 > 0 THEN value / 97 END AS v, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM p2),
 f AS (SELECT series, ts, i, v AS y, 1.0::DOUBLE AS w FROM x WHERE i = 1 UNION ALL SELECT x.series, x.ts, x.i, CASE WHEN v IS NULL THEN y WHEN y IS NULL THEN v ELSE (0.85 * w * y + 0.15 * v) / (0.85 * w + 0.15) END, CASE WHEN v IS NULL AND y IS NOT NULL THEN 0.85 * w ELSE 1.0 END FROM f JOIN x ON x.series = f.series AND x.i = f.i + 1)
 SELECT series, ts, round(y, 6) AS ewma FROM f""")
 def ewma_known(spark, sf):
     """Nulls are skipped, but what was before them loses weight."""
-    d = daily(spark, sf).withColumn("value", F.when(F.col("value") % 3 > 0, F.col("value") / 100))
+    d = daily(spark, sf).withColumn("value", F.when(F.col("value") % 3 > 0, F.col("value") / 97))
     return sequence.ewma_known(d).select("series", "ts", r("ewma").alias("ewma"))
 
 
 @query(FOLD.format(p2=P2, first="0.0::DOUBLE", step="greatest(0.0, 0.85 * y + v - 1)", name="cusum"))
 def cusum(spark, sf):
-    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 100), 1.0).select("series", "ts", r("cusum").alias("cusum"))
+    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 97), 1.0).select("series", "ts", r("cusum").alias("cusum"))
 
 
 @query(FOLD.format(p2=P2, first="greatest(0.0, v - 1)", step="greatest(0.0, 0.998 * y + v - 1)", name="cusum"))
 def cusum_slow(spark, sf):
     """Hardly any decay, the first row counts."""
-    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 100), 1.0, 0.998, False).select("series", "ts", r("cusum").alias("cusum"))
+    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 97), 1.0, 0.998, False).select("series", "ts", r("cusum").alias("cusum"))
 
 
 @query(f"WITH {P2} SELECT series, ts, CAST(sum(flag) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) >= 6 AS BIGINT) AS vote FROM flagged")

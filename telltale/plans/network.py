@@ -243,10 +243,10 @@ def local_peaks_strict(spark, sf):
     return sequence.local_peaks(daily(spark, sf), slack=0.0).select("series", "ts", "is_peak")
 
 
-@query(f"WITH {NET} SELECT ts, round(avg(value), 6) AS pressure_mean, round(min(value), 6) AS pressure_min FROM net WHERE kind = 'pressure' GROUP BY ts")
+@query(f"WITH {NET} SELECT ts, round(avg(value) / 7, 6) AS pressure_mean, round(min(value) / 7, 6) AS pressure_min FROM net WHERE kind = 'pressure' GROUP BY ts")
 def pressure_summary(spark, sf):
     s = detect.pressure_summary(network(spark, sf))
-    return s.groupBy("ts").pivot("series", ["pressure_mean", "pressure_min"]).agg(F.first("value")).select("ts", r("pressure_mean").alias("pressure_mean"), r("pressure_min").alias("pressure_min"))
+    return s.groupBy("ts").pivot("series", ["pressure_mean", "pressure_min"]).agg(F.first("value")).select("ts", r(F.col("pressure_mean") / 7).alias("pressure_mean"), r(F.col("pressure_min") / 7).alias("pressure_min"))
 
 
 @query("SELECT event_id, hour(ts) >= 1 AND hour(ts) < 4 AS is_night FROM events")
