@@ -187,15 +187,15 @@ def ewma_known(spark, sf):
     return sequence.ewma_known(d).select("series", "ts", r("ewma").alias("ewma"))
 
 
-@query(FOLD.format(p2=P2, first="0.0::DOUBLE", step="greatest(0.0, 0.85 * y + v - 1)", name="cusum"))
+@query(FOLD.format(p2=P2, first="0.0::DOUBLE", step="greatest(0.0, 0.85 * y + v - 1.0002713::DOUBLE)", name="cusum"))
 def cusum(spark, sf):
-    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 97), 1.0).select("series", "ts", r("cusum").alias("cusum"))
+    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 97), 1.0002713).select("series", "ts", r("cusum").alias("cusum"))
 
 
-@query(FOLD.format(p2=P2, first="greatest(0.0, v - 1)", step="greatest(0.0, 0.998 * y + v - 1)", name="cusum"))
+@query(FOLD.format(p2=P2, first="greatest(0.0, v - 1.0002713::DOUBLE)", step="greatest(0.0, 0.998 * y + v - 1.0002713::DOUBLE)", name="cusum"))
 def cusum_slow(spark, sf):
     """Hardly any decay, the first row counts."""
-    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 97), 1.0, 0.998, False).select("series", "ts", r("cusum").alias("cusum"))
+    return sequence.cusum(daily(spark, sf).withColumn("value", F.col("value") / 97), 1.0002713, 0.998, False).select("series", "ts", r("cusum").alias("cusum"))
 
 
 @query(f"WITH {P2} SELECT series, ts, CAST(sum(flag) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) >= 6 AS BIGINT) AS vote FROM flagged")
