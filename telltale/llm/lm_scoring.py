@@ -150,7 +150,8 @@ class Model:
             both, context = np.maximum(pair[k] - inside * times, 0), np.maximum(self.counts[k][a] - inside * own_a, 0)
             loss = -times * np.log((both + self.back * p) / (np.maximum(context, both) + self.back))
             among = (np.maximum(known[k] - rare_inside * rare_times, 0) + 0.5) / (self.counts[k][-1] + 0.5 * self.cold_words)
-            out.append(np.bincount(doc, loss, n) + np.bincount(rare_doc, -rare_times * np.log(among), n))
+            both = np.bincount(doc, loss, n) + np.bincount(rare_doc, -rare_times * np.log(among), n)
+            out.append(both.astype(float))  # without any word bincount gives integers
         return np.stack(out)
 
 
