@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import decontamination, exact_dedup, jaccard_join, lm_scoring, packing, quality, secrets, sharding, substring_dedup, toxicity
+from telltale.llm import collocations, decontamination, exact_dedup, jaccard_join, lm_scoring, packing, quality, secrets, sharding, spelling, substring_dedup, toxicity, warc
 from telltale.llm.shared import read
 
 
@@ -61,13 +61,25 @@ def op10_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> Data
     return substring_dedup.repeated(read(spark, sf_dir, "documents"))
 
 
+def op11_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read(spark, sf_dir, "pages"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_label_propagation_sharding, op2_quality_classifier, op3_benchmark_decontamination, op4_best_fit_packing, op5_cross_entropy_difference, op6_exact_dedup, op7_ngram_jaccard_join, op8_toxicity, op9_secret_scan, op10_recompression_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_label_propagation_sharding, op2_quality_classifier, op3_benchmark_decontamination, op4_best_fit_packing, op5_cross_entropy_difference, op6_exact_dedup, op7_ngram_jaccard_join, op8_toxicity, op9_secret_scan, op10_recompression_substring_dedup, op11_warc_transactions, op12_phrase_collocations, op13_spelling_variants, pipeline)}
 
 SQL = {
     "op3_benchmark_decontamination": r"""
@@ -93,4 +105,26 @@ c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(
 x AS (SELECT d.doc_id, d.w, coalesce(c.gone, []) AS gone FROM d LEFT JOIN c USING (doc_id)),
 u AS (SELECT doc_id, string_agg(v, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, gone, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM x) WHERE NOT list_contains(gone, p) GROUP BY doc_id)
 SELECT x.doc_id, CAST(len(x.w) AS BIGINT) AS n_words, CAST(len(x.gone) AS BIGINT) AS n_removed, sha256(coalesce(u.kept, '')) AS kept_sha256 FROM x LEFT JOIN u USING (doc_id)""",
+    "op11_warc_transactions": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x FROM p),
+e AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS last FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 5 * (k // 4) AS BIGINT), 5) AS BIGINT) >> (5 * (3 - k % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM e""",
+    "op12_phrase_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) AS s WHERE len(w) >= k)),
+f AS (SELECT lang, k, p, count(*) AS c FROM g GROUP BY lang, k, p HAVING count(*) >= 10),
+x AS (SELECT lang, k, p, c, string_split(p, ' ') AS ws FROM f WHERE k > 1),
+u AS (SELECT lang, k, p, c, ws, unnest(range(1, k)) AS cut FROM x),
+s AS (SELECT u.lang, u.k, u.p, u.c AS a, u.cut, l.c AS l, r.c AS r, CAST((CAST(u.c AS HUGEINT) * u.c * 1000000) // (CAST(l.c AS HUGEINT) * r.c) AS BIGINT) AS score
+  FROM u JOIN f AS l ON l.lang = u.lang AND l.p = array_to_string(u.ws[1:u.cut], ' ') JOIN f AS r ON r.lang = u.lang AND r.p = array_to_string(u.ws[u.cut + 1:], ' ')),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS o FROM s) WHERE o = 1),
+i AS (SELECT lang, p, max(c) AS c FROM (SELECT lang, array_to_string(ws[j:j + 1], ' ') AS p, c FROM (SELECT lang, ws, c, unnest([1, 2]) AS j FROM x WHERE k = 3)) GROUP BY lang, p),
+o AS (SELECT m.* FROM m LEFT JOIN i ON i.lang = m.lang AND i.p = m.p WHERE i.c IS NULL OR 100 * i.c < 50 * m.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, o.p) AS rank, o.p AS phrase, a, l, r, n, score FROM o JOIN tot ON tot.lang = o.lang) WHERE rank <= 2000""",
 }

@@ -62,6 +62,23 @@ def uid(df: DataFrame, name: str = "uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def join_hot(big: DataFrame, small: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Left join of big with small, a written table with a row for each (text) key, its n the rows of big that it has at most.
+
+    Keys of a thousandth of all `total` rows or more are at most 1000 and broadcast. The rows that have them don't meet
+    in one task when the others are shuffled by their keys.
+    """
+    values = [c for c in small.columns if c != key]
+    is_hot = F.col(n) * 1000 >= total
+    hot = small.where(is_hot).select(key, F.struct(*values).alias("__hot"))
+    cold = small.where(~is_hot).select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
+    out = big.join(F.broadcast(hot), key, "left")
+    own = F.when(F.col("__hot").isNull(), F.col(key))
+    own = F.coalesce(own, F.concat(F.lit("no key "), F.monotonically_increasing_id().cast("string")))
+    out = out.withColumn("__own", own).join(cold, F.col("__own") == F.col("__key"), "left")
+    return out.select(*big.columns, *[F.coalesce(f"__hot.{c}", f"__cold.{c}").alias(c) for c in values])
+
+
 class WordIds(dict):
     """Word (bytes) to what `of` makes of it, a 64-bit id by default. Its memory is bounded: when full, it keeps what it had as an older store, from which words that come again are taken over, and forgets the older store before."""
 
