@@ -2,6 +2,7 @@
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, islice
 from operator import itemgetter
 
 import ahocorasick
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 from telltale.llm.lm_scoring import packed, runs, unpacked
 from telltale.llm.shared import Scratch, WordIds, mix, small_batches, windows
 
-#: Tokens of one chunk, which has an automaton of its own.
-CHUNK_TOKENS = 500_000
-#: Cells of the sketch, as a power of 2: least and most (2^30 cells are 128 MB when broadcast), and of one range of cells.
-LEAST_BITS, MOST_BITS, RANGE_BITS = 20, 30, 18
+#: Tokens of one chunk, which has an automaton of its own; and phrases whose cells are counted at once for the sketch.
+CHUNK_TOKENS, CHUNK_CELLS = 500_000, 12_000_000
+#: Cells of the sketch, as a power of 2: least and most (2^30 cells are 128 MB when broadcast). They are added up in 2^RANGES ranges.
+LEAST_BITS, MOST_BITS, RANGES = 20, 30, 7
 #: Counts in the sketch stop here.
 FULL = 255
 #: Stands between pieces. It is a delimiter itself, so it is never a word.
@@ -31,7 +32,10 @@ def word_id(word: bytes) -> int:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_TOKENS) -> Iterator[tuple[str, list[bytes]]]:
-    """(lang, tokens of some of its documents); between pieces and documents there is a BREAK."""
+    """(lang, tokens of some of its documents); between pieces and documents there is a BREAK.
+
+    When twice `size` tokens are held, those of the language that has most go, or all if no language has many.
+    """
     held: dict[str, list[bytes]] = {}
     n = 0
     for batch in batches:
@@ -39,10 +43,13 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_TOKENS) -> Itera
             tokens = text.translate(PIECES).replace(BREAK, b" . ").split()
             if tokens:
                 held.setdefault(lang, []).extend([*tokens, BREAK])
-                n += len(tokens)
-            if n >= size:
-                yield from held.items()
-                held, n = {}, 0
+                n += len(tokens) + 1
+            if n >= 2 * size:
+                first = max(held, key=lambda x: len(held[x]))
+                go = [first] if len(held[first]) >= size // 4 else list(held)
+                for x in go:
+                    n -= len(held[x])
+                    yield x, held.pop(x)
     yield from held.items()
 
 
@@ -60,17 +67,27 @@ def phrase_cells(lang: str, ids: np.ndarray, longest: int, bits: int) -> Iterato
 
 def sketch(texts: DataFrame, longest: int, least: int, bits: int) -> np.ndarray:
     """A bit for each cell: whether all phrases in it together occur `least` times or more."""
-    width = min(bits, RANGE_BITS)
+    width = bits - RANGES
+
+    def told(parts: list[np.ndarray]) -> pa.RecordBatch:
+        cells, n = runs(np.concatenate(parts))
+        at, size = runs(cells >> np.uint32(width))
+        ends = np.cumsum(size)
+        offset, n = cells & np.uint32((1 << width) - 1), np.minimum(n, FULL)
+        blobs = [packed((3, 1), np.diff(offset[a:b], prepend=np.uint32(0)), n[a:b]) for a, b in zip(ends - size, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "n", "cells"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(of=word_id)
+        ids, parts, held = WordIds(400_000, word_id), [], 0
         for lang, tokens in chunks(batches):
-            cells, n = runs(np.concatenate([cell[whole] for cell, whole in phrase_cells(lang, ids.array(tokens), longest, bits)]))
-            at, size = runs(cells >> np.uint64(width))
-            ends = np.cumsum(size)
-            offset, n = cells & np.uint64((1 << width) - 1), np.minimum(n, FULL)
-            blobs = [packed((3, 1), np.diff(offset[a:b], prepend=np.uint64(0)), n[a:b]) for a, b in zip(ends - size, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "n", "cells"])
+            for cell, whole in phrase_cells(lang, ids.array(tokens), longest, bits):
+                parts.append(cell[whole].astype(np.uint32))
+                held += len(parts[-1])
+            if held >= CHUNK_CELLS:
+                yield told(parts)
+                parts, held = [], 0
+        if held:
+            yield told(parts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
@@ -110,13 +127,14 @@ class Scan:
             keep = whole & ((marks[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
             if shorter is not None:
                 keep &= shorter[: len(keep)] & shorter[1 : len(keep) + 1]
-            for i in np.flatnonzero(keep).tolist():
-                found[b" ".join(tokens[i : i + size])] = size
+            chosen = keep.tolist()
+            words = zip(*[compress(islice(tokens, k, None), chosen) for k in range(size)], strict=False)
+            found |= dict.fromkeys(map(b" ".join, words), size)
             shorter = keep
         return found
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(of=word_id)
+        known = WordIds(400_000, word_id)
         for lang, tokens in chunks(batches):
             ids = known.array(tokens)
             found = self.candidates(lang, tokens, ids)

