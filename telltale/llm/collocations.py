@@ -1,6 +1,7 @@
 """Phrase collocation mining: a sketch bounds how often phrases occur, delimiter-guarded automata count those that may occur often enough."""
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import compress, islice
 from operator import itemgetter
@@ -9,6 +10,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,12 +115,15 @@ def sketch(texts: DataFrame, longest: int, least: int, bits: int) -> np.ndarray:
 
 
 class Scan:
-    """Counts, chunk by chunk, all occurrences of the phrases that the sketch leaves, by one automaton for the chunk."""
+    """Counts, chunk by chunk, all occurrences of the phrases that the sketch leaves, by one automaton for the chunk.
 
-    schema = "lang string, words int, phrase string, n long"
+    What it counted is told by buckets of phrases (their hashes): phrases in order, one a line, and their counts.
+    """
+
+    schema = "bucket int, lang string, phrases binary, n int, counts binary"
 
-    def __init__(self, marks, bits: int, longest: int):
-        self.marks, self.bits, self.longest = marks, bits, longest
+    def __init__(self, marks, bits: int, longest: int, buckets: int):
+        self.marks, self.bits, self.longest, self.buckets = marks, bits, longest, buckets
 
     def candidates(self, lang: str, tokens: list[bytes], ids: np.ndarray) -> dict[bytes, int]:
         """Phrases of the chunk whose cell, and whose parts' cells, are marked; with their numbers of words."""
@@ -137,9 +142,7 @@ class Scan:
         known = WordIds(400_000, word_id)
         for lang, tokens in chunks(batches):
             ids = known.array(tokens)
-            found = self.candidates(lang, tokens, ids)
-            phrases, sizes = list(found), list(found.values())
-            del found
+            phrases = sorted(self.candidates(lang, tokens, ids))
             counts: Counter = Counter()
             if phrases:
                 automaton = ahocorasick.Automaton()
@@ -149,12 +152,44 @@ class Scan:
                 # bytes stand as characters of the same number: the automaton reads text, not bytes
                 counts.update(map(itemgetter(1), automaton.iter(f" {b' '.join(tokens).decode('latin-1')} ")))
                 del automaton
-            n = [counts[k] for k in range(len(phrases))]
-            rows = ([0, *sizes], [b"", *phrases], [int((ids != 0).sum()), *n])
-            step = 1 << 14
-            for at in range(0, len(rows[0]), step):
-                part = [r[at : at + step] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0])), pa.array(part[0], pa.int32()), pa.array(part[1], pa.binary()).cast(pa.string()), pa.array(part[2], pa.int64())], ["lang", "words", "phrase", "n"])
+            told = [([], []) for _ in range(self.buckets)]
+            told[0][0].append(b"")
+            told[0][1].append(int((ids != 0).sum()))
+            for k, phrase in enumerate(phrases):
+                to = told[zlib.crc32(phrase) % self.buckets]
+                to[0].append(phrase)
+                to[1].append(counts[k])
+            rows = [(k, lang, zstandard.compress(b"\n".join(names), 3), len(n), packed((5,), np.array(n))) for k, (names, n) in enumerate(told) if n]
+            del phrases, told
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["bucket", "lang", "phrases", "n", "counts"])
+
+
+class Add:
+    """Adds up what Scan told of each bucket and language, whose rows follow each other; phrases with few occurrences go."""
+
+    schema = "lang string, words int, phrase string, n long"
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def rows(self, lang: str, total: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        kept = [(p, n) for p, n in total.items() if n >= self.least or not p]
+        for at in range(0, len(kept), 1 << 14):
+            part = kept[at : at + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([p.count(b" ") + 1 if p else 0 for p, _ in part], pa.int32()), pa.array([p for p, _ in part], pa.binary()).cast(pa.string()), pa.array([n for _, n in part], pa.int64())], ["lang", "words", "phrase", "n"])
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, defaultdict(int)
+        for batch in batches:
+            for bucket, lang, phrases, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, lang) != at:
+                    if at:
+                        yield from self.rows(at[1], total)
+                    at, total = (bucket, lang), defaultdict(int)
+                for phrase, k in zip(zstandard.decompress(phrases).split(b"\n"), unpacked((5,), counts, n)[0].tolist(), strict=True):
+                    total[phrase] += k
+        if at:
+            yield from self.rows(at[1], total)
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, bits: int | None = None) -> DataFrame:
@@ -167,12 +202,12 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, bits: int
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if bits is None:
-        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, int(size // 4).bit_length()))
     marks = spark.sparkContext.broadcast(sketch(texts, longest, least, bits))
-    counted = texts.mapInArrow(Scan(marks, bits, longest), Scan.schema)
-    return scratch.cut(counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0)))
+    told = texts.mapInArrow(Scan(marks, bits, longest, buckets := max(32, size >> 26)), Scan.schema)
+    return scratch.cut(told.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(Add(least), Add.schema))
 
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int = 50, top: int = 2000, bits: int | None = None) -> DataFrame:
