@@ -1,88 +1,89 @@
-"""Sequential operators: hysteresis states, trigger schedulers and greedy peaks, run where the state must be known again."""
+"""Sequential operators: hysteresis states and trigger schedulers as parallel scans of blocks, and greedy peaks."""
 
+import math
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telltale.operators.sequence import ordered
+from telltale.operators import scan
+from telltale.operators.ranks import ranked
+from telltale.scratch import Scratch
+from telltale.shipping import ship
 
-#: So many segments or events are worked on in one call, one after the other.
-TOGETHER = 64
+#: Rows of a block of the hysteresis, and how many rechecks a block of the scheduler spans.
+BLOCK_ROWS, BLOCK_RECHECKS = 4096, 16
 
 
-def fields(df: DataFrame, *more: str) -> str:
-    return ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + list(more))
+def kept_rows(df: DataFrame, keys: list[str], **more: Column) -> tuple[DataFrame, list[str]]:
+    """keys under names of their own, ts, what else is asked for, and the whole row as a struct."""
+    own = [f"__key{k}" for k in range(len(keys))]
+    return df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "ts", *[c.alias(n) for n, c in more.items()], F.struct(*df.columns).alias("__row")), own
 
 
-def hysteresis(df: DataFrame, quiet: int, keys: str = "series") -> DataFrame:
+def hysteresis(df: DataFrame, quiet: int, keys: str = "series", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds `state` to rows with start and hold flags: on at a start, off on the `quiet`-th row in a row without hold.
 
-    The row that turns off is off already, so an event has quiet - 1 rows of silence at its end. After `quiet` rows with
-    neither flag the state is off whatever it was, so a series is cut there: segments without a start are off
-    throughout, the others are run through one by one, wherever they lie.
+    The row that turns off is off already, so an event has quiet - 1 rows of silence at its end; a start while it is on
+    says nothing. A series is cut into blocks of block_rows rows. Each becomes a map from the state before it to the
+    state behind it, maps are composed (scan.entering), then all blocks are run through side by side: no task holds more
+    than a block, however long an event is.
     """
-    w = ordered((keys,))
-    calm = ~(F.coalesce(F.col("start"), F.lit(False)) | F.coalesce(F.col("hold"), F.lit(False)))
-    told = df.withColumn("__i", F.row_number().over(w)).withColumn("__busy", F.when(~calm, F.col("__i")))
-    since = F.col("__i") - F.coalesce(F.last("__busy", ignorenulls=True).over(w), F.lit(0))
-    told = told.withColumn("__segment", F.sum((since == quiet).cast("int")).over(w))
-    told = told.withColumn("__live", F.max(F.coalesce(F.col("start"), F.lit(False))).over(Window.partitionBy(keys, "__segment")))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("__i")
-        states, on, silent, segment = [], False, 0, None
-        for now, start, hold in zip(g["__segment"], g["start"], g["hold"], strict=True):
-            if now != segment:
-                on, silent, segment = False, 0, now
-            if not on:
-                on, silent = start is True or start == 1, 0
-            elif hold is True or hold == 1:
-                silent = 0
-            else:
-                silent += 1
-                on = silent < quiet
-            states.append(int(on))
-        return g.assign(state=states).drop(columns=["__i", "__segment"])
-
-    plain = told.drop("__busy", "__live")
-    live = plain.join(told.where("__live").select(keys, "__segment").distinct(), [keys, "__segment"])
-    live = live.select(*plain.columns).groupBy(keys, F.floor(F.col("__segment") / TOGETHER)).applyInPandas(run, fields(df, "state int"))
-    return live.unionByName(told.where("not __live").select(*df.columns, F.lit(0).alias("state")))
-
-
-def jaccard(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
-def schedule(df: DataFrame, recheck: float, min_shift: float, threshold: float, keys: list[str], top: int = 5, by_rows: bool = False) -> DataFrame:
+    scratch = Scratch(df.sparkSession)
+    ship(df.sparkSession)
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)).cast("int")
+    rows, key = kept_rows(df, [keys], code=flag("start") + 2 * flag("hold"))
+    rows = ranked(rows, key, ["ts"]).withColumn("block", F.floor((F.col("rank") - 1) / block_rows)).withColumn("place", (F.col("rank") - 1 - F.col("block") * block_rows).cast("int")).drop("rank", "group_rows")
+    rows = scratch.cut(rows)
+    blocks = scratch.cut(rows.groupBy(*key, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda x: x["code"]).alias("codes")))
+    machine = scan.Hysteresis(quiet)
+    maps = scratch.cut(scan.each(blocks, key, lambda r: (machine.behind(np.asarray(r.codes)).tolist(),), "behind array<int>"))
+    entered = blocks.join(scan.entering(maps, key, scratch), [*key, "block"])
+    states = scan.each(entered, key, lambda r: (machine.states(np.asarray(r.codes), r.enter),), "states array<int>")
+    return rows.join(states, [*key, "block"]).select("__row.*", F.col("states")[F.col("place")].alias("state"))
+
+
+def schedule(df: DataFrame, recheck: float, min_shift: float, threshold: float, keys: list[str], top: int = 5, by_rows: bool = False, block_rechecks: int = BLOCK_RECHECKS) -> DataFrame:
     """Triggers of each event (rows: keys, ts, names; the last key numbers events): its first row, then a recheck, or a shift of names.
 
     A recheck comes `recheck` seconds after the last trigger, a shift where the Jaccard similarity of the current names
     and those of the last trigger is under `threshold`, at least min_shift seconds later (by_rows: both in rows of the
-    event). Any trigger restarts both clocks; two empty sets are alike. Many events are run through in one call.
+    event). Any trigger restarts both clocks; two empty sets are alike. An event is cut into blocks of block_rechecks
+    rechecks. What triggers in a block depends on the last trigger in the block before, so a block is a map from that to
+    its own last trigger: maps are composed, then all blocks are run through side by side.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([*keys, "ts"], kind="stable")
-        out, event, since, last, row = [], None, None, set(), 0
-        for now, ts, names in zip(zip(*(g[k] for k in keys), strict=True), g["ts"], g["names"], strict=True):
-            if now != event:
-                event, since, row = now, None, 0
-            row += 1
-            seen = {n for n in list(names)[:top] if n} if names is not None else set()
-            clock = row if by_rows else ts.timestamp()
-            if since is None:
-                reason = "event_start"
-            elif clock - since >= recheck:
-                reason = "periodic_recheck"
-            else:
-                reason = "sensor_shift" if clock - since >= min_shift and jaccard(seen, last) < threshold else None
-            if reason:
-                since, last = clock, seen
-            out.append(reason)
-        return g.assign(reason=out).dropna(subset=["reason"])
-
-    return df.groupBy(*keys[:-1], F.floor(F.col(keys[-1]) / TOGETHER)).applyInPandas(run, fields(df, "reason string"))
+    scratch = Scratch(df.sparkSession)
+    ship(df.sparkSession)
+    said = F.filter(F.slice(F.coalesce(F.col("names").cast("array<string>"), F.array().cast("array<string>")), 1, top), lambda n: n.isNotNull() & (n != ""))
+    rows, key = kept_rows(df, keys, said=said)
+    unit = 1 if by_rows else 1_000_000
+    if by_rows:
+        rows = ranked(rows, key, ["ts"]).withColumnRenamed("rank", "clock").drop("group_rows")
+    else:
+        rows = rows.withColumn("clock", F.unix_micros(F.col("ts").cast("timestamp")))
+    recheck, min_shift = math.ceil(recheck * unit), math.ceil(min_shift * unit)
+    rows = rows.withColumn("block", F.floor(F.col("clock") / max(1, recheck * block_rechecks)))
+    rows = scratch.cut(rows.withColumn("place", F.row_number().over(Window.partitionBy(*key, "block").orderBy("ts")) - 1))
+    blocks = scratch.cut(rows.groupBy(*key, "block").agg(F.array_sort(F.collect_list(F.struct("place", "clock", "said"))).alias("rows")))
+    opening = blocks.groupBy(*key).agg(F.min("block").alias("opening"))
+    before = blocks.select(*key, (F.col("block") + 1).alias("block"), F.col("rows").alias("before"))
+    blocks = scratch.cut(blocks.join(before, [*key, "block"], "left").join(opening, key).withColumn("before", F.coalesce("before", F.array().cast(blocks.schema["rows"].dataType))))
+    plan = scan.Schedule(recheck, min_shift, threshold)
+
+    def block(r) -> scan.Schedule:
+        return plan.of(*[[(x["clock"], x["said"]) for x in part] for part in (r.before, r.rows)])
+
+    maps = scratch.cut(scan.each(blocks, key, lambda r: (block(r).behind(),), "behind array<int>"))
+    entered = blocks.join(scan.entering(maps, key, scratch), [*key, "block"])
+
+    def told(r) -> tuple:
+        found = block(r).triggers(r.enter, r.block == r.opening)
+        return [k for k, _ in found], [why for _, why in found]
+
+    found = scan.each(entered, key, told, "places array<int>, reasons array<string>")
+    found = found.select(*key, "block", F.explode(F.arrays_zip("places", "reasons")).alias("t")).select(*key, "block", F.col("t.places").alias("place"), F.col("t.reasons").alias("reason"))
+    return rows.join(found, [*key, "block", "place"]).select("__row.*", "reason")
 
 
 def suppress_peaks(df: DataFrame, min_gap_s: int, limit: int, keys: str = "series") -> DataFrame:

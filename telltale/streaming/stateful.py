@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from telltale.operators.state import jaccard
+from telltale.operators.scan import jaccard
 
 STATE = "ewma double, cusum double, active int, quiet int, event_id long, seen long, since long, row long, names array<string>"
 OUT = "network string, ts timestamp, ewma double, cusum double, state int, event_id long, reason string"
