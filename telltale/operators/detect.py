@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telltale.operators import relate, scores, seasonal, sequence, state
+from telltale.operators import audit, relate, scores, seasonal, sequence, state
 from telltale.scratch import Scratch
 
 
@@ -56,6 +56,8 @@ class Settings:
     step_s: int = 300
     monitored: int | None = None
     least_rows: int = 1000
+    exclude_flows: tuple[str, ...] = ()
+    leave_switches: bool = True
 
 
 @dataclass
@@ -68,6 +70,19 @@ class Fitted:
     scales: DataFrame
     thresholds: dict[str, float] = field(default_factory=dict)
     allowance: float = 0.5
+    flows: list[str] = field(default_factory=list)
+
+
+def scored_flows(panel: DataFrame, s: Settings, simple: bool = False) -> list[str]:
+    """Flows whose scores count: not those that settings name, and (leave_switches) not those that switch between two levels, by their quantiles or, in the simple form, by their ends."""
+    flows = panel.where("kind = 'flow'").select("series", "value")
+    names = sorted(r["series"] for r in flows.select("series").distinct().collect())
+    if not s.leave_switches:
+        return [n for n in names if n not in s.exclude_flows]
+    if simple:
+        return audit.active_flows(names, list(s.exclude_flows), audit.binary_ends(flows.withColumn("value", F.round("value", 2)).where("value is not null")))
+    switching = {r["series"] for r in audit.binary_like(flows).where("switching").collect()}
+    return [n for n in names if n not in switching and n not in s.exclude_flows]
 
 
 def resolve_slots(mode: str, week_rows: int) -> str:
@@ -141,7 +156,7 @@ def negative(c: str, scale: str) -> Column:
     return F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), -F.col(c) / F.greatest(F.col(scale), F.lit(1e-3))))
 
 
-def full_sensor_scores(ds: DataFrame, models: DataFrame, scales: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+def full_sensor_scores(ds: DataFrame, models: DataFrame, scales: DataFrame, s: Settings, active: list[str]) -> tuple[DataFrame, DataFrame]:
     """Scores of each pressure (pressure, pairwise, weekly, ewma, slope) and of each flow: what is lower than foreseen, or for flows higher."""
     r = relate.model_residuals(ds.select("series", "ts", "value").unionByName(pressure_summary(ds).select("series", "ts", "value")), models)
     r = r.withColumn("kind", F.substring_index("model", "|", 1))
@@ -151,7 +166,7 @@ def full_sensor_scores(ds: DataFrame, models: DataFrame, scales: DataFrame, s: S
     told = drift.select("series", "ts", negative("resid", "sigma").alias("pressure"), negative("week", "week_scale").alias("weekly"), negative("fall", "fall_scale").alias("slope"))
     told = sequence.ewma_known(told, s.alpha, "weekly", out="ewma")
     pair = r.where("kind = 'pair'").select(F.col("target").alias("series"), "ts", negative("resid", "sigma").alias("x")).groupBy("series", "ts").agg(F.percentile("x", F.lit(0.5)).alias("pairwise"))
-    flows = r.where("kind = 'flow'").select(F.col("target").alias("series"), "ts", F.greatest(F.lit(0.0), F.col("resid") / F.greatest("sigma", F.lit(1e-3))).alias("flow"))
+    flows = r.where((F.col("kind") == "flow") & F.col("target").isin(active)).select(F.col("target").alias("series"), "ts", F.greatest(F.lit(0.0), F.col("resid") / F.greatest("sigma", F.lit(1e-3))).alias("flow"))
     return told.join(pair, ["series", "ts"], "left").na.fill(0.0, ["pressure", "pairwise", "weekly", "ewma", "slope"]), flows.na.fill(0.0, ["flow"])
 
 
@@ -189,13 +204,14 @@ def fit_full(panel: DataFrame, s: Settings, leaks: DataFrame | None = None) -> F
     drift = sequence.lag_difference(sequence.lag_difference(own, s.week_rows, "resid", out="week"), max(1, s.slope_rows - 1), "resid", out="fall")
     week, fall = (seasonal.robust_scale(drift, ["series"], c).select("series", F.col("scale").alias(f"{c}_scale")) for c in ("week", "fall"))
     scales = scratch.cut(week.join(fall, "series"))
-    n = counts(panel)
-    sensors, flows = map(scratch.cut, full_sensor_scores(deseasoned(smooth, profile, s), models, scales, s))
+    active = scored_flows(healthy, s)
+    n = counts(panel)[0], len(active)
+    sensors, flows = map(scratch.cut, full_sensor_scores(deseasoned(smooth, profile, s), models, scales, s, active))
     middle, spread = robust(full_totals(sensors, flows, s, *n, s.allowance), "score_burst")
     allowance = middle + 0.5 * spread
     whole = full_totals(sensors, flows, s, *n, allowance)
     asked = {"burst": ("score_trigger", s.burst_q), "incipient": ("score_incipient", s.incipient_q), "hold": ("score_final", s.hold_q), "flow_hold": ("flow_topk", s.flow_hold_q)}
-    out = Fitted(s, profile, models, scales, quantiles(whole, asked), allowance)
+    out = Fitted(s, profile, models, scales, quantiles(whole, asked), allowance, active)
     scratch.drop(sensors, flows, own, both, calm, smooth)
     return out
 
@@ -218,9 +234,9 @@ def detect_full(panel: DataFrame, fitted: Fitted, areas: dict[str, str] | None =
     s, th = fitted.settings, fitted.thresholds
     scratch = Scratch(panel.sparkSession)
     ds = scratch.cut(deseasoned(smoothed(panel, s.smooth), fitted.profile, s))
-    sensors, flows = map(scratch.cut, full_sensor_scores(ds, fitted.models, fitted.scales, s))
+    sensors, flows = map(scratch.cut, full_sensor_scores(ds, fitted.models, fitted.scales, s, fitted.flows))
     evidence = sensors.select("series", "ts", (F.col("pressure") + F.col("pairwise") + 0.5 * F.col("ewma") + 0.25 * F.col("slope")).alias("evidence"))
-    n = counts(panel)
+    n = counts(panel)[0], len(fitted.flows)
     t = full_totals(sensors, flows, s, *n, fitted.allowance).join(scores.votes(evidence, F.col("evidence") >= s.vote), "ts", "left").na.fill(0, ["votes"])
     t = confirmed(t, s, th, "score_trigger")
     flow_hit = (F.col("flow_topk") >= th["flow_hold"]) if n[1] else F.lit(False)
@@ -274,7 +290,7 @@ def fit_tiny(panel: DataFrame, s: Settings, leaks: DataFrame | None = None) -> F
     gaps = pair_gaps(pressures, lines).select(F.concat_ws("|", "target", "anchor").alias("series"), F.col("gap").alias("value"))
     spread = seasonal.robust_scale(gaps, ["series"], floor=1e-3).select(F.col("series").alias("model"), F.col("scale").alias("sigma"))
     models = scratch.cut(lines.withColumn("model", F.concat_ws("|", "target", "anchor")).join(spread, "model"))
-    out = Fitted(s, profile, models, scales, {}, s.allowance)
+    out = Fitted(s, profile, models, scales, {}, s.allowance, scored_flows(train, s, simple=True))
     sensors, flows = map(scratch.cut, tiny_sensor_scores(train, out))
     asked = {"burst": ("burst_cusum", s.burst_q), "incipient": ("score_incipient", s.incipient_q), "hold": ("score_final", s.hold_q), "flow_hold": ("flow_topk", s.flow_hold_q)}
     floors, spare = {"burst": 0.10, "incipient": 0.10, "hold": 0.05, "flow_hold": 0.05}, {"burst": 1.0, "incipient": 1.0, "hold": 0.5, "flow_hold": 0.25}
@@ -310,7 +326,7 @@ def tiny_sensor_scores(panel: DataFrame, fitted: Fitted) -> tuple[DataFrame, Dat
     p = sequence.ewma(p.withColumn("slope", F.coalesce(F.abs("change"), F.lit(0.0)) / scale), s.alpha, "pressure", out="ewma")
     gaps = pair_gaps(p.select("series", "ts", "value"), fitted.models).groupBy(F.col("target").alias("series"), "ts").agg(F.avg(F.abs("gap") / F.greatest("sigma", F.lit(1e-6))).alias("pairwise"))
     p = p.select("series", "ts", "pressure", "slope", "ewma").join(gaps, ["series", "ts"], "left").na.fill(0.0, ["pairwise"])
-    flows = told.where("kind = 'flow'").select("series", "ts", (F.greatest("resid", F.lit(0.0)) / scale).alias("flow"))
+    flows = told.where((F.col("kind") == "flow") & F.col("series").isin(fitted.flows)).select("series", "ts", (F.greatest("resid", F.lit(0.0)) / scale).alias("flow"))
     return p.na.fill(0.0, ["pressure", "ewma"]), flows.na.fill(0.0, ["flow"])
 
 

@@ -1,10 +1,9 @@
 """Relations between series: correlations, centrality, pairwise and robust regressions, and interval joins."""
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telltale.operators import seasonal
+from telltale.operators import robust, seasonal
 from telltale.scratch import Scratch
 
 
@@ -42,94 +41,21 @@ def ridge_lines(panel: DataFrame, penalty: float = 1e-3, least: int = 8) -> Data
     return m.where(F.col("n") >= least).select("target", "anchor", "n", slope.alias("slope"), (F.col("mx") - slope * F.col("my")).alias("intercept"))
 
 
-def complete_rows(panel: DataFrame, features: DataFrame) -> DataFrame:
-    """model, ts, y, x (values in order of the features' names) where the target and all features of a model (model, target, feature) are known."""
-    y = panel.where("value is not null").select("ts", F.col("series").alias("target"), F.col("value").alias("y"))
-    x = panel.where("value is not null").select("ts", F.col("series").alias("feature"), F.col("value").alias("v"))
-    need = features.groupBy("model").agg(F.count("*").alias("need"))
-    rows = features.join(y, "target").join(x, ["ts", "feature"]).groupBy("model", "ts").agg(F.first("y").alias("y"), F.array_sort(F.collect_list(F.struct("feature", "v"))).alias("x"))
-    return rows.join(need, "model").where(F.size("x") == F.col("need")).select("model", "ts", "y", "x")
-
-
-class Moments:
-    """Weighted sums for all models at once: one grouped aggregation a step; only they and the coefficients are on the driver."""
-
-    def __init__(self, rows: DataFrame, width: int):
-        self.rows, self.width = rows, width
-
-    def step(self, state: dict[str, dict], weighted: bool, delta: float) -> dict[str, dict]:
-        """Sums of w z z', w z y, and the middle and spread of the residuals of the coefficients in `state`."""
-        p = self.width
-        told = self.rows.sparkSession.createDataFrame([(k, [float(x) for x in v["beta"]], float(v["sigma"]), float(v["middle"])) for k, v in state.items()], "model string, beta array<double>, sigma double, middle double")
-        r = F.col("y") - sum((F.col("z")[i] * F.col("beta")[i] for i in range(p)), F.lit(0.0))
-        t = self.rows.join(F.broadcast(told), "model").withColumn("r", r)
-        t = t.withColumn("w", F.least(F.lit(1.0), F.lit(delta) * F.greatest("sigma", F.lit(1e-3)) / (F.abs("r") + 1e-9)) if weighted else F.lit(1.0))
-        z = [F.col("z")[i] for i in range(p)]
-        products = [F.sum(F.col("w") * z[i] * z[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)]
-        sides = [F.sum(F.col("w") * z[i] * F.col("y")).alias(f"t{i}") for i in range(p)]
-        out = {}
-        for row in t.groupBy("model").agg(*products, *sides, F.percentile("r", F.lit(0.5)).alias("middle"), F.percentile(F.abs(F.col("r") - F.col("middle")), F.lit(0.5)).alias("mad"), F.stddev_pop("r").alias("std")).collect():
-            square = np.array([[row[f"s{max(i, j)}_{min(i, j)}"] for j in range(p)] for i in range(p)])
-            out[row["model"]] = {"square": square, "side": np.array([row[f"t{i}"] for i in range(p)]), "middle": row["middle"], "sigma": row["mad"] * 1.4826 if row["mad"] * 1.4826 > 1e-9 else max(row["std"], 1.0)}
-        return out
-
-    def fit(self, models: list[str], delta: float, ridge: float, steps: int, tolerance: float = 1e-6) -> dict[str, dict]:
-        """Huber regressions by weighted least squares: from the plain solution, with weights by the spread of the step before, until nothing moves."""
-        p = self.width
-        state = {k: {"beta": np.zeros(p), "sigma": 1.0, "middle": 0.0} for k in models}
-        plain = self.step(state, False, delta)
-        for k, m in plain.items():
-            state[k]["beta"] = np.linalg.pinv(m["square"]) @ m["side"]
-        for _ in range(2):  # the middle of the residuals, then their spread around it
-            for k, m in self.step(state, False, delta).items():
-                state[k].update(middle=m["middle"], sigma=m["sigma"])
-        penalty = np.diag([0.0] + [ridge] * (p - 1))
-        for _ in range(steps):
-            moved = 0.0
-            for k, m in self.step(state, True, delta).items():
-                beta = np.linalg.solve(m["square"] + penalty, m["side"])
-                moved = max(moved, np.linalg.norm(beta - state[k]["beta"]) / (1 + np.linalg.norm(beta)))
-                state[k] = {"beta": beta, "middle": m["middle"], "sigma": m["sigma"]}
-            if moved <= tolerance:
-                break
-        for _ in range(2):
-            for k, m in self.step(state, False, delta).items():
-                state[k].update(middle=m["middle"], sigma=m["sigma"])
-        return state
-
-
-def robust_models(panel: DataFrame, features: DataFrame, delta: float = 1.5, ridge: float = 1e-3, steps: int = 30, trim: float = 0.97) -> DataFrame:
+def robust_models(panel: DataFrame, features: DataFrame, delta: float = 1.5, ridge: float = 1e-3, steps: int = 30, trim: float = 0.97, broadcast_bytes: int = robust.BROADCAST_BYTES) -> DataFrame:
     """model, target, features, center, scale, beta (intercept first), sigma: trimmed Huber regressions of each model's target on its features.
 
     features: (model, target, feature). Rows with a null are left out; features are centred by their median and scaled
     robustly. The fit is repeated on the rows whose residual is within the trim quantile. Models without complete rows
-    predict the target's median, with its robust scale. As many jobs as steps, whatever the number of models or rows.
+    predict the target's median, with its robust scale. A table of broadcast_bytes at most (a matrix of times and
+    series) is broadcast and its models are dealt over tasks; a larger one is passed over step by step.
     """
-    spark, scratch = panel.sparkSession, Scratch(panel.sparkSession)
+    scratch = Scratch(panel.sparkSession)
     features = scratch.cut(features)
-    rows = scratch.cut(complete_rows(panel, features))
-    each = rows.select("model", F.inline("x"))
-    stats = seasonal.robust_scale(each, ["model", "feature"], "v").groupBy("model").agg(F.array_sort(F.collect_list(F.struct("feature", "location", "scale"))).alias("s"))
-    told = {r["model"]: r["s"] for r in stats.collect()}  # one row for each model
-    width = 1 + max((len(s) for s in told.values()), default=0)
-    z = F.concat(F.array(F.lit(1.0)), F.zip_with("x", "s", lambda a, b: (a["v"] - b["location"]) / b["scale"]), F.array_repeat(F.lit(0.0), F.lit(width)))
-    scaled = scratch.cut(rows.join(stats, "model").select("model", "ts", "y", F.slice(z, 1, width).alias("z")))
-    first = Moments(scaled, width).fit(list(told), delta, ridge, steps) if told else {}
-    if told:
-        coef = spark.createDataFrame([(k, [float(x) for x in v["beta"]], float(max(v["sigma"], 1e-3))) for k, v in first.items()], "model string, beta array<double>, sigma double")
-        size = F.abs(F.col("y") - sum((F.col("z")[i] * F.col("beta")[i] for i in range(width)), F.lit(0.0))) / F.col("sigma")
-        sized = scaled.join(F.broadcast(coef), "model").select("model", "ts", "y", "z", size.alias("size"))
-        most = sized.groupBy("model").agg(F.percentile("size", F.lit(trim)).alias("most"))
-        kept = scratch.cut(sized.join(F.broadcast(most), "model").where("size <= most").select("model", "y", "z"))
-        first = Moments(kept, width).fit(list(told), delta, ridge, steps)
-        scratch.drop(kept)
-    out = [(k, [f["feature"] for f in told[k]], [f["location"] for f in told[k]], [f["scale"] for f in told[k]], [float(x) for x in v["beta"][: len(told[k]) + 1]], float(v["sigma"])) for k, v in first.items()]
-    fitted = spark.createDataFrame(out, "model string, features array<string>, center array<double>, scale array<double>, beta array<double>, sigma double")
+    fitted = robust.fitted(panel.select("ts", "series", "value"), features, delta, ridge, steps, trim, broadcast_bytes)
     names = features.groupBy("model", "target").agg(F.array_sort(F.collect_list("feature")).alias("all"))
     plain = seasonal.robust_scale(panel, ["series"]).select(F.col("series").alias("target"), "location", F.col("scale").alias("spread"))
     none = lambda x: F.transform("all", lambda _: F.lit(x))
     whole = names.join(fitted, "model", "left").join(plain, "target", "left")
-    scratch.drop(rows, scaled)
     return whole.select(
         "model", "target", F.coalesce("features", "all").alias("features"), F.coalesce("center", none(0.0)).alias("center"), F.coalesce("scale", none(1.0)).alias("scale"),
         F.coalesce("beta", F.concat(F.array(F.coalesce("location", F.lit(0.0))), none(0.0))).alias("beta"), F.coalesce("sigma", "spread", F.lit(1.0)).alias("sigma"),
@@ -138,13 +64,7 @@ def robust_models(panel: DataFrame, features: DataFrame, delta: float = 1.5, rid
 
 def model_residuals(panel: DataFrame, models: DataFrame) -> DataFrame:
     """model, target, ts, resid (null where the target is), sigma. A missing feature counts as its centre."""
-    parts = models.select("model", "target", "sigma", F.col("beta")[0].alias("base"), F.explode_outer(F.arrays_zip("features", "center", "scale", F.slice("beta", F.lit(2), F.size("features")).alias("slope"))).alias("f"))
-    x = panel.select("ts", F.col("series").alias("feature"), F.col("value").alias("v"))
-    y = panel.select("ts", F.col("series").alias("target"), F.col("value").alias("y"))
-    told = parts.select("model", F.col("f.features").alias("feature"), F.col("f.center").alias("center"), F.col("f.scale").alias("scale"), F.col("f.slope").alias("slope"))
-    pull = told.join(x, "feature").groupBy("model", "ts").agg(F.sum((F.coalesce("v", "center") - F.col("center")) / F.col("scale") * F.col("slope")).alias("pull"))
-    whole = models.select("model", "target", "sigma", F.col("beta")[0].alias("base")).join(y, "target").join(pull, ["model", "ts"], "left")
-    return whole.select("model", "target", "ts", (F.col("y") - F.col("base") - F.coalesce("pull", F.lit(0.0))).alias("resid"), "sigma")
+    return robust.residuals(panel, models)
 
 
 def in_intervals(df: DataFrame, intervals: DataFrame, outside: bool = False, bucket_s: int = 86_400) -> DataFrame:
