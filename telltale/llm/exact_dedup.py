@@ -154,7 +154,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     drop = scratch.cut(drop.where(~F.col(keep) | (F.col(rows) > 1)))
     told = docs.withColumn(digest, sha(normalised(F.col("text"))))
     told = told.join(drop, (key(docs) == drop[doc]) & (told[digest] == drop[digest]), "left")
-    columns = [docs[c] for c in docs.columns]
+    columns = [docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]
     once = told.where(F.col(rows).isNull()).select(*columns)
     if drop.where(F.col(keep)).isEmpty():  # no doc_id is repeated with its text
         return once

@@ -57,6 +57,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, also if there are dots in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def uid(df: DataFrame, name: str = "uid") -> DataFrame:
     """Adds a row number that tells rows of equal doc_id apart; fix it with Scratch.cut before it is used twice."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -262,3 +262,30 @@ def test_roots_follow_paths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.word: r for r in spelling.spelling_variants(docs, every=10**9, often=2).collect()}
     assert got["abcdeih"].form == "abcdefh" and got["abcdeih"].root == got["abcdefh"].root == "abcdefg" and got["abcdefg"].form is None and got["abcdefg"].n_near == 1
+
+
+# --- decontamination at scale
+
+
+def test_matching_does_not_slow_with_the_benchmark():
+    """The time for a text is about the same for 2,000 windows and for 300,000."""
+    import time
+
+    import numpy as np
+
+    from telltale.llm.decontamination import Matcher
+    from telltale.llm.shared import WordIds, windows
+
+    rng = random.Random(3)
+    words = [f"w{k}".encode() for k in range(5000)]
+    took, ids = [], WordIds()
+    texts = [[rng.choice(words) for _ in range(300)] for _ in range(256)]
+    for n in (2_000, 300_000):
+        stream = ids.array(text := [rng.choice(words) for _ in range(n + 9)])
+        rows = [(int(h), b" ".join(text[i : i + 10]), 10, str(i % 50)) for i, h in enumerate(windows(stream, 10).view(np.int64))]
+        matcher = Matcher([*rows, (int(windows(ids.array(texts[7][20:30]), 10).view(np.int64)[0]), b" ".join(texts[7][20:30]), 10, "x")])
+        matcher.find(texts, ids)
+        began = time.process_time()
+        assert matcher.find(texts, ids) == {7: ([(20, 30)], {"x"})}
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0] + 0.05

@@ -39,7 +39,7 @@ def frame(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     for c in CLASH:
         df = df.withColumn(c, F.lit(1))
-    return df
+    return df.withColumn("with.a dot", F.lit(1))
 
 
 @pytest.fixture(scope="module")
@@ -55,7 +55,7 @@ def labels(spark):
 @pytest.fixture(scope="module")
 def benchmark(spark):
     texts = [r[1] for r in made() if r[1]]
-    return spark.createDataFrame([(1, " ".join(texts[3].split()[2:16])), (10, " ".join(texts[5].upper().split()[1:14])), (2, "w1 w2"), (3, None), (4, ""), (5, " ".join(texts[3].split()[2:16]))], "item_id long, text string")
+    return spark.createDataFrame([(1, " ".join(texts[3].split()[2:16])), (10, " ".join(texts[5].upper().split()[1:14])), (2, "w1 w2"), (3, None), (4, ""), (5, " ".join(texts[3].split()[2:16])), (None, " ".join(texts[3].split()[2:16])), (None, " ".join(texts[5].split()[1:14]))], "item_id long, text string")
 
 
 def every(spark, docs, labels, benchmark):
@@ -318,7 +318,7 @@ def test_decontamination_brute_force(docs, benchmark, block):
         w = split(r["text"])
         n = min(10, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            windows[tuple(w[i : i + n])].add(str(r["item_id"]))
+            windows[tuple(w[i : i + n])].add("" if r["item_id"] is None else str(r["item_id"]))
     want = {}
     for doc, text, *_ in made():
         w, hit, items = split(text), set(), set()
