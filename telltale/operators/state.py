@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telltale.operators import scan
 from telltale.operators.ranks import ranked
+from telltale.operators.scan import jaccard  # noqa: F401  (told with the schedule)
 from telltale.scratch import Scratch
 from telltale.shipping import ship
 

@@ -16,7 +16,7 @@ def follow(scores: DataFrame, alpha: float = 0.15, allowance: float = 0.5, decay
     """scores (network, ts, value, names) as a stream to one row for each: EWMA and CUSUM of the value, state, event and trigger reason.
 
     The state is on from a CUSUM of `start` until `quiet` rows in a row are under `hold`. Rows of a trigger are taken in
-    order of time; one that is older than the last seen is left out. All that is kept of a network is nine values.
+    order of time, to the microsecond; one that is not newer than the last seen (a repeated or late row) is left out. All that is kept of a network is nine values.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -27,7 +27,7 @@ def follow(scores: DataFrame, alpha: float = 0.15, allowance: float = 0.5, decay
             ewma, cusum, on, silent, event, seen, since, row, names = None, 0.0, 0, 0, 0, -1, -1, 0, []
         out = []
         for ts, value, now in zip(rows["ts"], rows["value"], rows["names"], strict=True):
-            at = int(ts.value // 1_000_000_000)
+            at = int(ts.value // 1_000)
             if at <= seen:
                 continue
             seen, x = at, 0.0 if pd.isna(value) else float(value)
@@ -43,7 +43,7 @@ def follow(scores: DataFrame, alpha: float = 0.15, allowance: float = 0.5, decay
                 on = int(silent < quiet)
             reason, top = None, {n for n in now if n} if now is not None else set()
             if on:
-                gap = at - since
+                gap = (at - since) / 1_000_000
                 if since < 0:
                     reason = "event_start"
                 elif gap >= recheck_s:

@@ -92,3 +92,17 @@ def test_schedule_of_an_endless_event(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "series string, ts timestamp_ntz, start boolean, hold boolean, names array<string>, event_id int")
     assert state.hysteresis(empty, 3).count() == 0 and state.schedule(empty, 10, 5, 0.5, ["series", "event_id"]).count() == 0
+
+
+def test_rows_within_a_second_are_kept(spark, tmp_path):
+    from telltale.streaming import detector, stateful
+
+    schema = "network string, ts timestamp, value double, names array<string>"
+    rows = pd.DataFrame({"network": "n", "ts": pd.Timestamp("2024-01-01", tz="UTC") + pd.to_timedelta(np.arange(50) * 100, unit="ms"), "value": 1.0, "names": [["a"]] * 50})
+    spark.createDataFrame(rows.sample(frac=1, random_state=1), schema).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    out = stateful.follow(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"), recheck_s=2, min_shift_s=1)
+    detector.run(out, f"file://{tmp_path}/out", f"file://{tmp_path}/c").awaitTermination()
+    got = spark.read.schema(stateful.OUT).parquet(f"file://{tmp_path}/out").orderBy("ts").toPandas()
+    assert len(got) == 50 and got["ts"].is_unique
+    start = got.index[got["reason"] == "event_start"][0]
+    assert got.index[got["reason"] == "periodic_recheck"].tolist() == list(range(start + 20, 50, 20))
