@@ -7,6 +7,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telltale.operators import linear
+
 
 def prototypes(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """key, label, p for each row and label: sigmoid((d-^2 - d+^2) / max(1, dimensions)) of distances to the label's centroid and to all others', on standardised coordinates."""
@@ -61,17 +63,9 @@ def calibrated(cal: DataFrame, rows: DataFrame, label: str = "y", least: int = 2
     return rows.withColumn("p_cal", F.col("p"))
 
 
-def one_versus_rest(train: DataFrame, rows: DataFrame, features: list[str], labels: list[str]) -> DataFrame:
-    """rows with p_<label> for each of several 0/1 labels, with balanced weights; a label of one class gives its rate."""
-    out = rows
-    for name in labels:
-        n, pos = train.agg(F.count("*"), F.sum(name)).first()
-        if not pos or pos == n:
-            out = out.withColumn(f"p_{name}", F.lit(float(pos or 0) / max(n, 1)))
-            continue
-        told = train.withColumn("__w", F.when(F.col(name) == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
-        out = logistic_head(told, out, features, name, "__w").withColumnRenamed("p", f"p_{name}")
-    return out
+def one_versus_rest(train: DataFrame, rows: DataFrame, features: list[str], labels: list[str], weight: str | None = None) -> DataFrame:
+    """rows with p_<label> for each of several 0/1 labels, all fitted together; row weights (of signatures, say) times balanced ones."""
+    return linear.score(rows, linear.fit(train, features, labels, weight, balanced=True))
 
 
 def principal(df: DataFrame, vector: str, k: int = 2) -> DataFrame:
