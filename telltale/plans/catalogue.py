@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telltale.functions import scalar
-from telltale.operators import audit, export, heads, metrics, packets, panel, relate, scores, seasonal, sequence, state
+from telltale.operators import audit, export, heads, linear, metrics, packets, panel, relate, scores, seasonal, sequence, state
+from telltale.scratch import Scratch
 from telltale.sources import tables
 
 QUERIES: dict = {}
@@ -559,7 +560,7 @@ def learnable(spark, sf):
     e = packets.split_three(read(spark, sf, "events"), "event_type", ["ts"])
     f = scalar.cyclic("ts")
     e = e.select("event_id", "split", "value", *[x.cast("double").alias(k) for k, x in f.items()], (F.col("event_type") == "purchase").cast("double").alias("is_purchase"))
-    return e.withColumn("y", (F.col("value") * (1 + F.col("is_purchase")) > 60).cast("double"))
+    return Scratch(spark).cut(e.withColumn("y", (F.col("value") * (1 + F.col("is_purchase")) > 60).cast("double")))
 
 
 FEATURES = ["value", "is_purchase", "hour_sin", "hour_cos", "is_night"]
@@ -584,6 +585,15 @@ def ovr_localizer(spark, sf):
     return heads.one_versus_rest(d.where("split = 'train'"), d.where("split = 'val'"), FEATURES, ["pipe_a", "pipe_b"]).select("event_id", r("p_pipe_a", 3).alias("p_a"), r("p_pipe_b", 3).alias("p_b"))
 
 
+@query()
+def kept_heads(spark, sf):
+    """Coefficients of two labels' heads on raw features, fitted together with weights of label signatures times balance, calibration folded in."""
+    d = learnable(spark, sf).withColumn("pipe_a", F.col("y")).withColumn("pipe_b", (F.col("value") > 90).cast("double")).withColumn("signature", F.concat_ws("|", "pipe_a", "pipe_b"))
+    train = packets.signature_weights(d.where("split = 'train'"), "signature")
+    k = linear.fit(train, FEATURES, ["pipe_a", "pipe_b"], "weight", True, d.where("split = 'cal'"))
+    return k.select("label", "feature", r("weight", 4).alias("weight"))
+
+
 @query()
 def principal_components(spark, sf):
     p = heads.principal(read(spark, sf, "embeddings"), "embedding")

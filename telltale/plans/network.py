@@ -11,6 +11,7 @@ from telltale.operators import audit, candidates, detect, features, metrics, pac
 from telltale.plans.catalogue import J, P2, RUNS, SQL, daily, flagged, judged, long_, long_runs, query, r, read
 from telltale.scratch import Scratch
 from telltale.sources import tables
+from telltale.streaming import compact, detector
 
 T0, LEAK = "2024-01-21 00:00:00", ("2024-01-05 00:00:00", "2024-01-06 00:00:00")
 #: The settings of the compact detector on hours.
@@ -113,6 +114,25 @@ def tiny_detect(spark, sf):
     return t.select("ts", *[r(c, 5).alias(c) for c in ("burst_cusum", "score_incipient", "score_final")], "votes", long_("leak_state"), long_("event_id"), F.array_join("top", ",").alias("top"))
 
 
+@query(TINY_SQL + " SELECT ts, round(c, 5) AS burst_cusum, round(inc, 5) AS score_incipient, round(final, 5) AS score_final, votes, CAST(state AS BIGINT) AS leak_state, CAST(event_id AS BIGINT) AS event_id, top FROM res")
+def stream_detect(spark, sf):
+    """The compact detector as a stream: the rest of the network's readings is played to it."""
+    train, test = parts(spark, sf)
+    fits = {"net": detect.fit_tiny(train, TINY, leaks(spark))}
+    t = detector.replayed(test.withColumn("network", F.lit("net")), lambda s: compact.detect_stream(s, fits))
+    return t.select(F.col("ts").cast("timestamp_ntz").alias("ts"), *[r(c, 5).alias(c) for c in ("burst_cusum", "score_incipient", "score_final")], "votes", long_("leak_state"), long_("event_id"), F.array_join("top", ",").alias("top"))
+
+
+@query(f"""WITH {P2}, a AS (SELECT series, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY series ORDER BY ts) <= INTERVAL 4 DAY THEN 0 ELSE 1 END AS rise FROM flagged WHERE flag = 1),
+e AS (SELECT series, ts, CAST(sum(rise) OVER (PARTITION BY series ORDER BY ts) AS BIGINT) AS event_id FROM a)
+SELECT series, event_id, min(ts) AS start_ts, max(ts) AS end_ts, date_diff('day', min(ts), max(ts)) + 1 AS n_rows FROM e GROUP BY series, event_id""")
+def stream_merged_events(spark, sf):
+    """Final events of a stream of flags by day, gaps of at most three days closed."""
+    rows = flagged(spark, sf).select(F.col("series").alias("network"), "ts", "flag")
+    e = detector.replayed(rows, lambda s: compact.merged_events(s, 3, 86400, "flag", provisional=False))
+    return e.select(F.col("network").alias("series"), "event_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_ts", "end_ts")], "n_rows")
+
+
 @query(f"WITH RECURSIVE {FITTED}, {frames('x_', 'tr')} SELECT round(greatest(0.1, quantile_cont(c, 0.9)), 5) AS burst, round(greatest(0.1, quantile_cont(inc, 0.9)), 5) AS incipient, round(greatest(0.05, quantile_cont(final, 0.7)), 5) AS hold, round(greatest(0.05, quantile_cont(flow, 0.88)), 5) AS flow_hold FROM x_w")
 def tiny_thresholds(spark, sf):
     th = detect.fit_tiny(parts(spark, sf)[0], TINY, leaks(spark)).thresholds

@@ -228,5 +228,4 @@ def detect_stream(readings: DataFrame, fits: dict[str, Fitted], late: str = "1 h
     fits: a fit of `detect.fit_tiny` for each network; networks without one are left out. Readings that come up to `late`
     after the newest count; null or NaN is a missing value, and a time without any pressure gives no row.
     """
-    prepare(readings.sparkSession)
     return run_in_order(network_rows(sensor_rows(readings, fits, late), fits), ["network"], Network(settings_of(fits)))

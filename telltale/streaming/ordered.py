@@ -18,6 +18,7 @@ from telltale.shipping import ship
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
 }
 
 
@@ -106,5 +107,6 @@ def run_in_order(stream: DataFrame, keys: list[str], processor: InOrder, mode: s
 
     timed: the column of the result that later operators take as event time.
     """
+    prepare(stream.sparkSession)
     told = stream.where(F.col("ts").isNotNull()).withColumn("at", F.unix_micros("ts"))
     return told.groupBy(*keys).transformWithStateInPandas(processor, processor.OUT, mode, "EventTime", eventTimeColumnName=timed)
