@@ -1,16 +1,21 @@
 """Features of lookback packets: what was seen in the rows before each trigger, in long form (trigger, feature, value)."""
 
+import inspect
+import math
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telltale.functions import scalar
+from telltale.scratch import Scratch
 
 STATS = ("last", "mean", "std", "min", "max", "median", "q10", "q90", "slope", "delta", "auc")
 HORIZONS = (12, 36, 72, 144)
 #: Families of features by how their names begin (fixed values).
-FAMILIES = (("raw|", "raw"), ("demand|", "demand"), ("stage1|", "stage1"), ("sensor|", "sensor"), ("top|", "top_sensors"), ("reason_", "metadata"), ("area_", "metadata"), ("trigger_", "metadata"), ("hour_", "calendar"), ("dow_", "calendar"), ("month_", "calendar"), ("is_", "calendar"), ("event_", "event"))
+FAMILIES = (("raw|", "raw"), ("demand|", "demand"), ("stage1|", "stage1"), ("sensor|", "sensor"), ("summary|", "sensor_summary"), ("top|", "top_sensors"), ("reason_", "metadata"), ("area_", "metadata"), ("trigger_", "metadata"), ("hour_", "calendar"), ("dow_", "calendar"), ("month_", "calendar"), ("is_", "calendar"), ("event_", "event"))
 
 
 def positions(panel: DataFrame, order: str = "ts") -> DataFrame:
@@ -86,6 +91,88 @@ def one_hot(df: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     return df.select("*", *[(F.coalesce(c, F.lit("unknown")) == v).cast("double").alias(f"{c}_{v}") for c, values in words.items() for v in values])
 
 
+def named_values(df: DataFrame, family: str) -> DataFrame:
+    """trigger, feature (<family>|<column>), value of all other columns."""
+    names = [c for c in df.columns if c != "trigger"]
+    long = df.select("trigger", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["trigger"], names, "s", "value")
+    return long.select("trigger", F.concat_ws("|", F.lit(family), "s").alias("feature"), "value")
+
+
+def cross_section(triggers: DataFrame, panel: DataFrame) -> DataFrame:
+    """trigger and the mean, deviation, maximum, median and 0.9 quantile of all series at its own time."""
+    own = triggers.select(F.col("ts").alias("trigger"), "ts").distinct().join(panel, "ts")
+    q = lambda a: F.percentile("value", F.lit(a))
+    return own.groupBy("trigger").agg(F.avg("value").alias("now_mean"), F.stddev_pop("value").alias("now_std"), F.max("value").alias("now_max"), q(0.5).alias("now_median"), q(0.9).alias("now_q90"))
+
+
+def sensor_summary(triggers: DataFrame, evidence: DataFrame, lead: DataFrame, times: DataFrame, lookback: int, names: int = 5) -> DataFrame:
+    """One row for each trigger: what all sensors (series, ts, value; null is 0) say at its time.
+
+    max, mean, std, the greatest three and the gap of the first two, entropy and concentration of shares, the leader's
+    share, how often the leader led in the lookback and how alike the leading three were, and the places (from 1) of the
+    names that `lead` (ts, top) gives; a name that isn't there is one behind the last. Ties go by name.
+    """
+    from telltale.operators import scores
+
+    known = evidence.withColumn("value", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)))
+    own = scores.ranked(known.join(triggers.select("ts").distinct(), "ts", "left_semi"), "value").join(lead, "ts", "left")
+    at = lambda k: F.coalesce(F.max(F.when(F.col("rank") == k, F.col("value"))), F.lit(0.0))
+    total, n = F.sum("value"), F.count("*")
+    place = lambda k: F.coalesce(F.max(F.when(F.col("series") == F.get("top", F.lit(k - 1)), F.col("rank"))), n + 1).cast("double")
+    now = own.groupBy("ts").agg(
+        at(1).alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), *[at(k).alias(f"top{k}") for k in (1, 2, 3)],
+        F.when(n > 1, at(1) - at(2)).otherwise(0.0).alias("gap12"), F.when(total > 0, at(1) / total).otherwise(0.0).alias("top1_share_now"), *[place(k).alias(f"place_of_lead_{k}") for k in range(1, names + 1)],
+    )
+    shares = scores.concentration(known.join(triggers.select("ts").distinct(), "ts", "left_semi")).select("ts", "entropy", "hhi")
+    kept = top_stability(triggers, scores.top_series(known, "value", 3, positive=False), times, lookback).withColumnsRenamed({"top1_share": "persistence", "top3_jaccard": "likeness"})
+    return now.join(shares, "ts").withColumnRenamed("ts", "trigger").join(kept, "trigger", "left")
+
+
+def event_context(triggers: DataFrame, results: DataFrame, step_s: float, score: str = "score_final") -> DataFrame:
+    """One row for each trigger: rows and hours of its event so far, and the greatest and mean score; zeros outside of events."""
+    from telltale.operators import sequence
+
+    inside = sequence.running_context(results.where("event_id > 0").select("event_id", "ts", score), score, ["event_id"])
+    t = triggers.select(F.col("ts").alias("trigger")).distinct().join(inside.withColumnRenamed("ts", "trigger"), "trigger", "left")
+    return t.select("trigger", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in (("event_rows", F.col("n_so_far")), ("event_hours", F.col("n_so_far") * F.lit(step_s / 3600)), ("event_max", F.col("max_so_far")), ("event_mean", F.col("mean_so_far")))])
+
+
+def numbered(train: DataFrame, triggers: int) -> DataFrame:
+    """feature, place (from 0, in order of names), fill (its median) of the long features that vary in training; one that a trigger lacks varies too.
+
+    A row for each kind of feature, so a table of some thousands whatever the number of triggers.
+    """
+    v = F.nanvl("value", F.lit(None).cast("double"))
+    known = train.groupBy("feature").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"), F.percentile(v, F.lit(0.5)).alias("fill"))
+    known = known.where((F.col("lo") < F.col("hi")) | ((F.col("n") > 0) & (F.col("n") < triggers)))
+    return known.withColumn("place", F.row_number().over(Window.orderBy("feature")) - 1).select("feature", "place", F.col("fill").cast("double").alias("fill"))
+
+
+def vectors(features: DataFrame, words: list[tuple[str, float]]) -> DataFrame:
+    """trigger, x: long features scattered into one array in the order of `words` (feature, fill); what is missing gets its fill.
+
+    A trigger's (place, value) pairs are gathered and scattered by batches, so that thousands of features aren't
+    thousands of columns.
+    """
+    fills = np.array([f for _, f in words], dtype=float)
+    table = features.sparkSession.createDataFrame([(n, i) for i, (n, _) in enumerate(words)], "feature string, place int")
+    told = features.join(F.broadcast(table), "feature", "left")
+    # triggers without any known feature get the fills
+    pairs = told.groupBy("trigger").agg(F.collect_list(F.when(F.col("place").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"), F.struct("place", F.col("value").cast("double").alias("value")))).alias("pairs"))
+    pairs = pairs.select("trigger", F.col("pairs.place").alias("places"), F.col("pairs.value").alias("values"))
+
+    def scatter(batches):
+        for b in batches:
+            out = np.tile(fills, (b.num_rows, 1))
+            places, values = b.column("places"), b.column("values")
+            rows = np.repeat(np.arange(b.num_rows), np.diff(places.offsets.to_numpy()))
+            out[rows, places.flatten().to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(zero_copy_only=False)
+            ends = pa.array(np.arange(b.num_rows + 1) * len(fills), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("trigger"), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=["trigger", "x"])
+
+    return pairs.mapInArrow(scatter, f"trigger {pairs.schema['trigger'].dataType.simpleString()}, x array<double>")
+
+
 def trigger_context(triggers: DataFrame) -> DataFrame:
     """Adds trigger_order (from 1), trigger_prior and trigger_minutes (since the one before in the event, -1 for the first)."""
     from telltale.operators.sequence import order_context
@@ -180,20 +267,44 @@ def call_flags(df: DataFrame, truth: str, call: str) -> DataFrame:
 def permutation_importance(df: DataFrame, features: list[str], truth: str, score, metric, top: int = 60, shuffles: int = 3) -> DataFrame:
     """feature, importance: how much the metric of score(df) falls on average when a feature's values are dealt anew; only the `top` features most correlated with the truth are tried.
 
-    score: frame to frame with `p`; metric: that frame to a number. Values are dealt by joining ranks of two hash orders.
+    score: frame to frame with `p`; metric: that frame to a number, or, if it takes a second argument (a column of
+    copies), to a table of that column and `metric`, and all copies are scored and judged as one table. Rows are ranked by
+    a hash once; a deal is a stride through these ranks that shares no factor with their number.
     """
+    corr = df.agg(*[F.abs(F.corr(F.col(f).cast("double"), F.col(truth).cast("double"))).alias(f"c{i}") for i, f in enumerate(features)]).first()
+    tried = [features[i] for i in sorted(range(len(features)), key=lambda i: (-(corr[f"c{i}"] or 0.0), features[i]))[:top]]
+    scratch = Scratch(df.sparkSession)
+    copies = scratch.cut(dealt(df, tried, shuffles))
+    if len(inspect.signature(metric).parameters) > 1:
+        told = {r["copy"]: r["metric"] for r in metric(score(copies), "copy").collect()}
+    else:
+        told = {k: metric(score(copies.where(F.col("copy") == k))) for k in range(1 + len(tried) * shuffles)}
+    scratch.drop(copies)
+    base = told.get(0)
+    falls = [[base - told[1 + i * shuffles + k] for k in range(shuffles) if base is not None and told.get(1 + i * shuffles + k) is not None] for i in range(len(tried))]
+    return df.sparkSession.createDataFrame([(f, float(np.mean(d)) if d else None) for f, d in zip(tried, falls, strict=True)], "feature string, importance double")
+
+
+def dealt(df: DataFrame, features: list[str], shuffles: int) -> DataFrame:
+    """df as copy 0, and for each feature i and deal k a copy (1 + i * shuffles + k) in which that feature has other rows' values."""
     from telltale.operators.ranks import ranked
 
-    corr = df.agg(*[F.abs(F.corr(F.col(f).cast("double"), F.col(truth).cast("double"))).alias(f) for f in features]).first()
-    tried = sorted(features, key=lambda f: (-(corr[f] or 0.0), f))[:top]
-    base, out = metric(score(df)), []
-    one = df.withColumn("__all", F.lit(1)).withColumn("__id", F.monotonically_increasing_id()).persist()
-    for f in tried:
-        drops = []
-        for k in range(shuffles):
-            a = ranked(one.withColumn("__h", F.xxhash64("__id", F.lit(k))), ["__all"], ["__h", "__id"]).drop(f, "group_rows", "__h")
-            b = ranked(one.withColumn("__h", F.xxhash64("__id", F.lit(k + shuffles))), ["__all"], ["__h", "__id"]).select("rank", f)
-            drops.append(base - metric(score(a.join(b, "rank").drop("rank", "__all", "__id"))))
-        out.append((f, float(sum(drops) / len(drops))))
-    one.unpersist()
-    return df.sparkSession.createDataFrame(out, "feature string, importance double")
+    scratch = Scratch(df.sparkSession)
+    salted = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__h", F.xxhash64("__id", *[F.col(f"`{f}`").cast("string") for f in features]))
+    rows = scratch.cut(ranked(scratch.cut(salted), [], ["__h", "__id"]).drop("group_rows", "__h", "__id"))
+    n = rows.count()
+    strides = []
+    # fixed primes: starts of the search for strides
+    for k in range(shuffles):
+        a = (7919 + 104729 * k) % max(n, 1) or 1
+        while math.gcd(a, max(n, 1)) != 1:
+            a += 1
+        strides.append((a, 31 * k + 17))
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.pmod((F.col("rank") - 1) * F.lit(a) + F.lit(b), F.lit(max(n, 1))).alias("from")) for k, (a, b) in enumerate(strides)])
+    asked = rows.withColumn("__deal", F.explode(places)).withColumn("__k", F.col("__deal.k")).withColumn("__from", F.col("__deal.from") + 1).drop("__deal")
+    given = rows.select(F.col("rank").alias("__from"), F.struct(*[F.col(f"`{f}`").alias(f"v{i}") for i, f in enumerate(features)]).alias("__v"))
+    met = asked.join(given, "__from").withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    own = lambda c: F.col(f"`{c}`")
+    mixed = [F.when(F.col("__i") == features.index(c), F.col(f"__v.v{features.index(c)}")).otherwise(own(c)).alias(c) if c in features else own(c) for c in df.columns]
+    anew = met.select(*mixed, (1 + F.col("__i") * shuffles + F.col("__k")).cast("int").alias("copy"))
+    return df.withColumn("copy", F.lit(0)).unionByName(anew)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telltale.functions.scalar import sigmoid
@@ -23,10 +23,18 @@ SUMS = 4
 CERTAIN = 50.0
 
 
-def matrix(rows: DataFrame, features: list[str], labels: list[str], weight: str | None) -> DataFrame:
-    """x (features; null or NaN is 0), y (labels; null is 0), w (1 without a weight) of each row."""
+def numbers(rows: DataFrame, features: list[str], vector: str | None) -> Column:
+    """The features of each row as one array: columns of their names, or the array that `vector` names, in the features' order. Null or NaN is 0."""
+    known = lambda c: F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+    if vector:
+        return F.transform(F.col(f"`{vector}`"), known)
+    return F.array(*[known(F.col(f"`{c}`")) for c in features]).cast("array<double>")
+
+
+def matrix(rows: DataFrame, features: list[str], labels: list[str], weight: str | None, vector: str | None = None) -> DataFrame:
+    """x (features), y (labels; null is 0), w (1 without a weight) of each row."""
     number = lambda c: F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0))
-    return rows.select(F.array(*[number(c) for c in features]).alias("x"), F.array(*[number(c) for c in labels]).alias("y"), (number(weight) if weight else F.lit(1.0)).alias("w"))
+    return rows.select(numbers(rows, features, vector).alias("x"), F.array(*[number(c) for c in labels]).alias("y"), (number(weight) if weight else F.lit(1.0)).alias("w"))
 
 
 def summed(rows: DataFrame, make, width: int) -> np.ndarray:
@@ -99,11 +107,11 @@ def newton(m: DataFrame, design, chosen: list[int], class_weights: np.ndarray, p
     return beta
 
 
-def fit(train: DataFrame, features: list[str], labels: list[str], weight: str | None = None, balanced: bool = False, cal: DataFrame | None = None, c: float = 1.0, steps: int = 50, tolerance: float = 1e-9) -> DataFrame:
+def fit(train: DataFrame, features: list[str], labels: list[str], weight: str | None = None, balanced: bool = False, cal: DataFrame | None = None, c: float = 1.0, steps: int = 50, tolerance: float = 1e-9, vector: str | None = None) -> DataFrame:
     """A kept head for each 0/1 label, fitted on standardised features with a penalty of half the squared coefficients (the intercept's too) against c times the summed loss.
 
     weight: a column of row weights; balanced: times rows / (2 * rows of the class), so that a label's classes weigh the
-    same. cal: rows on which a logistic curve on the log odds is fitted and folded in, for labels of two kinds there.
+    same. vector: the column that holds the features as one array, in their order, where they aren't columns. cal: rows on which a logistic curve on the log odds is fitted and folded in, for labels of two kinds there.
     A label of one kind gives that answer for certain, and so does an empty table for no. What goes through the driver
     is a sum of (features + 1)^2 numbers a label; the widest labels take passes of their own.
     """
@@ -111,7 +119,7 @@ def fit(train: DataFrame, features: list[str], labels: list[str], weight: str |
         raise ValueError("a head needs features and labels")
     spark = train.sparkSession
     scratch = Scratch(spark)
-    m = scratch.cut(matrix(train, features, labels, weight))
+    m = scratch.cut(matrix(train, features, labels, weight, vector))
     p, k = len(features), len(labels)
     n, mean, sd, hits = moments(m, p, k)
     each = np.ones((k, 2))
@@ -129,7 +137,7 @@ def fit(train: DataFrame, features: list[str], labels: list[str], weight: str |
             raw[i] = np.concatenate([[b[0] - (b[1:] * mean / sd).sum()], b[1:] / sd])
     scratch.drop(m)
     if cal is not None and mixed:
-        told = scratch.cut(matrix(cal, features, labels, None))
+        told = scratch.cut(matrix(cal, features, labels, None, vector))
         n_cal, _, _, hits_cal = moments(told, p, k)
         two = [i for i in mixed if 0 < hits_cal[i] < n_cal]
         if two:
@@ -165,11 +173,36 @@ def coefficients(heads: DataFrame) -> dict[str, tuple[list[str], list[float], fl
     return {k: (names, weights, b[0]) for k, (names, weights, b) in out.items()}
 
 
-def score(rows: DataFrame, heads: DataFrame, prefix: str = "p_") -> DataFrame:
-    """rows (a batch or a stream) with <prefix><label>: the head's probability. A missing feature counts as 0, as in the fit."""
+def strongest(rows: DataFrame, features: list[str], labels: list[str], most: int, vector: str | None = None) -> list[str]:
+    """The `most` features of greatest absolute correlation with any of the labels, in the order of `features`; ties go to the earlier. Three sums of a pass, and those about the means in a second."""
+    m = matrix(rows, features, labels, None, vector)
+    p, k = len(features), len(labels)
+    s = summed(m, lambda x, y, w: np.concatenate([[len(x)], x.sum(0), y.sum(0)]), 1 + p + k)
+    mean, rate = s[1 : p + 1] / max(s[0], 1), s[p + 1 :] / max(s[0], 1)
+
+    def about(x, y, w):
+        x, y = x - mean, y - rate
+        return np.concatenate([(x**2).sum(0), (y**2).sum(0), (x.T @ y).ravel()])
+
+    s = summed(m, about, p + k + p * k)
+    both = np.sqrt(np.outer(s[:p], s[p : p + k]))
+    r = np.where(both > 0, np.abs(s[p + k :].reshape(p, k)) / np.where(both > 0, both, 1.0), 0.0).max(axis=1)
+    first = sorted(range(p), key=lambda i: (-round(float(r[i]), 12), i))[:most]
+    return [features[i] for i in sorted(first)]
+
+
+def score(rows: DataFrame, heads: DataFrame, prefix: str = "p_", features: list[str] | None = None, vector: str | None = None) -> DataFrame:
+    """rows (a batch or a stream) with <prefix><label>: the head's probability. A missing feature counts as 0, as in the fit.
+
+    vector: an array of the given features, in their order, instead of columns; it may hold more than a head asks for.
+    """
     made = {}
     for label, (names, weights, intercept) in coefficients(heads).items():
-        x = F.array(*[F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)) for c in names]).cast("array<double>")
+        if vector:
+            at = {name: i for i, name in enumerate(features)}
+            x = F.transform(F.array(*[F.lit(at[n]) for n in names]).cast("array<int>"), lambda i: F.coalesce(F.nanvl(F.get(F.col(f"`{vector}`"), i).cast("double"), F.lit(0.0)), F.lit(0.0)))
+        else:
+            x = numbers(rows, names, None)
         w = F.array(*[F.lit(v) for v in weights]).cast("array<double>")
         made[prefix + label] = sigmoid(F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(intercept)), lambda a, b: a + b))
     return rows.withColumns(made)

@@ -1,5 +1,6 @@
 """Sequential operators: hysteresis states and trigger schedulers as parallel scans of blocks, and greedy peaks."""
 
+import bisect
 import math
 
 import numpy as np
@@ -87,16 +88,53 @@ def schedule(df: DataFrame, recheck: float, min_shift: float, threshold: float,
     return rows.join(found, [*key, "block", "place"]).select("__row.*", "reason")
 
 
-def suppress_peaks(df: DataFrame, min_gap_s: int, limit: int, keys: str = "series") -> DataFrame:
-    """Greatest first (ties: earliest), a peak is taken if it is min_gap_s from all taken, until `limit`."""
+def suppress_peaks(df: DataFrame, min_gap_s: int, limit: int, keys: str = "series", block_gaps: int = 4096) -> DataFrame:
+    """Greatest first (ties: earliest), a peak is taken if it is min_gap_s from all taken, until `limit`.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        taken = []
-        for i, ts in g.sort_values(["value", "ts"], ascending=[False, True])["ts"].items():
-            if len(taken) == limit:
-                break
-            if all(abs((ts - t).total_seconds()) >= min_gap_s for _, t in taken):
-                taken.append((i, ts))
-        return g.loc[[i for i, _ in taken]].sort_values("ts")
-
-    return df.groupBy(keys).applyInPandas(run, df.schema)
+    Whether a peak is taken depends on greater ones near it only, so blocks of time decide theirs side by side: what
+    depends on rows beyond a block's ends waits for a round in which the blocks lie half a block further. Rounds end
+    when nothing waits; the greatest that wait are decided in two rounds at most. A task holds a block's peaks.
+    `limit` is by rank, as those taken first are the greatest. Rows without a time are no peaks; a null value comes last.
+    """
+    if block_gaps < 4:
+        raise ValueError("a block is four gaps at least")
+    scratch = Scratch(df.sparkSession)
+    gap, half = min_gap_s * 1_000_000, block_gaps * min_gap_s * 1_000_000 // 2
+    if gap <= 0:
+        return first_peaks(df, limit, keys)
+    rows = df.where("ts is not null").withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("__taken", F.lit(False))
+    rows, shift = scratch.cut(rows), 0
+
+    def decide(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["value", "__at"], ascending=[False, True], na_position="last")
+        low = g["__block"].iloc[0] * 2 * half - g["__shift"].iloc[0]
+        high, taken, waiting, keep, told = low + 2 * half, [], [], [], []
+        for at in g.loc[g["__taken"], "__at"]:
+            bisect.insort(taken, at)
+        near = lambda where, at: (i := bisect.bisect_left(where, at - gap + 1)) < len(where) and where[i] < at + gap
+        for at, done in zip(g["__at"], g["__taken"], strict=True):
+            wait = False
+            if not done:
+                if near(taken, at):
+                    keep.append(False)
+                    continue
+                wait = near(waiting, at) or at - low < gap or high - at <= gap
+                bisect.insort(waiting if wait else taken, at)
+            keep.append(True)
+            told.append(not wait)
+        out = g[keep].copy()
+        out["__taken"] = told
+        return out.drop(columns=["__block", "__shift"])
+
+    while not rows.where("not __taken").isEmpty():
+        placed = rows.withColumn("__shift", F.lit(shift)).withColumn("__block", F.floor((F.col("__at") + shift) / (2 * half)))
+        now = scratch.cut(placed.groupBy(keys, "__block").applyInPandas(decide, rows.schema))
+        scratch.drop(rows)
+        rows, shift = now, half - shift
+    return first_peaks(rows.drop("__at", "__taken"), limit, keys)
+
+
+def first_peaks(df: DataFrame, limit: int, keys: str) -> DataFrame:
+    """The `limit` greatest of each group, ties by time."""
+    low = df.withColumn("__low", -F.col("value"))
+    return ranked(low, [keys], ["__low", "ts"]).where(F.col("rank") <= limit).drop("__low", "rank", "group_rows")
