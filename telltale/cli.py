@@ -1,12 +1,14 @@
 """python -m telltale.cli: fits a detector on one year of a table and applies it to another."""
 
 import argparse
+import dataclasses
 import json
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from telltale.operators import detect, panel
+from telltale.operators import confirm, detect, linear, metrics, panel
+from telltale.scratch import Scratch
 from telltale.sources import sinks, tables
 
 
@@ -21,6 +23,8 @@ def arguments(argv=None):
     a.add_argument("--leak-report", help="text with times of repaired leaks")
     a.add_argument("--config", help="JSON object of settings")
     a.add_argument("--compact", action="store_true", help="the compact detector")
+    a.add_argument("--stage2", action="store_true", help="learn and judge the second stage on one merged table too: the train year gives packets, the test year is judged")
+    a.add_argument("--boosted", action="store_true", help="boosted trees instead of a linear head that is kept")
     a.add_argument("--output-dir", required=True)
     return a.parse_args(argv)
 
@@ -32,7 +36,49 @@ def long_panel(table, groups):
     return panel.long(table, "ts", sorted(kinds)).withColumn("kind", kind[F.col("series")]).select("series", "kind", "ts", "value")
 
 
+def confirmed(spark: SparkSession, args) -> sinks.Run:
+    """Packets to predictions: detector, packets, features, kept heads, predictions and all that judges them, under one folder."""
+    if not args.merged:
+        raise ValueError("the second stage needs a merged table")
+    table, groups = tables.read_merged(spark, args.merged, args.timestamp_col)
+    pipes = [c for c in table.columns if c.startswith("pipe_") and c.endswith("_bin")] or [c for c in table.columns if c.startswith("pipe_")]
+    base = detect.Settings(slots="auto") if args.compact else detect.Settings()
+    settings = tables.settings_from_json(args.config, base, spark) if args.config else base
+    scratch = Scratch(spark)
+    start = F.lit(f"{args.test_year}-01-01 00:00:00").cast("timestamp_ntz")
+    both = scratch.cut(tables.in_year(table, args.train_year).unionByName(tables.in_year(table, args.test_year)))
+    second = dataclasses.replace(confirm.Settings(), boosted=args.boosted)
+    o = confirm.learn(both, scratch.cut(long_panel(both, groups)), pipes, start, settings, second, args.compact)
+    out = sinks.Run(spark, args.output_dir)
+    told = {
+        "predictions": (o.predictions, "probabilities, decisions and pipes of packets of val and test"), "binary_metrics": (o.binary, "confirmation"), "localisation_metrics": (o.localisation, "pipes"), "acceptance": (o.accepted, "share of packets accepted"),
+        "reasons": (o.reasons, "accepted and rejected triggers by reason"), "packet_counts": (o.counts, "packets by part and kind"), "importance": (o.importance, "features of the binary head"),
+    }
+    sections = {}
+    for name, (df, about) in told.items():
+        if df is not None:
+            out.table(df, name, about, "parquet" if name == "predictions" else "json")
+            sections[about.capitalize()] = sinks.markdown(df.drop(*[c for c in df.columns if c.startswith("p_")]))
+    if o.importance is not None:
+        kept = spark.read.json(f"{out.folder}/importance")
+        out.table(metrics.group_importance(kept, F.col("family"), "importance"), "family_importance", "importance by family", "json")
+    out.table(o.triggers, "triggers", "when the second stage is asked", "csv")
+    out.table(spark.createDataFrame(o.fitted.words, "feature string, fill double"), "features", "features and what fills them")
+    for name, head in (("binary_head", o.fitted.binary), ("pipe_heads", o.fitted.pipes)):
+        if head is not None:
+            linear.keep(head, f"{out.folder}/{name}")
+            out.note(name, "parquet", "label, feature, weight of raw features")
+    if o.fitted.binary is not None:
+        out.text(sinks.stage2_header(linear.coefficients(o.fitted.binary)), "stage2.h", "the confirming head as C")
+    out.json({"stage1": sinks.metadata(o.detector), "stage2": second, "threshold": o.fitted.threshold}, "metadata.json", "settings and thresholds")
+    out.close("Stage 2", sections)
+    return out
+
+
 def run(spark: SparkSession, args) -> sinks.Run:
+    if args.stage2:
+        return confirmed(spark, args)
+
     def load(year):
         if args.merged:
             table, groups = tables.read_merged(spark, args.merged, args.timestamp_col)
@@ -63,9 +109,9 @@ def run(spark: SparkSession, args) -> sinks.Run:
     sections = {"Settings": json.dumps(sinks.metadata(fitted)["thresholds"], sort_keys=True)}
     if labels:
         truth = test.select("ts", tables.any_leak(test, labels).cast("int").alias("leak"))
-        metrics = detect.evaluate(done, truth, None if args.compact else 0.0)
-        out.table(metrics, "metrics", "confusion by row", "json")
-        sections["Metrics"] = sinks.markdown(metrics)
+        told = detect.evaluate(done, truth, None if args.compact else 0.0)
+        out.table(told, "metrics", "confusion by row", "json")
+        sections["Metrics"] = sinks.markdown(told)
     out.close("Stage 1", sections)
     return out
 

@@ -165,7 +165,7 @@ def full_sensor_scores(ds: DataFrame, models: DataFrame, scales: DataFrame, s: S
     drift = sequence.lag_difference(drift, max(1, s.slope_rows - 1), "resid", out="fall").join(F.broadcast(scales), "series", "left")
     told = drift.select("series", "ts", negative("resid", "sigma").alias("pressure"), negative("week", "week_scale").alias("weekly"), negative("fall", "fall_scale").alias("slope"))
     told = sequence.ewma_known(told, s.alpha, "weekly", out="ewma")
-    pair = r.where("kind = 'pair'").select(F.col("target").alias("series"), "ts", negative("resid", "sigma").alias("x")).groupBy("series", "ts").agg(F.percentile("x", F.lit(0.5)).alias("pairwise"))
+    pair = relate.over_anchors(r.where("kind = 'pair'").withColumnRenamed("target", "series"), negative("resid", "sigma"), ["series", "ts"], "median", "pairwise")
     flows = r.where((F.col("kind") == "flow") & F.col("target").isin(active)).select(F.col("target").alias("series"), "ts", F.greatest(F.lit(0.0), F.col("resid") / F.greatest("sigma", F.lit(1e-3))).alias("flow"))
     return told.join(pair, ["series", "ts"], "left").na.fill(0.0, ["pressure", "pairwise", "weekly", "ewma", "slope"]), flows.na.fill(0.0, ["flow"])
 
@@ -324,7 +324,7 @@ def tiny_sensor_scores(panel: DataFrame, fitted: Fitted) -> tuple[DataFrame, Dat
     p = told.where("kind = 'pressure'").select("series", "ts", "resid", "scale", "value", (F.abs("resid") / scale).alias("pressure"))
     p = sequence.lag_difference(p, s.slope_rows, "resid", out="change")
     p = sequence.ewma(p.withColumn("slope", F.coalesce(F.abs("change"), F.lit(0.0)) / scale), s.alpha, "pressure", out="ewma")
-    gaps = pair_gaps(p.select("series", "ts", "value"), fitted.models).groupBy(F.col("target").alias("series"), "ts").agg(F.avg(F.abs("gap") / F.greatest("sigma", F.lit(1e-6))).alias("pairwise"))
+    gaps = relate.over_anchors(pair_gaps(p.select("series", "ts", "value"), fitted.models).withColumnRenamed("target", "series"), F.abs("gap") / F.greatest("sigma", F.lit(1e-6)), ["series", "ts"], "mean", "pairwise")
     p = p.select("series", "ts", "pressure", "slope", "ewma").join(gaps, ["series", "ts"], "left").na.fill(0.0, ["pairwise"])
     flows = told.where((F.col("kind") == "flow") & F.col("series").isin(fitted.flows)).select("series", "ts", (F.greatest("resid", F.lit(0.0)) / scale).alias("flow"))
     return p.na.fill(0.0, ["pressure", "ewma"]), flows.na.fill(0.0, ["flow"])

@@ -245,8 +245,17 @@ def family(name: Column) -> Column:
 
 
 def select_features(names: list[str], which: str) -> list[str]:
-    """Names of a feature set: `binary` (all but single sensors), `localiser` (sensors, top sensors and calendar), `small`, `medium` or `full` for the compact heads."""
-    starts = {"binary": ("raw|", "demand|", "stage1|", "reason_", "trigger_", "hour_", "dow_", "month_", "is_", "top1_", "top3_"), "localiser": ("sensor|", "top|", "top1_", "top3_", "hour_", "is_"), "small": ("score_", "level_mean"), "medium": ("score_", "level_", "hour_"), "full": ("",)}[which]
+    """Names of a feature set: `binary`, `localiser`, or `small`, `medium` or `full` for the compact heads.
+
+    Sampled packets differ from triggers in their reason, their event and when they are, so the binary head sees
+    neither these nor the detector's own state; the localiser, which learns from real triggers only, sees all but the
+    reasons that name sampled packets.
+    """
+    if which == "binary":
+        return [n for n in names if not n.startswith(("reason_", "area_", "trigger_", "event_", "hour_", "dow_", "month_", "is_", "stage1|leak_state|"))]
+    if which == "localiser":
+        return [n for n in names if n not in ("reason_hard_negative", "reason_easy_negative", "area_hard_negative", "area_easy_negative")]
+    starts = {"small": ("score_", "level_mean"), "medium": ("score_", "level_", "hour_"), "full": ("",)}[which]
     return [n for n in names if n.startswith(starts)]
 
 

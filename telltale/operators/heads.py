@@ -22,7 +22,10 @@ def prototypes(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return d.select(key, label, "cls", (1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("gap") / F.greatest(F.col("dims"), F.lit(1))))))).alias("p"))
 
 
-def assembled(df: DataFrame, features: list[str]) -> DataFrame:
+def assembled(df: DataFrame, features: list[str] | str) -> DataFrame:
+    """Adds `features`, a vector of the named columns, or of the one array that a single name stands for."""
+    if isinstance(features, str):
+        return df.withColumn("features", array_to_vector(F.col(features)))
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
 
 
@@ -37,7 +40,7 @@ def logistic_head(train: DataFrame, rows: DataFrame, features: list[str], label:
     return probability(model.transform(assembled(rows, features)))
 
 
-def boosted_head(train: DataFrame, rows: DataFrame, features: list[str], label: str = "y", rounds: int = 20, weight: str | None = None) -> DataFrame:
+def boosted_head(train: DataFrame, rows: DataFrame, features: list[str] | str, label: str = "y", rounds: int = 20, weight: str | None = None) -> DataFrame:
     """rows with p from boosted trees; one class in the training rows gives its constant."""
     kinds = [r[0] for r in train.select(label).distinct().collect()]
     if len(kinds) < 2:
@@ -46,7 +49,7 @@ def boosted_head(train: DataFrame, rows: DataFrame, features: list[str], label:
     return probability((gbt.setWeightCol(weight) if weight else gbt).fit(assembled(train, features)).transform(assembled(rows, features)))
 
 
-def regression_head(train: DataFrame, rows: DataFrame, features: list[str], label: str, rounds: int = 20) -> DataFrame:
+def regression_head(train: DataFrame, rows: DataFrame, features: list[str] | str, label: str, rounds: int = 20) -> DataFrame:
     model = GBTRegressor(labelCol=label, maxIter=rounds, seed=42).fit(assembled(train, features))
     return model.transform(assembled(rows, features)).withColumnRenamed("prediction", f"pred_{label}").drop("features")
 

@@ -1,6 +1,6 @@
 """Relations between series: correlations, centrality, pairwise and robust regressions, and interval joins."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telltale.operators import robust, seasonal
@@ -41,6 +41,12 @@ def ridge_lines(panel: DataFrame, penalty: float = 1e-3, least: int = 8) -> Data
     return m.where(F.col("n") >= least).select("target", "anchor", "n", slope.alias("slope"), (F.col("mx") - slope * F.col("my")).alias("intercept"))
 
 
+def over_anchors(df: DataFrame, value: Column, keys: list[str], how: str, out: str) -> DataFrame:
+    """What a target's anchors say together at each time: their `median` (the full detector) or `mean` (the compact one)."""
+    told = {"median": F.percentile(value, F.lit(0.5)), "mean": F.avg(value)}[how]
+    return df.groupBy(*keys).agg(told.alias(out))
+
+
 def robust_models(panel: DataFrame, features: DataFrame, delta: float = 1.5, ridge: float = 1e-3, steps: int = 30, trim: float = 0.97, broadcast_bytes: int = robust.BROADCAST_BYTES) -> DataFrame:
     """model, target, features, center, scale, beta (intercept first), sigma: trimmed Huber regressions of each model's target on its features.
 

@@ -141,12 +141,39 @@ def column_groups(columns: list[str], given: dict[str, list[str]] | None = None,
     return out
 
 
-def role_table(spark: SparkSession, columns: list[str]) -> DataFrame:
-    """name, role: each column's role by its name, `other` where none fits."""
+def role_of(name: Column) -> Column:
+    """A column's role by its name, `other` where none fits."""
     role = F.lit(None).cast("string")
-    for name, pattern in ROLES.items():
-        role = F.coalesce(role, F.when(F.col("name").rlike(f"(?i)^(?:{pattern})$"), name))
-    return spark.createDataFrame([(c,) for c in columns], "name string").select("name", F.coalesce(role, F.lit("other")).alias("role"))
+    for known, pattern in ROLES.items():
+        role = F.coalesce(role, F.when(name.rlike(f"(?i)^(?:{pattern})$"), known))
+    return F.coalesce(role, F.lit("other"))
+
+
+def role_table(spark: SparkSession, columns: list[str]) -> DataFrame:
+    """name, role of columns."""
+    return spark.createDataFrame([(c,) for c in columns], "name string").select("name", role_of(F.col("name")).alias("role"))
+
+
+def detail_columns(sensors: list[str], columns: list[str]) -> dict[str, str]:
+    """The column of a wide evidence table that tells of each sensor: its own name, else the shortest (then the first by name) that has the name in it.
+
+    If fewer than half of the sensors find one, only columns of the very names count.
+    """
+    found = {}
+    for sensor in sensors:
+        like = [c for c in columns if sensor in c]
+        if like:
+            found[sensor] = min(like, key=lambda c: (c != sensor, len(c), c))
+    if len(found) >= max(1, len(sensors) // 2):
+        return found
+    return {c: c for c in columns if c in sensors}
+
+
+def evidence_long(wide: DataFrame, sensors: list[str]) -> DataFrame:
+    """series, ts, evidence of a wide evidence table, whose columns are found by the sensors' names."""
+    told = detail_columns(sensors, [c for c, kind in wide.dtypes if c != "ts" and kind not in ("string", "boolean")])
+    rows = F.array(*[F.struct(F.lit(s).alias("series"), F.col(f"`{c}`").cast("double").alias("evidence")) for s, c in sorted(told.items())])
+    return wide.select("ts", F.explode(rows.cast("array<struct<series:string,evidence:double>>")).alias("x")).select("x.series", "ts", "x.evidence")
 
 
 def renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("ts",)) -> DataFrame:

@@ -302,7 +302,9 @@ def test_stage2_features(spark):
     assert one.isEmpty()
     names = [r[0] for r in f.select("feature").distinct().collect()]
     assert {"raw|AF|12|mean", "demand|hhi|36|auc", "reason_event_start", "trigger_order", "hour_sin", "top1_share"} <= set(names)
-    assert set(features.select_features(names, "binary")) & set(features.select_features(names, "localiser")) >= {"hour_sin"}
+    binary, localiser = (features.select_features([*names, "reason_hard_negative", "reason_easy_negative", "event_rows", "stage1|leak_state|12|mean", "sensor|a|12|max"], w) for w in ("binary", "localiser"))
+    assert not {"hour_sin", "reason_event_start", "trigger_order", "event_rows", "stage1|leak_state|12|mean"} & set(binary) and {"raw|AF|12|mean", "sensor|a|12|max", "top1_share"} <= set(binary)
+    assert {"hour_sin", "reason_event_start", "event_rows", "raw|AF|12|mean"} <= set(localiser) and not {"reason_hard_negative", "reason_easy_negative"} & set(localiser)
     w = features.wide(f, ["raw|AF|12|mean", "trigger_order"])
     assert w.count() == f.select("trigger").distinct().count()
 
