@@ -83,10 +83,13 @@ def pseudo_triggers(times: DataFrame, kind: str) -> DataFrame:
     return times.select("ts", F.lit(-1).cast("long").alias("event_id"), F.lit(kind).alias("reason"), F.lit("unknown").alias("area"), F.lit(1).alias("sampled_negative"))
 
 
-def healthy_block(df: DataFrame, leak: Column, share: float = 0.6, least: int = 20, fallback: float = 0.2) -> DataFrame:
-    """One row: first_leak, healthy_rows (those before it) and fit_rows: `share` of them, or `fallback` of all if they are fewer than `least`."""
+def healthy_block(df: DataFrame, leak: Column, share: float = 0.6, least: int = 20, fallback: float = 0.2, open_end: bool = True) -> DataFrame:
+    """One row: first_leak, healthy_rows (those before it) and fit_rows: `share` of them, or `fallback` of all if they are fewer than `least`.
+
+    open_end: without a leak all rows are healthy; otherwise none is, because no row is before a leak.
+    """
     first = df.agg(F.min(F.when(leak, F.col("ts"))).alias("first_leak"), F.count("*").alias("__all"))
-    n = df.join(F.broadcast(first)).agg(F.first("first_leak").alias("first_leak"), F.first("__all").alias("__all"), F.count_if(F.col("first_leak").isNull() | (F.col("ts") < F.col("first_leak"))).alias("healthy_rows"))
+    n = df.join(F.broadcast(first)).agg(F.first("first_leak").alias("first_leak"), F.first("__all").alias("__all"), F.count_if((F.col("first_leak").isNull() & F.lit(open_end)) | (F.col("ts") < F.col("first_leak"))).alias("healthy_rows"))
     fit = F.when(F.col("healthy_rows") >= least, F.floor(F.col("healthy_rows") * F.lit(share))).otherwise(F.floor(F.col("__all") * F.lit(fallback)))
     return n.select("first_leak", "healthy_rows", F.greatest(fit, F.lit(1)).cast("long").alias("fit_rows"))
 

@@ -52,3 +52,15 @@ def test_same_as_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_healthy_block_without_a_leak_is_as_its_sql_says(spark, tmp_path):
+    spark.sql("SELECT 'A' AS l_returnflag, 'F' AS l_linestatus, 10.0D AS l_quantity, CAST(timestamp'1995-01-01 05:00:00' + make_dt_interval(CAST(id AS INT)) AS timestamp_ntz) AS l_shipdate FROM range(100)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    theirs = c.execute(catalogue.SQL["healthy_block"]).fetchall()
+    assert theirs == [(None, 0, 20)]
+    assert [tuple(r) for r in catalogue.QUERIES["healthy_block"](spark, str(tmp_path)).collect()] == theirs
+    # the second stage's own cut: a table without a leak is one healthy block
+    flags = catalogue.flagged(spark, str(tmp_path))
+    assert tuple(network.packets.healthy_block(flags, flags["flag"] == 1).first()) == (None, 100, 60)
