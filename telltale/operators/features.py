@@ -31,30 +31,42 @@ def at_rows(triggers: DataFrame, times: DataFrame) -> DataFrame:
 def packets(triggers: DataFrame, rows: DataFrame, lookback: int) -> DataFrame:
     """trigger (its ts), at (its pos), back (0 for its own row), and all columns of the last `lookback` rows.
 
-    Rows and triggers meet by blocks of `lookback` positions, so a trigger reads two blocks, and rows without triggers
-    near go nowhere.
+    Rows and triggers meet by blocks of `lookback` positions (packets_by_block).
     """
-    t = triggers.select(F.col("ts").alias("trigger"), F.col("pos").alias("at")).distinct()
-    t = t.withColumn("__block", F.explode(F.array(F.floor(F.col("at") / lookback), F.floor(F.col("at") / lookback) - 1)))
-    r = rows.withColumn("__block", F.floor(F.col("pos") / lookback))
+    return packets_by_block(triggers, rows, lookback).drop("__block")
+
+
+def packets_by_block(triggers: DataFrame, rows: DataFrame, lookback: int) -> DataFrame:
+    """packets() with `__block`, the trigger's block of `lookback` positions, by which they are partitioned: what is grouped by it and by trigger moves no more.
+
+    A row goes to its block and the next, if these have triggers, so rows without triggers near go nowhere. Rows are
+    dealt before they become many packets' rows: few bytes of rows would otherwise be one task, and a series one at most.
+    """
+    t = triggers.select(F.col("ts").alias("trigger"), F.col("pos").alias("at")).distinct().withColumn("__block", F.floor(F.col("at") / lookback))
+    own = F.floor(F.col("pos") / lookback)
+    r = rows.withColumn("__block", F.explode(F.array(own, own + 1))).join(t.select("__block").distinct(), "__block", "left_semi")
+    # both, because either may be the broadcast one
+    r, t = (x.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__block") for x in (r, t))
     near = F.col("pos").between(F.col("at") - (lookback - 1), F.col("at"))
-    return r.join(t, "__block").where(near).withColumn("back", F.col("at") - F.col("pos")).drop("__block")
+    return r.join(t, "__block").where(near).withColumn("back", F.col("at") - F.col("pos"))
 
 
 def packet_summaries(triggers: DataFrame, panel: DataFrame, times: DataFrame, horizons=HORIZONS, step: float = 5.0) -> DataFrame:
     """trigger, series, horizon and the eleven statistics of each series over the last rows before each trigger (fewer at the start)."""
     w = Window.partitionBy("series").orderBy("pos")
     rows = panel.join(times, "ts").withColumn("pair", (F.col("value") + F.lag("value").over(w)) / 2 * F.lit(step))
-    p = packets(at_rows(triggers, times), rows, max(horizons)).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).where("back < horizon")
+    p = packets_by_block(at_rows(triggers, times), rows, max(horizons)).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).where("back < horizon")
     v, x = F.col("value"), F.col("pos").cast("double")
-    q = lambda a: F.percentile(v, F.lit(a))
     known = F.when(v.isNotNull(), F.col("pos"))
     first_last = F.max_by(v, known) - F.min_by(v, known)
     inner = F.when(F.col("back") < F.col("horizon") - 1, F.col("pair"))
-    return p.groupBy("trigger", "series", "horizon").agg(
-        F.max_by(v, known).alias("last"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), q(0.5).alias("median"), q(0.1).alias("q10"), q(0.9).alias("q90"),
+    told = p.groupBy("__block", "trigger", "series", "horizon").agg(
+        F.max_by(v, known).alias("last"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("q"),
         F.when(F.count(v) > 0, F.coalesce(F.regr_slope(v, x), F.lit(0.0))).alias("slope"), first_last.alias("delta"), F.when(F.count(v) > 0, F.coalesce(F.sum(inner), F.lit(0.0))).alias("auc"),
     )
+    # one table of values gives all three quantiles
+    quantiles = [F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("median", "q10", "q90"))]
+    return told.select("trigger", "series", "horizon", "last", "mean", "std", "min", "max", *quantiles, "slope", "delta", "auc")
 
 
 def long_features(summaries: DataFrame, family: str) -> DataFrame:
@@ -66,7 +78,7 @@ def long_features(summaries: DataFrame, family: str) -> DataFrame:
 def top_stability(triggers: DataFrame, tops: DataFrame, times: DataFrame, lookback: int, k: int = 3) -> DataFrame:
     """trigger, top1_share, top3_jaccard: how often the leading name led before, and the mean likeness of the leading three (0 for two empty sets)."""
     p = packets(at_rows(triggers, times), tops.join(times, "ts"), lookback)
-    now = p.where("back = 0").select("trigger", F.slice("top", 1, k).alias("now"))
+    now = tops.select(F.col("ts").alias("trigger"), F.slice("top", 1, k).alias("now"))
     t = p.join(now, "trigger").withColumn("old", F.slice("top", 1, k))
     first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(""))
     alike = F.coalesce(F.try_divide(F.size(F.array_intersect("old", "now")), F.size(F.array_union("old", "now"))), F.lit(0.0))
@@ -75,10 +87,10 @@ def top_stability(triggers: DataFrame, tops: DataFrame, times: DataFrame, lookba
 
 def top_history(triggers: DataFrame, tops: DataFrame, times: DataFrame, lookback: int) -> DataFrame:
     """trigger, series, times_in_top, rank_weight (sum of 1 / rank), now_weight, now_rank (0 where it is not in the top now)."""
-    p = packets(at_rows(triggers, times), tops.join(times, "ts"), lookback)
-    e = p.select("trigger", "back", F.posexplode("top").alias("i", "series")).withColumn("w", 1.0 / (F.col("i") + 1))
+    p = packets_by_block(at_rows(triggers, times), tops.join(times, "ts"), lookback)
+    e = p.select("__block", "trigger", "back", F.posexplode("top").alias("i", "series")).withColumn("w", 1.0 / (F.col("i") + 1))
     now = F.col("back") == 0
-    return e.groupBy("trigger", "series").agg(F.count("*").alias("times_in_top"), F.sum("w").alias("rank_weight"), F.sum(F.when(now, F.col("w")).otherwise(0.0)).alias("now_weight"), F.sum(F.when(now, F.col("i") + 1).otherwise(0)).cast("long").alias("now_rank"))
+    return e.groupBy("__block", "trigger", "series").agg(F.count("*").alias("times_in_top"), F.sum("w").alias("rank_weight"), F.sum(F.when(now, F.col("w")).otherwise(0.0)).alias("now_weight"), F.sum(F.when(now, F.col("i") + 1).otherwise(0)).cast("long").alias("now_rank")).drop("__block")
 
 
 def vocabulary(train: DataFrame, columns: list[str]) -> dict[str, list[str]]:
@@ -155,7 +167,7 @@ def vectors(features: DataFrame, words: list[tuple[str, float]]) -> DataFrame:
     thousands of columns.
     """
     fills = np.array([f for _, f in words], dtype=float)
-    table = features.sparkSession.createDataFrame([(n, i) for i, (n, _) in enumerate(words)], "feature string, place int")
+    table = features.sparkSession.createDataFrame(pa.table({"feature": pa.array([n for n, _ in words], pa.string()), "place": pa.array(range(len(words)), pa.int32())}))
     told = features.join(F.broadcast(table), "feature", "left")
     # triggers without any known feature get the fills
     pairs = told.groupBy("trigger").agg(F.collect_list(F.when(F.col("place").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"), F.struct("place", F.col("value").cast("double").alias("value")))).alias("pairs"))

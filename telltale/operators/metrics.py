@@ -44,9 +44,14 @@ def ranking(df: DataFrame, score: str, truth: str, key: str) -> DataFrame:
 
 
 def recall_at_precision(df: DataFrame, score: str, truth: str, key: str, target: float) -> DataFrame:
+    return recalls_at_precisions(df, score, truth, key, {"recall_at_precision": target})
+
+
+def recalls_at_precisions(df: DataFrame, score: str, truth: str, key: str, targets: dict[str, float]) -> DataFrame:
+    """key and, for each name, the greatest recall at that precision or more; all from one table of thresholds."""
     t = by_threshold(df, score, truth, key)
-    ok = F.when(F.col("tp") / F.col("n") >= target, F.col("tp") / F.col("pos"))
-    return t.groupBy(key).agg(F.coalesce(F.max(ok), F.lit(0.0)).alias("recall_at_precision"))
+    ok = lambda target: F.when(F.col("tp") / F.col("n") >= target, F.col("tp") / F.col("pos"))
+    return t.groupBy(key).agg(*[F.coalesce(F.max(ok(target)), F.lit(0.0)).alias(name) for name, target in targets.items()])
 
 
 def quantile_edges(df: DataFrame, score: str, parts: int, most: int = 10_000) -> list[float]:
